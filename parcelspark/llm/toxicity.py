@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are at most ``SAMPLE`` labelled texts of each class (least keyed hash). Terms are words that the labels
-tie to a class (chi-square over ``CHI``, in at least ``LEAST`` examples). Blocks of examples carry, term by term, their
+Examples are at most ``SAMPLE`` labelled texts of each class (least keyed hash). Terms are words, and
+stems of ``STEM`` letters, that the labels tie to a class: in at least ``LEAST`` examples, chi-square over ``CHI``, and ``RATIO`` times
+as frequent in one class as in the other. Blocks of examples carry, term by term, their
 largest weight; a query visits blocks by falling bound and stops when no block can beat its k-th neighbour, so
 neighbours are exact. Distance-weighted votes of the neighbours are calibrated by Platt scaling on the examples, each with itself left out.
 A text without terms (null and empty ones too) has no neighbours and the vote 0. Ties go to the smaller id.
@@ -11,13 +12,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import fold, materialise, sample_rows
+from parcelspark.llm.common import fold, materialise, mix, sample_rows
 from parcelspark.llm.linear import calibrate, sigmoid
 
 SAMPLE = 2000
@@ -25,6 +27,8 @@ NEIGHBOURS = 15
 BLOCK = 64
 CHI = 30.0
 LEAST = 8
+RATIO = 10.0
+STEM = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -82,7 +86,18 @@ class BlockMaxIndex:
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased words, and the stems of longer ones, marked by a star."""
+    found = _WORD.findall(text.lower()) if text else []
+    return found + [w[:STEM] + "*" for w in found if len(w) > STEM]
+
+
+def bands(names, count: int = 8, width: int = 3) -> list[int]:
+    """Min-hash bands of a text's words; copies share one almost surely, other texts rarely."""
+    if not names:
+        return []
+    h = np.array([crc32(w.encode()) for w in names], np.uint64)
+    least = [int(mix(h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))).min()) for i in range(count * width)]
+    return [hash(tuple(least[i : i + width])) for i in range(0, count * width, width)]
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 2, k: int = NEIGHBOURS):
@@ -93,17 +108,26 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     def run(batches):
         for b in batches:
             rows = [Counter(words(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], ["doc_id", "label", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())), pa.array([bands(r) for r in rows], pa.list_(pa.int64()))], ["doc_id", "label", "words", "counts", "bands"])
 
-    seen = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>")
+    seen = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>, bands array<bigint>")
     seen = materialise(seen, "examples")
+    # Copies of one text count as one example, else the words of a much-copied text would pass for signs of its label.
+    alone, met = [], set()
+    for r in sorted(seen.select("doc_id", "label", "bands").collect(), key=lambda r: r["doc_id"]):  # of a bounded sample
+        keys = {(r["label"], i, x) for i, x in enumerate(r["bands"])}
+        if not keys & met:
+            alone.append(r["doc_id"])
+        met |= keys
+    seen = seen.join(F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in alone], "doc_id long")), "doc_id")
     totals = seen.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("pos")).first()
     n, pos = totals["n"], totals["pos"]
     if not pos or pos == n:
         return BlockMaxIndex([], [], [], [], np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
     df = seen.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.count_if(F.col("label") == 1).alias("hit")).filter(F.col("df") >= LEAST)
     df = df.withColumn("chi", F.lit(float(n)) * F.pow(F.col("hit") - F.col("df") * F.lit(pos / n), 2) / (F.col("df") * (F.lit(n) - F.col("df")) * F.lit(pos / n * (1 - pos / n)) + 1e-9))
-    chosen = df.filter(F.col("chi") >= CHI).orderBy("word")
+    df = df.withColumn("ratio", (F.col("hit") + 0.5) / F.lit(pos + 1.0) / ((F.col("df") - F.col("hit") + 2.0) / F.lit(n - pos + 1.0)))
+    chosen = df.filter((F.col("chi") >= CHI) & ((F.col("ratio") >= RATIO) | (F.col("ratio") <= 1 / RATIO))).orderBy("word")
     terms = chosen.collect()  # of a bounded sample
     names = [r["word"] for r in terms]
     kept = seen.select("doc_id", "label", F.filter(F.arrays_zip("words", "counts"), lambda x: F.array_contains(F.lit(names), x["words"])).alias("w")) if names else seen.select("doc_id", "label", F.array().alias("w"))
