@@ -6,9 +6,9 @@
    order, so common passages stay out of prefixes. The order affects cost only, never the result.
 3. Collapse: each class is tried against the class that leads most of its prefix groups. That joins copies
    of one text without listing their pairs.
-4. Tiles: what shares a prefix shingle and lies in the same or the next size band, in different components, meets
-   in a tile (large groups as blocks of tiles). Parity bitmaps bound the overlap from above: differing bits
-   cannot outnumber differing shingles.
+4. Tiles: what shares a prefix shingle in different components and lies within the size ratio meets in a tile; large
+   groups are cut into size bands and blocks. A pair must share so many prefix shingles that the bound can still be met. Parity
+   bitmaps bound the overlap from above: differing bits cannot outnumber differing shingles.
 5. Pairs that pass are settled by intersecting the sorted arrays; links become components.
 
 No candidate is capped or sampled. Null, empty and wordless texts have the empty set and link with nothing.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +32,7 @@ CELLS = 1 << 19
 HEAVY = 8  # times the mean load of a cell
 SALTS = 16
 BLOCK = 1024
+ROWS = 50_000  # of small groups in one call
 CHUNK = 4 << 20
 
 
@@ -132,9 +133,9 @@ def prefixes(df: DataFrame, width: int, percent: int, crowded: np.ndarray) -> Da
 def sorted_arrays(df: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for ids, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary())], ["doc", "members", "bitmap"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary())], ["doc", "size", "members", "bitmap"])
 
-    return df.mapInArrow(run, "doc long, members binary, bitmap binary")
+    return df.mapInArrow(run, "doc long, size long, members binary, bitmap binary")
 
 
 def overlap_bound(n, m, x: bytes, y: bytes) -> int:
@@ -146,13 +147,13 @@ def overlap_bound(n, m, x: bytes, y: bytes) -> int:
 
 def verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those that link: bitmap bound first, then the sorted arrays."""
-    bits = arrays.select("doc", F.octet_length("members").alias("size"), "bitmap")
+    bits = arrays.select("doc", "size", "bitmap")
     near = pairs.join(bits.toDF("a", "size_a", "bits_a"), "a").join(bits.toDF("b", "size_b", "bits_b"), "b")
 
     def bounded(batches):
         for t in batches:
             r = t.to_pydict()
-            ok = [overlap_bound(sa // 8, sb // 8, x, y) >= need(sa // 8, sb // 8, percent) for sa, sb, x, y in zip(r["size_a"], r["size_b"], r["bits_a"], r["bits_b"], strict=True)]
+            ok = [overlap_bound(sa, sb, x, y) >= need(sa, sb, percent) for sa, sb, x, y in zip(r["size_a"], r["size_b"], r["bits_a"], r["bits_b"], strict=True)]
             yield t.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     near = materialise(near.mapInArrow(bounded, "a long, b long"), "bounded")
@@ -183,8 +184,56 @@ def _first_pairs(groups: DataFrame) -> DataFrame:
     return best(own).unionByName(best(across)).distinct()
 
 
-def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one shingle group in different components whose sizes and bitmaps allow a link."""
+def least_matches(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that the prefixes of a linking pair share at least.
+
+    Of the set whose prefix ends first in the common order, at most n - need shingles are missing from the other, so
+    the rest of its prefix lies in the other's prefix too.
+    """
+    required = F.ceil(F.lit(percent / (100 + percent)) * (n + m) - 1e-9)
+    prefix = lambda k: k - F.ceil(F.lit(percent / 100) * k - 1e-9) + 1
+    return F.greatest(F.lit(1), F.least(prefix(n) - (n - required), prefix(m) - (m - required)))
+
+
+def _near_in_size(group, n, doc, comp, percent):
+    """Index pairs of rows sorted by (group, n): same group, other component, sizes within ``percent``. Walks one step of distance at a time."""
+    left, right = [], []
+    at = np.arange(len(n) - 1)
+    step = 1
+    while len(at):
+        to = at + step
+        ok = (group[at] == group[to]) & (100 * n[at] >= percent * n[to])
+        at, to = at[ok], to[ok]
+        new = comp[at] != comp[to]
+        left.append(at[new])
+        right.append(to[new])
+        step += 1
+        at = at[at + step < len(n)]
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _pair_table(x, y) -> pa.Table:
+    """Pairs of ids, smaller first, with how often each occurs."""
+    both = np.stack([np.minimum(x, y), np.maximum(x, y)])
+    out, times = np.unique(both, axis=1, return_counts=True) if both.size else (both.astype(np.int64), np.zeros(0, np.int64))
+    return pa.table({"a": pa.array(out[0]), "b": pa.array(out[1]), "matches": pa.array(times.astype(np.int64))})
+
+
+def _small_groups(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Pairs of shingle groups of up to BLOCK members, many groups at a time."""
+
+    def pairs(t):
+        shingle, n, doc, comp = (t.column(c).to_numpy() for c in ("shingle", "n", "doc", "comp"))
+        order = np.lexsort((n, shingle))
+        shingle, n, doc, comp = shingle[order], n[order].astype(np.int64), doc[order], comp[order]
+        i, j = _near_in_size(shingle, n, doc, comp, percent)
+        return _pair_table(doc[i], doc[j])
+
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("shingle", F.lit(11)), F.lit(buckets))).groupBy("bucket").applyInArrow(pairs, "a long, b long, matches long")
+
+
+def _large_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of larger groups: tiles of two blocks of a size band and the band below, thinned by the bitmaps."""
     ratio = float(np.log(100 / percent))
     rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / ratio + 1e-9).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # A member is at home in its band and a guest in the band above; a link spans at most one band edge.
@@ -197,12 +246,11 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
         home = t.column("home").to_numpy()
         block, n, doc, comp = (t.column(c).to_numpy() for c in ("block", "n", "doc", "comp"))
         maps = [np.frombuffer(x, np.uint8) for x in t.column("bitmap").to_pylist()]
-        a, b = [], []
-        order = np.argsort(n, kind="stable")
-        left = order[home[order] & (block[order] == low)]
-        sides = [(left, order[block[order] == high])] if low == high else [(left, order[block[order] == high]), (order[home[order] & (block[order] == high)], order[block[order] == low])]
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        every = np.arange(len(n))
+        sides = [(every[home & (block == low)], every[block == high])] + ([(every[home & (block == high)], every[block == low])] if low != high else [])
         for homes, rest in sides:
-            if not len(homes) or not len(rest):
+            if not len(homes) or not len(rest) or (comp[homes].min() == comp[homes].max() == comp[rest].min() == comp[rest].max()):
                 continue
             size = min(min(len(maps[i]) for i in homes), min(len(maps[i]) for i in rest))
             stack = np.stack([fold_bitmap(maps[i], size) for i in rest]).view(np.uint64)
@@ -210,17 +258,14 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 fit = (comp[rest] != comp[i]) & (100 * n[rest] >= percent * n[i]) & (100 * n[i] >= percent * n[rest])
                 fit &= ~home[rest] | (doc[rest] > doc[i])
                 at = np.flatnonzero(fit)
-                if not len(at):
-                    continue
                 differ = np.bitwise_count(stack[at] ^ fold_bitmap(maps[i], size).view(np.uint64)).sum(axis=1)
                 m = n[rest[at]].astype(np.int64)
                 at = at[(n[i] + m - differ) // 2 >= need(int(n[i]), m, percent)]
-                a.append(np.minimum(doc[rest[at]], doc[i]))
-                b.append(np.maximum(doc[rest[at]], doc[i]))
-        out = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(out[0]), "b": pa.array(out[1])})
+                x.append(doc[rest[at]])
+                y.append(np.full(len(at), doc[i]))
+        return _pair_table(np.concatenate(x), np.concatenate(y))
 
-    return rows.groupBy("shingle", "tile", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
+    return rows.groupBy("shingle", "tile", "low", "high").applyInArrow(pairs, "a long, b long, matches long")
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,8 +296,16 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75,
     tagged = materialise(tagged, "tagged")
     discard(groups)
     mixed = tagged.groupBy("shingle").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rest = tagged.join(mixed, "shingle").join(arrays.select("doc", "bitmap"), "doc")
-    second = verify(_tile_pairs(rest, percent), arrays, percent)
+    rest = materialise(tagged.join(mixed, "shingle"), "rest")
+    discard(tagged)
+    small = rest.filter("blocks = 1")
+    buckets = max(1, small.count() // ROWS)
+    pairs = _small_groups(small, percent, buckets).unionByName(_large_groups(rest.filter("blocks > 1").join(arrays.select("doc", "bitmap"), "doc"), percent))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches")).filter("matches > 0")
+    size = arrays.select("doc", "size")
+    pairs = pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(F.col("matches") >= least_matches(F.col("n"), F.col("m"), percent)).select("a", "b")
+    second = verify(materialise(pairs, "pairs"), arrays, percent)
+    discard(rest)
     labels = components(first.unionByName(second))
 
     members = sets.join(classes, identity, "left")
