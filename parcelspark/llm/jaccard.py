@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a given share.
 
-1. Texts with equal sets form one class; only its smallest id goes on.
-2. Every class emits its prefix: with shingles in one fixed order, two sets of similarity t share a shingle among
+1. Texts with equal sets form one class, known by its smallest id.
+2. Every text, once a task for equal sets, emits its prefix: with shingles in one fixed order, two sets of similarity t share a shingle among
    the first n - ceil(t n) + 1 of each. Shingles in crowded cells of a corpus-wide count sketch come last in that
    order, so common passages stay out of prefixes. The order affects cost only, never the result.
 3. Collapse: each class is tried against the class that leads most of its prefix groups. That joins copies
@@ -32,6 +32,8 @@ CELLS = 1 << 19
 HEAVY = 8  # times the mean load of a cell
 SALTS = 16
 BLOCK = 1024
+MET = 200_000
+BITS = 1 << 23
 ROWS = 50_000  # of small groups in one call
 CHUNK = 4 << 20
 
@@ -105,17 +107,25 @@ def crowded_cells(df: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, width: int, percent: int, crowded: np.ndarray) -> DataFrame:
-    """One row for each prefix shingle of each class: shingle, salt (0 unless crowded), n, doc."""
+    """One row for each prefix shingle of each text: shingle, salt (0 unless crowded), n, doc.
+
+    Of equal sets that a task meets, the first speaks for all (while MET of them are remembered), so a much-copied text has
+    a few rows a task. Sizes and sums of 64-bit hashes tell sets apart here; the texts left out keep their class.
+    """
     cells = df.sparkSession.sparkContext.broadcast(np.packbits(crowded))
 
     def run(batches):
         heavy = np.unpackbits(cells.value).astype(bool)
+        met: set[tuple[int, int]] = set()
         for ids, sets in _sets(batches, width):
             keys, salts, sizes, docs = [], [], [], []
             for doc, s in zip(ids.to_pylist(), sets, strict=True):
                 n = len(s)
-                if not n:
+                if not n or (n, total := int(s.sum(dtype=np.uint64))) in met:
                     continue
+                if len(met) >= MET:
+                    met.clear()
+                met.add((n, total))
                 h = heavy[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                 length = n - -(-percent * n // 100) + 1
                 light = s[~h][:length]
@@ -130,12 +140,44 @@ def prefixes(df: DataFrame, width: int, percent: int, crowded: np.ndarray) -> Da
     return df.mapInArrow(run, "shingle long, salt int, n int, doc long")
 
 
-def sorted_arrays(df: DataFrame, width: int) -> DataFrame:
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit map of hashed ids (column doc), BITS / 8 bytes whatever their number: it lets a superset of them through."""
+
+    def mark(batches):
+        bits = np.zeros(BITS, bool)
+        for b in batches:
+            bits[_bit(b.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+
+    def either(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS // 8, np.uint8)
+        for b in batches:
+            for x in b.column(1).to_pylist():
+                bits |= np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+
+    found = ids.select("doc").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(either, "part int, bits binary").collect()
+    return np.frombuffer(found[0]["bits"], np.uint8) if found else np.zeros(BITS // 8, np.uint8)
+
+
+def _bit(ids) -> np.ndarray:
+    return (mix(np.asarray(ids, np.int64).view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def sorted_arrays(df: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc, size, members (sorted hashes), bitmap of the texts whose id is in ``ids``. Texts stay where they are read."""
+    shared = df.sparkSession.sparkContext.broadcast(id_bits(ids))
+
     def run(batches):
-        for ids, sets in _sets(batches, width):
+        def wanted():
+            bits = np.unpackbits(shared.value).astype(bool)
+            for b in batches:
+                yield b.filter(pa.array(bits[_bit(b.column(0))]))
+
+        for ids, sets in _sets(wanted(), width):
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary())], ["doc", "size", "members", "bitmap"])
 
-    return df.mapInArrow(run, "doc long, size long, members binary, bitmap binary")
+    return df.mapInArrow(run, "doc long, size long, members binary, bitmap binary").join(ids.select("doc"), "doc", "left_semi")
 
 
 def overlap_bound(n, m, x: bytes, y: bytes) -> int:
@@ -175,11 +217,23 @@ def verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _first_pairs(groups: DataFrame) -> DataFrame:
+def _settle(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links among the pairs, the arrays of their texts)."""
+    pairs = materialise(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    arrays = materialise(sorted_arrays(docs, ends, width), "arrays")
+    links = verify(pairs, arrays, percent)
+    discard(pairs)
+    return links, arrays
+
+
+def _first_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """For each class one partner: the leader that it shares most prefix shingles with; leaders of salted groups meet too."""
-    own = groups.filter("lead <> doc AND 4 * lead_n >= 3 * n").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("votes"))
+    own = groups.filter("lead <> doc").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("votes"), F.max("n").alias("n"), F.max("lead_n").alias("lead_n"))
+    # Which pairs are tried first is a matter of cost only: those that seem near enough to link.
+    own = own.filter((F.lit(100) * F.col("lead_n") >= percent * F.col("n")) & (3 * F.col("votes") >= least_matches(F.col("n"), F.col("lead_n"), percent)))
     across = groups.filter("salt > 0").groupBy("shingle", "salt").agg(F.min(F.struct("n", "doc")).alias("s")).groupBy("shingle").agg(F.min("s").alias("top"), F.collect_set("s").alias("all"))
-    across = across.select(F.col("top.doc").alias("a"), F.explode("all").alias("s"), F.col("top.n").alias("top_n")).filter("s.doc <> a AND 4 * top_n >= 3 * s.n").select("a", F.col("s.doc").alias("b")).groupBy("a", "b").agg(F.count("*").alias("votes"))
+    across = across.select(F.col("top.doc").alias("a"), F.explode("all").alias("s"), F.col("top.n").alias("top_n")).filter(f"s.doc <> a AND 100 * top_n >= {percent} * s.n").select("a", F.col("s.doc").alias("b")).groupBy("a", "b").agg(F.count("*").alias("votes"))
     best = lambda x: x.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     return best(own).unionByName(best(across)).distinct()
 
@@ -277,35 +331,36 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75,
     sets = materialise(describe(docs, width), "sets")
     identity = ["n_shingles", "sum_a", "sum_b"]
     classes = materialise(sets.filter("n_shingles > 0").groupBy(*identity).agg(F.min("doc_id").alias("class_id")), "classes")
-    heads = classes.select(F.col("class_id").alias("doc_id"))
-    texts = docs.join(heads, "doc_id", "left_semi")
 
-    crowded = crowded_cells(docs, width)
-    rows = prefixes(texts, width, percent, crowded)
+    rows = prefixes(docs, width, percent, crowded_cells(docs, width))
     group = Window.partitionBy("shingle", "salt")
     groups = rows.withColumns({"size": F.count("*").over(group), "lead": F.min(F.struct("n", "doc")).over(group)}).filter("size > 1 OR salt > 0")
-    groups = materialise(groups.select("shingle", "salt", "n", "doc", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n")), "groups")
+    groups = groups.select("shingle", "salt", "n", "doc", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"))
+    named = sets.join(classes, identity).select("doc_id", "class_id")
+    groups = groups.join(named.toDF("doc", "c"), "doc").join(named.toDF("lead", "d"), "lead")
+    groups = materialise(groups.select("shingle", "salt", "n", F.col("c").alias("doc"), F.col("d").alias("lead"), "lead_n").distinct(), "groups")
 
-    involved = groups.select(F.col("doc").alias("doc_id")).distinct()
-    arrays = materialise(sorted_arrays(docs.join(involved, "doc_id", "left_semi"), width), "arrays")
-    first = verify(_first_pairs(groups), arrays, percent)
+    first, arrays = _settle(docs, _first_pairs(groups, percent), width, percent)
+    discard(arrays)
     labels = materialise(components(first), "labels")
 
     # Groups that are not yet in one component go through the tiles.
-    tagged = groups.select("shingle", "n", "doc").join(labels.toDF("doc", "label"), "doc", "left").select("shingle", "n", "doc", F.coalesce("label", "doc").alias("comp"))
+    tagged = groups.select("shingle", "n", "doc").distinct().join(labels.toDF("doc", "label"), "doc", "left").select("shingle", "n", "doc", F.coalesce("label", "doc").alias("comp"))
     tagged = materialise(tagged, "tagged")
     discard(groups)
     mixed = tagged.groupBy("shingle").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     rest = materialise(tagged.join(mixed, "shingle"), "rest")
     discard(tagged)
-    small = rest.filter("blocks = 1")
+    small, large = rest.filter("blocks = 1"), rest.filter("blocks > 1")
     buckets = max(1, small.count() // ROWS)
-    pairs = _small_groups(small, percent, buckets).unionByName(_large_groups(rest.filter("blocks > 1").join(arrays.select("doc", "bitmap"), "doc"), percent))
-    pairs = pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches")).filter("matches > 0")
-    size = arrays.select("doc", "size")
+    thick = materialise(sorted_arrays(docs, large.select("doc").distinct(), width).select("doc", "bitmap"), "bitmaps")
+    pairs = _small_groups(small, percent, buckets).unionByName(_large_groups(large.join(thick, "doc"), percent))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"))
+    size = rest.groupBy("doc").agg(F.max("n").cast("long").alias("n"))
     pairs = pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(F.col("matches") >= least_matches(F.col("n"), F.col("m"), percent)).select("a", "b")
-    second = verify(materialise(pairs, "pairs"), arrays, percent)
-    discard(rest)
+    second, arrays = _settle(docs, pairs, width, percent)
+    for x in (arrays, rest, thick):
+        discard(x)
     labels = components(first.unionByName(second))
 
     members = sets.join(classes, identity, "left")

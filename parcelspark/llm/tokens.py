@@ -8,15 +8,16 @@ ASCII white space; :func:`check_separable` refuses others.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import chunks, texts_of
+from parcelspark.llm.common import _SEPARATOR, chunks, texts_of
 
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _MARK = b"\x01"
 
 
@@ -78,17 +79,23 @@ class ChunkEncoder:
         if len(self.known) > REMEMBERED:
             self.clear()
         # A special token's own text is matched before lower-casing, so texts that may hold one keep their case.
-        words = [(d.lower() if self.lower and b"<|" not in d else d).split() for d in docs]
-        flat = [w for ws in words for w in ws]
-        if fresh := [w for w in dict.fromkeys(flat) if w not in self.known]:
+        parts = [d.lower() if self.lower and b"<|" not in d else d for d in docs]
+        raw = b" ".join(parts)
+        flat = raw.split()
+        index = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(late := np.flatnonzero(index < 0)):
+            missed = [flat[i] for i in late.tolist()]
+            fresh = list(dict.fromkeys(missed))
             for i, j in chunks([len(w) for w in fresh], 1 << 20):
                 self._learn(fresh[i:j])
-        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            index[late] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
         size = self.lengths[index]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.starts[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate(([0], ends))[np.cumsum([0, *map(len, words)])]
-        return ids, np.diff(edges)
+        space = _SEPARATOR[np.frombuffer(raw + b" ", np.uint8)]
+        starts = np.flatnonzero(np.concatenate(([True], space[:-1])) & ~space)
+        first = np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in parts)]))
+        return ids, np.diff(np.concatenate(([0], ends))[first])
 
 
 @lru_cache(maxsize=2)
