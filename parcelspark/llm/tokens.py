@@ -7,6 +7,7 @@ ASCII white space; :func:`check_separable` refuses others.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 from itertools import repeat
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from parcelspark.llm.common import _SEPARATOR, chunks, texts_of
 
 REMEMBERED = 1_000_000
+PART = 1000  # new chunks in one string given to the library
 _MARK = b"\x01"
 
 
@@ -35,6 +37,7 @@ class ChunkEncoder:
     """ids of texts; ``lower`` says that the tokenizer lower-cases, so chunks that differ in ASCII case are one."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,10 +58,11 @@ class ChunkEncoder:
         hard = [w for w in words if _MARK in w] if self.mark is not None else words
         found = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in hard], add_special_tokens=False)] if hard else []
         if easy:
-            ids = np.asarray(self.tokenizer.encode((b" " + _MARK + b" ").join(easy).decode(), add_special_tokens=False).ids, np.uint32)
+            parts = [(b" " + _MARK + b" ").join(easy[i : i + PART]).decode() for i in range(0, len(easy), PART)]
+            ids = np.concatenate([np.asarray([*e.ids, self.mark], np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
             edges = np.flatnonzero(ids == self.mark)
-            begin, end = np.concatenate(([0], edges + 1)), np.concatenate((edges, [len(ids)]))
-            self._append(easy, ids, begin, end - begin)
+            begin = np.concatenate(([0], edges[:-1] + 1))
+            self._append(easy, ids, begin, edges - begin)
         if hard:
             sizes = np.array([len(x) for x in found])
             self._append(hard, np.concatenate(found), np.cumsum(sizes) - sizes, sizes)
