@@ -46,8 +46,8 @@ def safe_parts(text: str, size: int = PART):
 
 
 def encode(text: str, enc, size: int = PART) -> np.ndarray:
-    parts = [np.asarray(enc.encode_ordinary(p), dtype="<u4") for p in safe_parts(text, size)]
-    return np.concatenate(parts)
+    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(text, size)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def decode(ids: np.ndarray, enc) -> bytes:

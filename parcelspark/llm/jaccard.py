@@ -4,11 +4,11 @@
 2. Every text, once a task for equal sets, emits its prefix: with shingles in one fixed order, two sets of similarity t share a shingle among
    the first n - ceil(t n) + 1 of each. Shingles in crowded cells of a corpus-wide count sketch come last in that
    order, so common passages stay out of prefixes. The order affects cost only, never the result.
-3. Collapse: each class is tried against the class that leads most of its prefix groups. That joins copies
-   of one text without listing their pairs.
-4. Tiles: what shares a prefix shingle in different components and lies within the size ratio meets in a tile; large
-   groups are cut into size bands and blocks. A pair must share so many prefix shingles that the bound can still be met. Parity
-   bitmaps bound the overlap from above: differing bits cannot outnumber differing shingles.
+3. Tiles: what shares a prefix shingle and lies within the size ratio meets in a tile; large groups are cut into size bands
+   and blocks. Parity bitmaps bound the overlap from above: differing bits cannot outnumber differing shingles. Large groups
+   run twice: first each text is tried against its most alike partners, which joins copies of one text without listing their
+   pairs; then all pairs across components.
+4. A pair must share so many prefix shingles that the similarity can still be met.
 5. Pairs that pass are settled by intersecting the sorted arrays; links become components.
 
 No candidate is capped or sampled. Null, empty and wordless texts have the empty set and link with nothing.
@@ -28,14 +28,16 @@ from pyspark.sql.window import Window
 from parcelspark.llm.common import chunks, discard, materialise, mix, shingle_sets, texts_of
 from parcelspark.llm.components import components
 
-CELLS = 1 << 19
-HEAVY = 8  # times the mean load of a cell
+CELLS = 1 << 20
+HEAVY = 6  # standard deviations above the mean load of a cell
 SALTS = 16
-BLOCK = 1024
+BLOCK = 1024  # of a tile's side
+LARGE = 64  # members from which on a group goes through tiles
+BEST = 4
 MET = 200_000
 BITS = 1 << 23
 ROWS = 50_000  # of small groups in one call
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def _sets(batches, width):
@@ -78,7 +80,7 @@ def describe(df: DataFrame, width: int) -> DataFrame:
 
 
 def crowded_cells(df: DataFrame, width: int) -> np.ndarray:
-    """Boolean per cell: it holds far more shingle occurrences (once a text) than the mean cell. 64 KB whatever the corpus."""
+    """Boolean per cell: it holds more shingle occurrences (once a text) than chance explains. 128 KB whatever the corpus."""
     parts = 16
 
     def count(batches):
@@ -97,9 +99,10 @@ def crowded_cells(df: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([int(total.sum())]), pa.array([total.tobytes()], pa.binary())], ["part", "load", "counts"])
 
     sums = materialise(df.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, load long, counts binary"), "cells")
-    rows = sums.orderBy("part").collect()  # CELLS counters: 4 MB at any corpus size
+    rows = sums.orderBy("part").collect()  # CELLS counters: 8 MB at any corpus size
     discard(sums)
-    limit = HEAVY * max(1.0, sum(r.load for r in rows) / CELLS) + 64
+    mean = sum(r.load for r in rows) / CELLS
+    limit = mean + HEAVY * mean**0.5 + 16  # a cell of unrelated rare shingles stays below
     out = np.zeros(CELLS, bool)
     for r in rows:
         out[r.part :: parts] = np.frombuffer(r.counts, np.int64) > limit
@@ -217,25 +220,15 @@ def verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _settle(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links among the pairs, the arrays of their texts)."""
+def _settle(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among the pairs."""
     pairs = materialise(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     arrays = materialise(sorted_arrays(docs, ends, width), "arrays")
     links = verify(pairs, arrays, percent)
     discard(pairs)
-    return links, arrays
-
-
-def _first_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """For each class one partner: the leader that it shares most prefix shingles with; leaders of salted groups meet too."""
-    own = groups.filter("lead <> doc").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("votes"), F.max("n").alias("n"), F.max("lead_n").alias("lead_n"))
-    # Which pairs are tried first is a matter of cost only: those that seem near enough to link.
-    own = own.filter((F.lit(100) * F.col("lead_n") >= percent * F.col("n")) & (3 * F.col("votes") >= least_matches(F.col("n"), F.col("lead_n"), percent)))
-    across = groups.filter("salt > 0").groupBy("shingle", "salt").agg(F.min(F.struct("n", "doc")).alias("s")).groupBy("shingle").agg(F.min("s").alias("top"), F.collect_set("s").alias("all"))
-    across = across.select(F.col("top.doc").alias("a"), F.explode("all").alias("s"), F.col("top.n").alias("top_n")).filter(f"s.doc <> a AND 100 * top_n >= {percent} * s.n").select("a", F.col("s.doc").alias("b")).groupBy("a", "b").agg(F.count("*").alias("votes"))
-    best = lambda x: x.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    return best(own).unionByName(best(across)).distinct()
+    discard(arrays)
+    return links
 
 
 def least_matches(n: Column, m: Column, percent: int) -> Column:
@@ -274,7 +267,7 @@ def _pair_table(x, y) -> pa.Table:
 
 
 def _small_groups(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs of shingle groups of up to BLOCK members, many groups at a time."""
+    """Pairs of shingle groups of up to LARGE members; groups led by the same text go together, so a pair mostly leaves once."""
 
     def pairs(t):
         shingle, n, doc, comp = (t.column(c).to_numpy() for c in ("shingle", "n", "doc", "comp"))
@@ -283,43 +276,57 @@ def _small_groups(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
         i, j = _near_in_size(shingle, n, doc, comp, percent)
         return _pair_table(doc[i], doc[j])
 
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("shingle", F.lit(11)), F.lit(buckets))).groupBy("bucket").applyInArrow(pairs, "a long, b long, matches long")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("lead"), F.lit(buckets))).groupBy("bucket").applyInArrow(pairs, "a long, b long, matches long")
 
 
-def _large_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of larger groups: tiles of two blocks of a size band and the band below, thinned by the bitmaps."""
+def _large_groups(rows: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """Pairs of larger groups: tiles of two blocks of a size band and the band below, thinned by the bitmaps.
+
+    Groups led by the same text share tiles. ``best`` keeps each text's most alike partners of a tile only.
+    """
     ratio = float(np.log(100 / percent))
     rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / ratio + 1e-9).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # A member is at home in its band and a guest in the band above; a link spans at most one band edge.
     rows = rows.withColumn("at", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home")))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    rows = rows.select("shingle", F.col("at.tile").alias("tile"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("at.home").alias("home"), "block", "n", "doc", "comp", "bitmap")
+    rows = rows.groupBy("lead", F.col("at.tile").alias("tile"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("at.home").alias("home"), "block", "n", "doc", "comp").agg(F.collect_set("shingle").alias("shingles"), F.first("bitmap").alias("bitmap"))
 
     def pairs(key, t):
         low, high = key[2].as_py(), key[3].as_py()
         home = t.column("home").to_numpy()
         block, n, doc, comp = (t.column(c).to_numpy() for c in ("block", "n", "doc", "comp"))
+        n = n.astype(np.int64)
         maps = [np.frombuffer(x, np.uint8) for x in t.column("bitmap").to_pylist()]
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        held = t.column("shingles").combine_chunks()
+        names, token = np.unique(held.flatten().to_numpy(), return_inverse=True)
+        member = np.zeros((len(n), len(names)), np.float32)
+        member[np.repeat(np.arange(len(n)), np.diff(held.offsets.to_numpy())), token] = 1
+        x, y, z = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         every = np.arange(len(n))
         sides = [(every[home & (block == low)], every[block == high])] + ([(every[home & (block == high)], every[block == low])] if low != high else [])
         for homes, rest in sides:
             if not len(homes) or not len(rest) or (comp[homes].min() == comp[homes].max() == comp[rest].min() == comp[rest].max()):
                 continue
+            shared = member[homes] @ member[rest].T
             size = min(min(len(maps[i]) for i in homes), min(len(maps[i]) for i in rest))
             stack = np.stack([fold_bitmap(maps[i], size) for i in rest]).view(np.uint64)
-            for i in homes:
-                fit = (comp[rest] != comp[i]) & (100 * n[rest] >= percent * n[i]) & (100 * n[i] >= percent * n[rest])
+            for i, common in zip(homes, shared, strict=True):
+                fit = (common > 0) & (comp[rest] != comp[i]) & (100 * n[rest] >= percent * n[i]) & (100 * n[i] >= percent * n[rest])
                 fit &= ~home[rest] | (doc[rest] > doc[i])
                 at = np.flatnonzero(fit)
-                differ = np.bitwise_count(stack[at] ^ fold_bitmap(maps[i], size).view(np.uint64)).sum(axis=1)
-                m = n[rest[at]].astype(np.int64)
-                at = at[(n[i] + m - differ) // 2 >= need(int(n[i]), m, percent)]
+                differ = np.bitwise_count(stack[at] ^ fold_bitmap(maps[i], size).view(np.uint64)).sum(axis=1).astype(np.int64)
+                m = n[rest[at]]
+                ok = (n[i] + m - differ) // 2 >= need(int(n[i]), m, percent)
+                at, differ = at[ok], differ[ok]
+                if best is not None and len(at) > best:
+                    at = at[np.argpartition(differ, best)[:best]]
                 x.append(doc[rest[at]])
                 y.append(np.full(len(at), doc[i]))
-        return _pair_table(np.concatenate(x), np.concatenate(y))
+                z.append(common[at].astype(np.int64))
+        x, y, z = np.concatenate(x), np.concatenate(y), np.concatenate(z)
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "matches": z})
 
-    return rows.groupBy("shingle", "tile", "low", "high").applyInArrow(pairs, "a long, b long, matches long")
+    return rows.groupBy("lead", "tile", "low", "high").applyInArrow(pairs, "a long, b long, matches long")
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,34 +340,35 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75,
     classes = materialise(sets.filter("n_shingles > 0").groupBy(*identity).agg(F.min("doc_id").alias("class_id")), "classes")
 
     rows = prefixes(docs, width, percent, crowded_cells(docs, width))
-    group = Window.partitionBy("shingle", "salt")
-    groups = rows.withColumns({"size": F.count("*").over(group), "lead": F.min(F.struct("n", "doc")).over(group)}).filter("size > 1 OR salt > 0")
-    groups = groups.select("shingle", "salt", "n", "doc", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"))
-    named = sets.join(classes, identity).select("doc_id", "class_id")
-    groups = groups.join(named.toDF("doc", "c"), "doc").join(named.toDF("lead", "d"), "lead")
-    groups = materialise(groups.select("shingle", "salt", "n", F.col("c").alias("doc"), F.col("d").alias("lead"), "lead_n").distinct(), "groups")
-
-    first, arrays = _settle(docs, _first_pairs(groups, percent), width, percent)
-    discard(arrays)
-    labels = materialise(components(first), "labels")
-
-    # Groups that are not yet in one component go through the tiles.
-    tagged = groups.select("shingle", "n", "doc").distinct().join(labels.toDF("doc", "label"), "doc", "left").select("shingle", "n", "doc", F.coalesce("label", "doc").alias("comp"))
-    tagged = materialise(tagged, "tagged")
+    groups = rows.withColumn("size", F.count("*").over(Window.partitionBy("shingle", "salt"))).filter("size > 1 OR salt > 0")
+    named = sets.join(classes, identity).select(F.col("doc_id").alias("doc"), "class_id")
+    groups = materialise(groups.join(named, "doc").select("shingle", "n", F.col("class_id").alias("doc")).distinct(), "groups")
+    heads = groups.groupBy("shingle").agg(F.count("*").alias("size"), F.min("doc").alias("lead")).filter("size > 1")
+    rest = materialise(groups.join(heads, "shingle"), "rest")
     discard(groups)
-    mixed = tagged.groupBy("shingle").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rest = materialise(tagged.join(mixed, "shingle"), "rest")
-    discard(tagged)
-    small, large = rest.filter("blocks = 1"), rest.filter("blocks > 1")
+    most = rest.groupBy("lead").agg(F.max("size").alias("most"))
+    rest = rest.join(most, "lead").select("shingle", "lead", "n", "doc", F.ceil(F.col("most") / BLOCK).alias("blocks"), (F.col("most") > LARGE).alias("large"))
+
+    # Large groups first lose their copies: each text is tried against its most alike partners.
+    large = rest.filter("large").select("shingle", "lead", "n", "doc", "blocks")
+    bits = materialise(sorted_arrays(docs, large.select("doc").distinct(), width).select("doc", "bitmap"), "bitmaps")
+    large = large.join(bits, "doc")
+    tries = _large_groups(large.withColumn("comp", F.col("doc")), percent, BEST).select("a", "b").distinct()
+    first = _settle(docs, tries, width, percent)
+    labels = materialise(components(first), "labels").toDF("doc", "label")
+
+    # Then all pairs of texts that are not yet in one component.
+    def split(x):
+        return x.join(labels, "doc", "left").withColumn("comp", F.coalesce("label", "doc")).drop("label")
+
+    small = rest.filter("NOT large").select("shingle", "lead", "n", "doc", F.col("doc").alias("comp"))
     buckets = max(1, small.count() // ROWS)
-    thick = materialise(sorted_arrays(docs, large.select("doc").distinct(), width).select("doc", "bitmap"), "bitmaps")
-    pairs = _small_groups(small, percent, buckets).unionByName(_large_groups(large.join(thick, "doc"), percent))
+    pairs = _small_groups(split(small.drop("comp")), percent, buckets).unionByName(_large_groups(split(large), percent))
     pairs = pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"))
     size = rest.groupBy("doc").agg(F.max("n").cast("long").alias("n"))
     pairs = pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(F.col("matches") >= least_matches(F.col("n"), F.col("m"), percent)).select("a", "b")
-    second, arrays = _settle(docs, pairs, width, percent)
-    for x in (arrays, rest, thick):
-        discard(x)
+    second = _settle(docs, pairs, width, percent)
+    discard(bits)
     labels = components(first.unionByName(second))
 
     members = sets.join(classes, identity, "left")

@@ -28,7 +28,7 @@ from parcelspark.llm.bpe import encode, encoding
 from parcelspark.llm.common import mix
 
 LENGTH = 2048
-PER_SHARD = 8192
+PER_SHARD = 4096
 ROUNDS = 6
 
 
@@ -123,8 +123,8 @@ def materialise_training_order(documents: DataFrame, out: str, ranks: str, patte
                 yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array([k] * len(at), pa.int64()), pa.array((s[at] - k * per_shard) * stride), pa.array([stride] * len(at), pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())], ["slot", "shard", "byte_offset", "n_bytes", "crc32"])
         close()
 
-    dealt = texts.mapInArrow(deal, "slot long, ids binary").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
-    placed = dealt.repartition(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("slot").select("slot", "ids")
+    dealt = texts.mapInArrow(deal, "slot long, ids binary")
+    placed = dealt.repartitionById(max(1, -(-total // per_shard)), F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
     return placed.mapInArrow(write, "slot long, shard long, byte_offset long, n_bytes long, crc32 long")
 
 
