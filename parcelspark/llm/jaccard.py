@@ -285,11 +285,12 @@ def _large_groups(rows: DataFrame, percent: int, best: int | None = None) -> Dat
     Groups led by the same text share tiles. ``best`` keeps each text's most alike partners of a tile only.
     """
     ratio = float(np.log(100 / percent))
+    rows = rows.groupBy("lead", "blocks", "n", "doc", "comp").agg(F.collect_set("shingle").alias("shingles"), F.first("bitmap").alias("bitmap"))  # a text's prefix at most
     rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / ratio + 1e-9).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # A member is at home in its band and a guest in the band above; a link spans at most one band edge.
     rows = rows.withColumn("at", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home")))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    rows = rows.groupBy("lead", F.col("at.tile").alias("tile"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("at.home").alias("home"), "block", "n", "doc", "comp").agg(F.collect_set("shingle").alias("shingles"), F.first("bitmap").alias("bitmap"))
+    rows = rows.select("lead", F.col("at.tile").alias("tile"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("at.home").alias("home"), "block", "n", "doc", "comp", "shingles", "bitmap")
 
     def pairs(key, t):
         low, high = key[2].as_py(), key[3].as_py()
