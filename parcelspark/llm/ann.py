@@ -22,11 +22,11 @@ from parcelspark.llm.common import materialise, sample_rows
 
 SAMPLE = 8192
 CALIBRATION = 200
-LEAF_ROWS = 256
+LEAF_ROWS = 1024
 MAX_LEAVES = 4096
 BLOCK = 4096
 QUERIES = 8192  # of one leaf that meet a block at a time
-RECALL = 0.97
+RECALL = 0.95
 
 
 def k_means(x: np.ndarray, k: int, rng, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -82,31 +82,37 @@ def vectors_of(column) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def top(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, approx: np.ndarray, k: int):
-    """(ids, scores) of the k best of a block: exact scores for all that the approximate ones can't rule out."""
-    at = np.flatnonzero(ids != query_id)
-    if len(at) > k:
-        least = np.partition(approx[at], len(at) - k)[len(at) - k]
-        at = at[approx[at] >= least - 1e-9 * max(1.0, abs(least))]
-    score = np.zeros(len(at))
-    for d in range(len(q)):
-        score += x[at, d] * q[d]
-    order = np.lexsort((ids[at], -score))[:k]
-    return ids[at][order], score[order]
+def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
+    """The k best of a block for each query: (query number, position), by query, falling score and rising id, and the scores.
+
+    Scores are exact for all that the matrix product can't rule out.
+    """
+    near = q @ x.T
+    near[query_ids[:, None] == ids[None, :]] = -np.inf
+    if near.shape[1] > k:
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        least = least - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(least), least, 0)))
+    else:
+        least = np.full(len(q), -np.inf)
+    row, at = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+    score = np.zeros(len(row))
+    for d in range(q.shape[1]):
+        score += x[at, d] * q[row, d]
+    order = np.lexsort((ids[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], at[keep], score[keep]
 
 
 def _merge(k: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scores, leaves = [], [], []
+        ids, scores, leaves = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)
         for b in batches:
-            for i, s, leaf in zip(b.column("ids").to_pylist(), b.column("scores").to_pylist(), b.column("leaves").to_pylist(), strict=True):
-                ids += i
-                scores += s
-                leaves += leaf
-            order = np.lexsort((np.array(ids, np.int64), -np.array(scores, float)))[:k].tolist()
-            ids, scores, leaves = ([y[i] for i in order] for y in (ids, scores, leaves))
+            ids, scores, leaves = (np.concatenate((a, b.column(c).flatten().to_numpy())) for a, c in ((ids, "ids"), (scores, "scores"), (leaves, "leaves")))
+            order = np.lexsort((ids, -scores))[:k]
+            ids, scores, leaves = ids[order], scores[order], leaves[order]
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(leaves, pa.int32())], ["query_id", "rank", "vec_id", "score", "leaf"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key[0].as_py(), np.int64)), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(ids), pa.array(scores), pa.array(leaves.astype(np.int32))], ["query_id", "rank", "vec_id", "score", "leaf"])
 
     return run
 
@@ -115,8 +121,10 @@ PARTIAL = "query_id long, ids array<bigint>, scores array<double>, leaves array<
 FOUND = "query_id long, rank int, vec_id long, score double, leaf int"
 
 
-def _partial(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32())))], ["query_id", "ids", "scores", "leaves"])
+def _partial(query_ids: np.ndarray, row, ids, scores, leaves) -> pa.RecordBatch:
+    """One row for each query with what it found."""
+    edges = pa.array(np.searchsorted(row, np.arange(len(query_ids) + 1)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(query_ids), *(pa.ListArray.from_arrays(edges, pa.array(x)) for x in (ids, scores, leaves.astype(np.int32)))], ["query_id", "ids", "scores", "leaves"])
 
 
 def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -133,16 +141,11 @@ def brute_force(filed: DataFrame, queries: list[tuple[int, list[float]]], k: int
     shared = filed.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
-        qs = np.array([q for _, q in shared.value])
+        q, qid = np.array([v for _, v in shared.value]), np.array([i for i, _ in shared.value])
         for b in batches:
             ids, x, leaf = b.column(0).to_numpy(), vectors_of(b.column(1)), b.column(2).to_numpy()
-            where = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
-            near = qs @ x.T
-            rows = []
-            for j, (qid, q) in enumerate(shared.value):
-                i, s = top(ids, x, qid, np.array(q), near[j], k)
-                rows.append((qid, i.tolist(), s.tolist(), [where[y] for y in i.tolist()]))
-            yield _partial(rows)
+            row, at, score = block_top(ids, x, qid, q, k)
+            yield _partial(qid, row, ids[at], score, leaf[at])
 
     return filed.select("vec_id", "v", "leaf").mapInArrow(run, PARTIAL).groupBy("query_id").applyInArrow(_merge(k), FOUND)
 
@@ -198,21 +201,17 @@ def nearest(embeddings: DataFrame, query_filter, k: int = 20, id_col: str = "vec
 
     def search(left, right):
         if not left.num_rows or not right.num_rows:
-            return _table([])
+            none = np.zeros(0, np.int64)
+            return pa.Table.from_batches([_partial(none, none, none, np.zeros(0), none)])
         ids, x = left.column("vec_id").to_numpy(), vectors_of(left.column("v").combine_chunks())
         leaf = int(left.column("leaf")[0].as_py())
         qid, q = right.column("query_id").to_numpy(), vectors_of(right.column("q").combine_chunks())
-        rows = []
-        for i in range(0, len(q), 256):
-            near = q[i : i + 256] @ x.T
-            for j in range(len(near)):
-                found, s = top(ids, x, int(qid[i + j]), q[i + j], near[j], k)
-                rows.append((int(qid[i + j]), found.tolist(), s.tolist(), [leaf] * len(found)))
-        return _table(rows)
+        parts = []
+        for i in range(0, len(q), 512):
+            row, at, score = block_top(ids, x, qid[i : i + 512], q[i : i + 512], k)
+            parts.append(_partial(qid[i : i + 512], row, ids[at], score, np.full(len(at), leaf)))
+        return pa.Table.from_batches(parts)
 
     partial = held.groupBy("leaf", "block", "slice").cogroup(wanted.groupBy("leaf", "block", "slice")).applyInArrow(search, PARTIAL)
     return partial.groupBy("query_id").applyInArrow(_merge(k), FOUND).select("query_id", "rank", "vec_id", "score")
 
-
-def _table(rows) -> pa.Table:
-    return pa.Table.from_batches([_partial(rows)])
