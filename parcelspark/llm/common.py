@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from functools import lru_cache
 
@@ -55,8 +56,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished work, which stand until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds what is unused, the second lets its cleaners run
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def fold(doc_id: str, modulus: int) -> Column:
