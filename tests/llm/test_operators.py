@@ -1,0 +1,230 @@
+"""Operators against brute force on small tables, with nulls, empty and long texts, ties and copies."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from parcelspark.llm import ann, bpe, common, jaccard, langid, lm, packing, pii, quality, shards, tokens, toxicity
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENIZER = P.path("word_bpe_49k.json")
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 6)))
+    texts = [None, "", " \n\t ", "one two", "ONE two", "é", "x" * 3000, "a b c d e", "a b c d e"]
+    for _ in range(40):
+        base = [word() for _ in range(rnd.choice([4, 6, 30, 80, 200]))]
+        texts.append(" ".join(base))
+        for _ in range(rnd.randrange(4)):
+            copy = list(base)
+            for _ in range(rnd.randrange(4)):
+                copy[rnd.randrange(len(copy))] = word()
+            texts.append("\n".join([" ".join(copy), " ".join(copy[:3])]))
+    texts.append(" ".join(word() for _ in range(30_000)))
+    return [(i, t, "en" if i % 2 else "fr", "s", len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    path = common.scratch_path(spark, "docs")
+    df.write.parquet(path)
+    return spark.read.parquet(path).withColumn("size", F.lit(1)).withColumn("comp", F.lit(2))
+
+
+def test_quality_counts(docs, rows, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    for i, t, *_ in rows:
+        w = WORDS.findall(t or "")
+        grams = Counter(zip(w, w[1:], w[2:]))
+        covered = {k + j for k, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
+        assert (got[i].n_words, got[i].word_chars, got[i].n_dup_lines, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        assert got[i].base_failed == (len(w) < 50 or 2 * len(covered) > len(w))
+
+
+def test_jaccard_components(docs, rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORDS.findall(lower(t or ""))
+        sets[i] = set(zip(*(w[j:] for j in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_jaccard_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LARGE", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rnd = random.Random(5)
+    base = [str(rnd.random()) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rnd.randrange(5)):
+            copy[rnd.randrange(120)] = str(rnd.random())
+        rows.append((i, " ".join(copy)))
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)))) for i, t in rows}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == label
+
+
+def test_lm_scores(docs, rows):
+    texts = {i: WORDS.findall(lower(t or "")) for i, t, *_ in rows}
+    one, two = Counter(), Counter()
+    for w in texts.values():
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    total = sum(one.values())
+    got = {r.doc_id: r for r in lm.score_documents(docs, buckets=3).collect()}
+    for i, w in texts.items():
+        if not w:
+            assert got[i].n_tokens == 0 and got[i].log_score is None
+            continue
+        want = math.log(one[w[0]] / total) + sum(math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total) for a, b in zip(w, w[1:]))
+        assert math.isclose(got[i].log_score, want, rel_tol=1e-9) and got[i].n_tokens == len(w)
+
+
+def test_packing(docs, rows):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(TOKENIZER)
+    got = packing.pack_documents(docs, TOKENIZER, 256, 1).collect()
+    ids = {i: tk.encode(t or "", add_special_tokens=False).ids + [1] for i, t, *_ in rows}
+    for r in got:
+        part = np.array(ids[r.doc_id][r.piece * 256 : r.piece * 256 + 256], "<u4")
+        assert (r.start, r.length, r.ids_crc32) == (r.piece * 256, len(part), zlib.crc32(part.tobytes()))
+    assert len(got) == sum(-(-len(x) // 256) for x in ids.values())
+    bins = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == bins.get(r.sequence_id, 0)
+        bins[r.sequence_id] = r.offset + r.length
+    assert max(bins.values()) <= 256
+    assert len(bins) <= packing.lower_bound(np.bincount([r.length for r in got], minlength=257), 256) + 1
+
+
+def test_lower_bound_never_exceeds_a_packing():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        x = rnd.integers(1, 60, rnd.integers(1, 40))
+        assert packing.lower_bound(np.bincount(x, minlength=61), 60) <= packing.best_fit_decreasing(x, 60).max() + 1
+
+
+def test_chunk_encoder_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    tk, enc, rnd = Tokenizer.from_file(TOKENIZER), tokens.ChunkEncoder(TOKENIZER), random.Random(1)
+    parts = ["a", "B1", "É", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\x01", "\x1c", "\x85", "'s", "二", "!", "Σ", "́", "\x00"]
+    odd = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(25))) for _ in range(1500)]
+    flat, counts = enc.encode([t.encode() for t in odd])
+    at = 0
+    for t, n in zip(odd, counts, strict=True):
+        assert flat[at : at + n].tolist() == tk.encode(t, add_special_tokens=False).ids
+        at += n
+
+
+def test_byte_bpe_round_trip(docs, rows):
+    enc = bpe.encoding(RANKS, P.PATTERN)
+    got = {r.doc_id: r for r in bpe.digests(docs, RANKS, P.PATTERN).collect()}
+    for i, t, *_ in rows:
+        ids = np.array(enc.encode_ordinary(t or ""), "<u4")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), bpe.sha256_hex(ids.tobytes()), bpe.sha256_hex((t or "").encode()))
+    long = "word 12 's  é\n" * 4000
+    assert bpe.encode(long, enc, 100).tolist() == enc.encode_ordinary(long)
+
+
+def test_pii(spark):
+    texts = ["card 4539 1488 0343 6467, not 4539 1488 0343 6468", "a.b+c@mail.example.com!", "1999-12-31 or 31/12/1999, never 1999-02-30", "+1 (017) 555-7713 and 10.20.30.40 and 999.1.1.1", "GB82 WEST 1234 5698 7654 32", "", None, "no data"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pii", F.lit("clash"))
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    kinds = {i: [x.kind for x in got[i].pii or []] for i in got}
+    assert kinds == {0: ["card"], 1: ["email"], 2: ["date", "date"], 3: ["phone", "ipv4"], 4: ["iban"], 5: [], 6: [], 7: []}
+    card = re.sub(r"\D", "", got[0].pii[0].value)
+    assert sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(card))) % 10 == 0
+    assert "4539 1488 0343 6468" in got[0].text and "1999-02-30" in got[2].text and "999.1.1.1" in got[3].text
+    iban = got[4].pii[0].value.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    d, e = (x.value for x in got[2].pii)
+    assert d == "-".join(reversed(e.split("/"))) and got[6].text is None and got[7].text == "no data"
+
+
+def test_feistel_is_a_permutation(spark):
+    df = spark.range(600).select(pii.feistel(F.col("id"), F.lit(20).cast("long"), F.lit(30).cast("long"), "k", F.lit("t")).alias("x"))
+    assert sorted(r.x for r in df.collect()) == list(range(600))
+    for n in (1, 2, 7, 100, 1025):
+        assert sorted(shards.slots(np.arange(n), n, "k").tolist()) == list(range(n))
+
+
+def test_shards_read_back(docs, rows, spark):
+    out = common.scratch_path(spark, "shards")
+    got = shards.materialise_training_order(docs, out, RANKS, P.PATTERN, "k", length=64, per_shard=50).collect()
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    read = shards.read_slots(spark, out, 0, len(got) + 5, 64, 50)
+    assert len(read) == len(got)
+    assert all(zlib.crc32(read[r.slot].tobytes()) == r.crc32 and r.shard == r.slot // 50 for r in got)
+    enc = bpe.encoding(RANKS, P.PATTERN)
+    want = Counter(x for _, t, *_ in rows for x in [*enc.encode_ordinary(t or ""), 50256])
+    have = Counter(np.concatenate(read).tolist())
+    want[50256] = have[50256] = 0
+    assert want == have
+
+
+def test_neighbours(spark):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(400, 16)).astype(np.float32)
+    x[50:90] = x[50]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, "vec_id % 20 = 0", 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits, y = 0, x.astype(float)
+    for q in range(0, 400, 20):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(400), -np.round(s, 9)))[:5].tolist()) & set(got[q]))
+    assert set(got) == set(range(0, 400, 20)) and hits >= 90
+
+
+@pytest.mark.parametrize("run", [
+    lambda d, l: jaccard.jaccard_components(d), lambda d, l: lm.score_documents(d), lambda d, l: packing.pack_documents(d, TOKENIZER), lambda d, l: bpe.digests(d, RANKS, P.PATTERN),
+    lambda d, l: quality.quality(d, l), lambda d, l: toxicity.score_toxicity(d, l), lambda d, l: langid.detect_language(d), lambda d, l: pii.pseudonymise(d, "k"),
+])
+def test_empty_tables(spark, run):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert run(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lang = langid.detect_language(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert lang.filter("lang = lang_pred").count() >= 0.95 * lang.count()
+    tox = toxicity.score_toxicity(docs, labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").filter("toxic IS NOT NULL")
+    assert tox.filter("toxic = predicted").count() >= 0.85 * tox.count()
