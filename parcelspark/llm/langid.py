@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parcelspark.llm.common import chunks, fold, texts_of
+from parcelspark.llm.common import chunks, fold, texts_of, trim
 from parcelspark.llm.linear import Ngrams, Rows, calibrate, collect_features, fit, sigmoid
 
-SAMPLE = 800
+SAMPLE = 500
 GRAMS = Ngrams(words=(), chars=(2, 3, 4), bits=16)
 # Families of common ISO 639-1 codes.
 FAMILIES = {
@@ -67,6 +67,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 3) -> dict:
         for x, y in combinations([k for k in langs if family_of(k) == f], 2):
             at = np.flatnonzero((lang == x) | (lang == y))
             out["pairs"].append((f, x, y, _model([index[i] for i in at], [value[i] for i in at], (lang[at] == x).astype(int), late[at], "hinge")))
+    del index, value, texts
+    trim()
     return out
 
 

@@ -110,9 +110,9 @@ class Rows:
 
     def __init__(self, index, value, size):
         n = np.array([len(x) for x in index])
-        self.index = np.concatenate(index).astype(np.int64) if len(index) else np.zeros(0, np.int64)
-        self.value = np.concatenate(value).astype(np.float64) if len(value) else np.zeros(0)
-        self.row, self.count, self.size = np.repeat(np.arange(len(n)), n), len(n), size
+        self.index = np.concatenate(index).astype(np.int32) if len(index) else np.zeros(0, np.int32)
+        self.value = np.concatenate(value).astype(np.float32) if len(value) else np.zeros(0, np.float32)
+        self.row, self.count, self.size = np.repeat(np.arange(len(n), dtype=np.int32), n), len(n), size
 
     def dot(self, w):
         return np.bincount(self.row, weights=self.value * w[self.index], minlength=self.count)

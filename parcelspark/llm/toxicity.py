@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import fold, materialise, mix, sample_rows
+from parcelspark.llm.common import fold, materialise, mix, sample_rows, trim
 from parcelspark.llm.linear import calibrate, sigmoid
 
 SAMPLE = 2000
@@ -134,6 +134,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     rows = sorted(kept.collect(), key=lambda r: r["doc_id"])
     index = BlockMaxIndex([r["doc_id"] for r in rows], [{x["words"]: x["counts"] for x in r["w"]} for r in rows], [r["label"] for r in rows], names, np.log(1 + n / np.array([r["df"] for r in terms], float)) if terms else np.zeros(0))
     votes = np.array([index.vote(index.nearest(*index.vector({x["words"]: x["counts"] for x in r["w"]}), k, r["doc_id"])) for r in rows])
+    del seen, kept
+    trim()
     return index, *calibrate(votes, np.array([int(r["label"] == 1) for r in rows]))
 
 
