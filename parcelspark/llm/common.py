@@ -85,6 +85,11 @@ def sample_rows(df: DataFrame, key: str, seed: int, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(rows)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python ``rows`` at a time, so a batch of long ones stays small in both processes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, nulls as empty."""
     import pyarrow as pa

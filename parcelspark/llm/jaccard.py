@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parcelspark.llm.common import chunks, discard, materialise, mix, shingle_sets, texts_of
+from parcelspark.llm.common import chunks, discard, materialise, mix, shingle_sets, small_batches, texts_of, trim
 from parcelspark.llm.components import components
 
 CELLS = 1 << 20
@@ -46,6 +46,7 @@ def _sets(batches, width):
         docs = texts_of(b.column(1))
         for i, j in chunks([len(d) for d in docs], CHUNK):
             yield b.column(0).slice(i, j - i), shingle_sets(docs[i:j], width)
+    trim()
 
 
 def need(n, m, percent: int):
@@ -335,6 +336,7 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75,
 
     Ids must be unique and not null. Empty tables give an empty result.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(describe(docs, width), "sets")
     identity = ["n_shingles", "sum_a", "sum_b"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parcelspark.llm.common import chunks, fold, texts_of, trim
+from parcelspark.llm.common import chunks, fold, small_batches, texts_of, trim
 from parcelspark.llm.linear import Ngrams, Rows, calibrate, collect_features, fit, sigmoid
 
 SAMPLE = 500
@@ -106,6 +106,7 @@ def identify(texts: list[str | None], docs: list[bytes], model: dict) -> tuple[l
 
 def detect_language(documents: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score. Learns from rows whose fold is not ``held``."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = train(rows.filter(fold("doc_id", modulus) != held))
     shared = documents.sparkSession.sparkContext.broadcast(model)
