@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.plans import leads, market
-from parcelspark.sources.bridge import AS_OF, BRIDGE_SQL, listings, price_bands
+from parcelspark.plans import history, leads, market, valuation
+from parcelspark.sources.bridge import AS_OF, BRIDGE_SQL, DEEDS_SQL, deeds, listings, price_bands
 from parcelspark.streaming import windows
 
 B = BRIDGE_SQL
@@ -27,6 +27,10 @@ def _events(product) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: product(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def _confidence(comps: DataFrame) -> DataFrame:
+    return valuation.estimate_confidence(leads.comp_estimates(comps), comps)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dom_by_cohort": _on(market.dom_by_cohort, True),
     "dom_by_subdivision": _on(market.dom_by_subdivision),
@@ -53,6 +57,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "comp_estimates": lambda spark, d: leads.comp_estimates(leads.comp_scores(listings(spark, d), AS_OF)),
     "neighbours_of_sales": _on(leads.neighbours_of_sales, as_of=AS_OF),
     "seller_scores": _on(leads.seller_scores, as_of=AS_OF),
+    "expired_then_sold": lambda spark, d: history.expired_then_sold(listings(spark, d), deeds(spark, d)),
+    "price_trends": lambda spark, d: history.price_trends(listings(spark, d), deeds(spark, d)),
+    "sale_history": _on(history.sale_history),
+    "expired_unrelisted": _on(history.expired_unrelisted, as_of=AS_OF),
+    "saved_search_diff": _on(history.saved_search_diff, as_of=AS_OF, class_id="RE_1", least_price=50_000.0, most_price=300_000.0, least_beds=2),
+    "neighbour_outreach": lambda spark, d: history.neighbour_outreach(listings(spark, d), leads.seller_scores(listings(spark, d), AS_OF), AS_OF),
+    "adjusted_comps": lambda spark, d: valuation.adjusted_comps(leads.comp_scores(listings(spark, d), AS_OF), listings(spark, d), AS_OF),
+    "pending_prices": _on(valuation.pending_prices),
+    "backtest": _on(valuation.backtest),
+    "size_factor_sweep": _on(valuation.size_factor_sweep),
+    "market_context": _on(valuation.market_context, as_of=AS_OF),
+    "estimate_confidence": lambda spark, d: _confidence(leads.comp_scores(listings(spark, d), AS_OF)),
     "events_tumbling": _events(windows.tumbling),
     "events_sliding": _events(windows.sliding),
 }
@@ -138,3 +154,50 @@ SELECT parcel_id, t + e + c + o + g AS score, concat_ws(';', CASE WHEN t > 0 THE
     "events_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     "events_sliding": "SELECT (date_trunc('day', ts) - INTERVAL 1 DAY * i)::TIMESTAMP AS window_start, count(*) AS n FROM events, range(7) t(i) GROUP BY 1",
 }
+
+_PIT = f"""{B}, done AS (SELECT * FROM {SOLD.replace("AND list_price > 0 ", "")} WHERE sqft > 0),
+pit AS (SELECT s.listing_id, s.county, s.sqft, s.sold_price, c.sold_price AS c_price, c.sqft AS c_sqft FROM done s JOIN done c ON c.city = s.city AND c.class_id = s.class_id AND c.parcel_id <> s.parcel_id
+  AND c.close_date < s.close_date AND c.close_date >= s.close_date - INTERVAL 36 MONTH AND c.sqft >= 0.75::DOUBLE * s.sqft AND c.sqft <= 1.25::DOUBLE * s.sqft)"""
+
+ORACLE |= {
+    "expired_then_sold": f"""{B}, {DEEDS_SQL}, last AS (SELECT parcel_id, max(deed_date) AS deed_date, arg_max(deed_price, (deed_date, deed_id)) AS deed_price FROM deeds WHERE deed_price > 5000 GROUP BY 1)
+SELECT listing_id, class_id, status, city, list_date, list_date + dom AS off_date, deed_date, deed_price, round(deed_price / original_list_price, 4) AS deed_to_original, CAST(deed_date - (list_date + dom) AS BIGINT) AS days_off_to_deed, CAST(deed_date - list_date AS BIGINT) AS days_listed_to_deed
+FROM listings JOIN last USING (parcel_id) WHERE status IN ('Expired/Cancelled', 'Withdrawn') AND deed_date >= list_date + dom""",
+    "price_trends": f"""{B}, {DEEDS_SQL}, m AS (SELECT CAST(year(close_date) AS INTEGER) AS year, parcel_id, city, class_id, sold_price AS price FROM listings WHERE status = 'Closed' AND sold_price > 0),
+d AS (SELECT CAST(year(deed_date) AS INTEGER) AS year, parcel_id, county AS city, 'DEED' AS class_id, deed_price AS price FROM deeds WHERE arms_length AND deed_price > 5000),
+u AS (SELECT *, 'mls' AS source FROM m UNION ALL SELECT *, 'deed' FROM d WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.parcel_id = d.parcel_id AND m.year = d.year))
+SELECT year, city, class_id, source, count(*) AS n, round(median(price), 0) AS median_sold, round(quantile_cont(price, 0.25), 0) AS p25_sold, round(quantile_cont(price, 0.75), 0) AS p75_sold FROM u GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3""",
+    "sale_history": f"""{B}, x AS (SELECT DISTINCT parcel_id, CAST(trunc(sold_price) AS BIGINT) AS price, close_date AS sale_date FROM listings WHERE status = 'Closed' AND sold_price > 0)
+SELECT *, CAST(row_number() OVER (PARTITION BY parcel_id ORDER BY sale_date DESC NULLS LAST, price DESC) AS INTEGER) AS place FROM x""",
+    "expired_unrelisted": f"""{B}, g AS (SELECT *, list_date + dom AS off_date FROM listings WHERE status = 'Expired/Cancelled' AND list_date + dom <= {DAY} AND list_date + dom > {DAY} - 365)
+SELECT parcel_id, listing_id, off_date, list_price, original_list_price, count(*) OVER (PARTITION BY parcel_id) AS n_expired FROM g
+WHERE NOT EXISTS (SELECT 1 FROM listings l WHERE l.parcel_id = g.parcel_id AND l.status IN ('Active', 'Pending')) QUALIFY row_number() OVER (PARTITION BY parcel_id ORDER BY off_date DESC, listing_id DESC) = 1
+  AND NOT EXISTS (SELECT 1 FROM listings l WHERE l.parcel_id = g.parcel_id AND l.list_date > g.off_date)""",
+    "saved_search_diff": f"""{B}, f AS (SELECT * FROM listings WHERE class_id = 'RE_1' AND list_price BETWEEN 50000 AND 300000 AND bedrooms >= 2),
+cur AS (SELECT listing_id FROM f WHERE list_date <= {DAY} AND list_date + dom > {DAY}), prev AS (SELECT listing_id FROM f WHERE list_date <= {DAY} - 30 AND list_date + dom > {DAY} - 30),
+c AS (SELECT listing_id, 'NEW' AS change FROM (SELECT * FROM cur EXCEPT SELECT * FROM prev) UNION ALL SELECT listing_id, 'DROPPED' FROM (SELECT * FROM prev EXCEPT SELECT * FROM cur))
+SELECT listing_id, parcel_id, city, list_price, change FROM c JOIN f USING (listing_id)""",
+    "neighbour_outreach": f"""{B}, ss AS ({ORACLE["seller_scores"]}), s AS (SELECT * FROM listings WHERE status = 'Closed' AND sold_price > 0 AND close_date BETWEEN {DAY} - 14 AND {DAY}),
+n AS (SELECT DISTINCT ss.parcel_id AS neighbour, ss.score, l.subdivision FROM ss JOIN listings l USING (parcel_id) WHERE ss.score >= 30 AND ss.parcel_id NOT IN (SELECT parcel_id FROM listings WHERE status IN ('Active', 'Pending')))
+SELECT s.listing_id, s.close_date, s.sold_price, neighbour, n.score, 0.0::DOUBLE AS miles, CAST(row_number() OVER (PARTITION BY s.listing_id ORDER BY n.score DESC, neighbour) AS INTEGER) AS place FROM s JOIN n ON n.subdivision = s.subdivision AND neighbour <> s.parcel_id QUALIFY place <= 5""",
+    "adjusted_comps": f"""{_COMPS}, rates AS (SELECT city, class_id, round(median(sold_price / sqft), 2) AS ps, round(median(sold_price) * 0.004::DOUBLE, 0) AS py, round(median(sold_price / nullif(acres, 0)), 0) AS pa FROM listings WHERE status = 'Closed' AND sold_price > 0 AND sqft > 0 AND close_date >= {DAY} - 1095 GROUP BY 1, 2),
+a AS (SELECT k.listing_id, k.comp_id, k.sold_price, (s.sqft - c.sqft) * coalesce(ps, 200) AS adj_sqft, (s.year_built - c.year_built) * coalesce(py, 1200) AS adj_age, CASE WHEN s.acres <> 0 AND c.acres <> 0 THEN (s.acres - c.acres) * coalesce(pa, 50000) ELSE 0 END AS adj_acres
+  FROM comps k JOIN listings s ON s.listing_id = k.listing_id JOIN listings c ON c.listing_id = k.comp_id LEFT JOIN rates r ON r.city = s.city AND r.class_id = s.class_id),
+g AS (SELECT *, adj_sqft + adj_age + adj_acres AS gross FROM a) SELECT *, abs(gross) > sold_price * 0.2::DOUBLE AS capped, sold_price + least(sold_price * 0.2::DOUBLE, greatest(-sold_price * 0.2::DOUBLE, gross)) AS adjusted_price FROM g""",
+    "pending_prices": f"""{B}, c AS (SELECT city, class_id, list_sort(list(sold_price / original_list_price)) AS r FROM listings WHERE status = 'Closed' AND sold_price > 0 AND original_list_price > 0 AND sold_price / original_list_price > 0.5 AND sold_price / original_list_price < 1.5 GROUP BY 1, 2),
+p AS (SELECT l.*, coalesce(r[len(r) // 2 + 1], 0.98::DOUBLE) AS pool_ratio FROM listings l LEFT JOIN c USING (city, class_id) WHERE status = 'Pending' AND list_price > 0)
+SELECT listing_id, city, class_id, list_price, pool_ratio, list_price * pool_ratio AS expected_price, list_date AS as_close_date FROM p""",
+    "backtest": f"""{_PIT}, per AS (SELECT listing_id, county, sold_price, median(c_price / c_sqft) * sqft AS e, min(c_price / c_sqft) * sqft AS lo, max(c_price / c_sqft) * sqft AS hi FROM pit GROUP BY listing_id, county, sold_price, sqft),
+x AS (SELECT *, (e - sold_price) / sold_price AS signed, abs(e - sold_price) AS off FROM per)
+SELECT county, count(*) AS n, median(abs(signed)) AS median_ape, avg(abs(signed)) AS mape, avg(off) AS mae, median(off) AS median_abs_error, count(*) FILTER (abs(signed) <= 0.10) / count(*) AS ppe10, count(*) FILTER (abs(signed) <= 0.20) / count(*) AS ppe20,
+  count(*) FILTER (sold_price BETWEEN lo AND hi) / count(*) AS coverage, median(signed) AS median_signed, avg(signed) AS mean_signed FROM x GROUP BY ROLLUP (county)""",
+    "size_factor_sweep": f"""{_PIT}, e AS (SELECT listing_id, county, sold_price, factor, median(c_price / c_sqft * pow(c_sqft / sqft, factor)) * sqft AS e FROM pit, (SELECT i / 8.0::DOUBLE AS factor FROM range(5) t(i)) GROUP BY listing_id, county, sold_price, factor, sqft)
+SELECT county, factor, count(*) AS n, round(median(abs(e / sold_price - 1)), 9) AS median_ape FROM e GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY county ORDER BY median_ape, factor) = 1""",
+    "market_context": f"""{B}, x AS (SELECT *, coalesce(status = 'Closed' AND sold_price > 0 AND close_date BETWEEN {DAY} - INTERVAL 12 MONTH AND {DAY}, false) AS y FROM listings),
+s AS (SELECT county, subdivision, count(*) FILTER (y) AS n, count(*) FILTER (status = 'Active') AS a, median(sold_price) FILTER (y) AS m FROM x GROUP BY 1, 2), w AS (SELECT county, count(*) FILTER (y) AS n, count(*) FILTER (status = 'Active') AS a, median(sold_price) FILTER (y) AS m FROM x GROUP BY 1),
+p AS (SELECT s.county, s.subdivision, 'subdivision' AS scope, s.n, s.a, s.m FROM s WHERE s.n >= 5 UNION ALL SELECT s.county, s.subdivision, 'county', w.n, w.a, w.m FROM s JOIN w USING (county) WHERE s.n < 5)
+SELECT county, subdivision, scope, n AS closed_12m, a AS active, m AS median_sold, a::DOUBLE / nullif(n / 12.0::DOUBLE, 0) AS months_of_inventory FROM p""",
+    "estimate_confidence": f"""WITH e AS ({ORACLE["comp_estimates"]}), c AS ({ORACLE["comp_scores"]}), q AS (SELECT listing_id, (quantile_cont(sold_price / c_sqft, 0.75) - quantile_cont(sold_price / c_sqft, 0.25)) / median(sold_price / c_sqft) AS spread FROM c GROUP BY 1),
+h AS (SELECT listing_id, n, estimate, spread, estimate * least(0.15::DOUBLE, greatest(0.03::DOUBLE, spread / 2)) AS half FROM e JOIN q USING (listing_id))
+SELECT listing_id, n, estimate, spread, CASE WHEN n >= 5 AND spread <= 0.25 THEN 'high' WHEN n >= 3 AND spread <= 0.6 THEN 'medium' ELSE 'low' END AS confidence, estimate - half AS band_low, estimate + half AS band_high FROM h""",
+}

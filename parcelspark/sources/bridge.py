@@ -60,6 +60,19 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("sold_price", sold).withColumn("close_date", F.when(F.col("status") == "Closed", F.date_add("list_date", F.col("dom"))))
 
 
+def deeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded deeds, derived from the same tables."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    places = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = places.select(F.col("c_custkey").alias("o_custkey"), F.upper(F.trim("r_name")).alias("county"))
+    o = F.col("o_orderkey")
+    day = F.date_add(F.to_date("o_orderdate"), (20 + (o * 53) % 300).cast("int"))
+    return read("orders").filter(o % 3 == 1).join(places, "o_custkey").select(o.alias("deed_id"), F.col("o_custkey").alias("parcel_id"), "county", day.alias("deed_date"), (F.col("o_totalprice") * 0.9).alias("deed_price"), (o % 4 != 0).alias("arms_length"))
+
+
+DEEDS_SQL = """deeds AS (SELECT o_orderkey AS deed_id, o_custkey AS parcel_id, upper(trim(r_name)) AS county, CAST(o_orderdate AS DATE) + CAST(20 + (o_orderkey * 53) % 300 AS INTEGER) AS deed_date,
+  o_totalprice * CAST(0.9 AS DOUBLE) AS deed_price, o_orderkey % 4 <> 0 AS arms_length FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 3 = 1)"""
+
 BRIDGE_SQL = """
 WITH l0 AS (
   SELECT o_orderkey AS listing_id, o_custkey AS parcel_id, upper(trim(n_name)) AS city, upper(trim(r_name)) AS county,
