@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelspark.llm.common import chunks, fold, small_batches, texts_of, trim
-from parcelspark.llm.linear import Ngrams, Rows, calibrate, collect_features, fit, sigmoid
+from parcelspark.llm.linear import CHUNK, Ngrams, Rows, calibrate, collect_features, fit, sigmoid
 
 SAMPLE = 500
 GRAMS = Ngrams(words=(), chars=(2, 3, 4), bits=16)
@@ -114,9 +114,10 @@ def detect_language(documents: DataFrame, modulus: int = 4, held: int = 2) -> Da
     def run(batches):
         for b in batches:
             docs, texts = texts_of(b.column(1)), b.column(1).to_pylist()
-            for i, j in chunks([len(d) for d in docs], 1 << 20):
+            for i, j in chunks([len(d) for d in docs], CHUNK):
                 names, scores = identify(texts[i:j], docs[i:j], shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+        trim()
 
     out = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from parcelspark.llm.common import chunks, texts_of, windows, word_hashes
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes of text at a time; the arrays of their n-grams take some 200 times that
 
 
 @dataclass(frozen=True)

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import _SEPARATOR, chunks, texts_of
+from parcelspark.llm.common import _SEPARATOR, chunks, texts_of, trim
 
-REMEMBERED = 1_000_000
+REMEMBERED, KEPT = 300_000, 100_000  # chunks known at most, about, and after that: the first met, which are the frequent ones
 PART = 1000  # new chunks in one string given to the library
 _MARK = b"\x01"
 
@@ -53,6 +53,14 @@ class ChunkEncoder:
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def shrink(self) -> None:
+        """Forget all but the first KEPT chunks."""
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
+            self.starts, self.lengths = self.starts[:KEPT].copy(), self.lengths[:KEPT].copy()
+            self.used = int((self.starts + self.lengths).max())
+            self.flat = self.flat[: max(self.used, 1)].copy()
+
     def _learn(self, words: list[bytes]) -> None:
         easy = [w for w in words if _MARK not in w] if self.mark is not None else []
         hard = [w for w in words if _MARK in w] if self.mark is not None else words
@@ -81,7 +89,7 @@ class ChunkEncoder:
     def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""
         if len(self.known) > REMEMBERED:
-            self.clear()
+            self.shrink()
         # A special token's own text is matched before lower-casing, so texts that may hold one keep their case.
         parts = [d.lower() if self.lower and b"<|" not in d else d for d in docs]
         raw = b" ".join(parts)
@@ -128,6 +136,8 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids:
                         raw = ids[start : start + capacity].tobytes()
                         rows.append((doc, k, start, len(raw) // 4, zlib.crc32(raw), *([raw] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        enc.shrink()  # the worker lives on for later tasks
+        trim()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids

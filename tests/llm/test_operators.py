@@ -228,3 +228,17 @@ def test_held_out_accuracy(spark):
     assert lang.filter("lang = lang_pred").count() >= 0.95 * lang.count()
     tox = toxicity.score_toxicity(docs, labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").filter("toxic IS NOT NULL")
     assert tox.filter("toxic = predicted").count() >= 0.85 * tox.count()
+
+
+def test_chunk_encoder_that_forgets(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    monkeypatch.setattr(tokens, "KEPT", 3)
+    tk, enc, rnd = Tokenizer.from_file(TOKENIZER), tokens.ChunkEncoder(TOKENIZER), random.Random(4)
+    for _ in range(50):
+        t = " ".join("".join(rnd.choice("abcxyz") for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(12)))
+        assert enc.encode([t.encode()])[0].tolist() == tk.encode(t, add_special_tokens=False).ids
+        assert len(enc.known) <= 20
+    enc.shrink()
+    assert len(enc.known) == 3
