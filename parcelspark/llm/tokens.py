@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.llm.common import _SEPARATOR, chunks, texts_of, trim
 
-REMEMBERED, KEPT = 300_000, 100_000  # chunks known at most, about, and after that: the first met, which are the frequent ones
+REMEMBERED, KEPT = 1_000_000, 400_000  # chunks known at most, about, and after that: the first met, which are the frequent ones
 PART = 1000  # new chunks in one string given to the library
 _MARK = b"\x01"
 
