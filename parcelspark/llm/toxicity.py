@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import fold, materialise, mix, sample_rows, small_batches, trim
+from parcelspark.llm.common import fold, materialise, mix, sample_rows, shingle_sets, small_batches, texts_of, trim
 from parcelspark.llm.linear import calibrate, sigmoid
 
 SAMPLE = 2000
@@ -29,6 +29,7 @@ CHI = 30.0
 LEAST = 8
 RATIO = 10.0
 STEM = 4
+SHINGLE, COPY = 5, 0.75
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -92,7 +93,7 @@ def words(text: str | None) -> list[str]:
 
 
 def bands(names, count: int = 8, width: int = 3) -> list[int]:
-    """Min-hash bands of a text's words; copies share one almost surely, other texts rarely."""
+    """Min-hash bands of a text's words; copies share one almost surely. So may other texts: a band only proposes a pair."""
     if not names:
         return []
     h = np.array([crc32(w.encode()) for w in names], np.uint64)
@@ -100,6 +101,40 @@ def bands(names, count: int = 8, width: int = 3) -> list[int]:
     return [hash(tuple(least[i : i + width])) for i in range(0, count * width, width)]
 
 
+def is_copy(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted shingle sets have a Jaccard similarity of at least ``COPY``; an empty one is no copy."""
+    low, high = sorted((len(a), len(b)))
+    if not low or low < COPY * high:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= COPY * (low + high - both)
+
+
+def without_copies(seen: DataFrame) -> list[int]:
+    """Ids of the examples that are no verified copy of a kept one of smaller id and the same label. seen: doc_id, label, bands, shingles."""
+    keys = {r["doc_id"]: {(r["label"], i, x) for i, x in enumerate(r["bands"])} for r in seen.select("doc_id", "label", "bands").collect()}  # of a bounded sample
+    met = Counter(k for ks in keys.values() for k in ks)
+    paired = [i for i, ks in keys.items() if any(met[k] > 1 for k in ks)]
+    sets = {}
+    if paired:
+        some = documents_of(seen, paired).select("doc_id", "shingles")
+        sets = {r["doc_id"]: np.frombuffer(r["shingles"], "<u8") for r in some.toLocalIterator()}
+    alone, holders = [], {}
+    for i in sorted(keys):
+        near = {j for k in keys[i] for j in holders.get(k, ())}
+        if not any(is_copy(sets[i], sets[j]) for j in sorted(near)):
+            alone.append(i)
+            for k in keys[i]:
+                if met[k] > 1:
+                    holders.setdefault(k, []).append(i)
+    return alone
+
+
+def documents_of(rows: DataFrame, ids: list[int]) -> DataFrame:
+    """Those of ``rows`` with one of a bounded number of ids."""
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
+
+
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 2, k: int = NEIGHBOURS):
     """(index, a, c). documents: doc_id, text; labels: doc_id, toxic, already without held-out rows."""
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -108,18 +143,12 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     def run(batches):
         for b in batches:
             rows = [Counter(words(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())), pa.array([bands(r) for r in rows], pa.list_(pa.int64()))], ["doc_id", "label", "words", "counts", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())), pa.array([bands(r) for r in rows], pa.list_(pa.int64())), pa.array([x.astype("<u8").tobytes() for x in shingle_sets(texts_of(b.column(1)), SHINGLE)], pa.binary())], ["doc_id", "label", "words", "counts", "bands", "shingles"])
 
-    seen = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>, bands array<bigint>")
+    seen = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>, bands array<bigint>, shingles binary")
     seen = materialise(seen, "examples")
     # Copies of one text count as one example, else the words of a much-copied text would pass for signs of its label.
-    alone, met = [], set()
-    for r in sorted(seen.select("doc_id", "label", "bands").collect(), key=lambda r: r["doc_id"]):  # of a bounded sample
-        keys = {(r["label"], i, x) for i, x in enumerate(r["bands"])}
-        if not keys & met:
-            alone.append(r["doc_id"])
-        met |= keys
-    seen = seen.join(F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in alone], "doc_id long")), "doc_id")
+    seen = documents_of(seen, without_copies(seen))
     totals = seen.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("pos")).first()
     n, pos = totals["n"], totals["pos"]
     if not pos or pos == n:

@@ -242,3 +242,14 @@ def test_chunk_encoder_that_forgets(monkeypatch):
         assert len(enc.known) <= 20
     enc.shrink()
     assert len(enc.known) == 3
+
+
+def test_toxicity_drops_verified_copies_only(spark, monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["north", "south", "east", "west"]) for _ in range(60)) for _ in range(12)]  # one word set, so equal bands
+    texts += [texts[0], texts[0] + " north", "", "", "one two", "one two"]
+    kept = []
+    monkeypatch.setattr(toxicity, "without_copies", lambda seen, run=toxicity.without_copies: kept.extend(run(seen)) or kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    toxicity.train(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
+    assert sorted(kept) == [*range(12), 14, 15, 16]
