@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are at most ``SAMPLE`` labelled texts of each class (least keyed hash). Terms are words, and
-stems of ``STEM`` letters, that the labels tie to a class: in at least ``LEAST`` examples, chi-square over ``CHI``, and ``RATIO`` times
-as frequent in one class as in the other. Blocks of examples carry, term by term, their
-largest weight; a query visits blocks by falling bound and stops when no block can beat its k-th neighbour, so
-neighbours are exact. Distance-weighted votes of the neighbours are calibrated by Platt scaling on the examples, each with itself left out.
-A text without terms (null and empty ones too) has no neighbours and the vote 0. Ties go to the smaller id.
+Examples are at most ``SAMPLE`` labelled texts of each class (least keyed hash). Terms are all their words, and
+stems of ``STEM`` letters. A term's weight is its IDF times how far the labels tie it to a class: the root of
+(``FLOOR`` + chi-square) / examples, its phi coefficient but for the floor, so no term counts for nothing. Blocks of examples carry,
+term by term, their largest weight; a query visits blocks by falling bound and stops when no block can beat its
+k-th neighbour, so neighbours are exact. Distance-weighted votes of the neighbours are calibrated by Platt scaling on the
+examples, each with itself left out. A text that shares no term with an example (null and empty ones too) has no neighbours
+and the vote 0. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -25,60 +26,82 @@ from parcelspark.llm.linear import calibrate, sigmoid
 SAMPLE = 2000
 NEIGHBOURS = 15
 BLOCK = 64
-CHI = 30.0
-LEAST = 8
-RATIO = 10.0
+FLOOR = 0.1
 STEM = 4
 SHINGLE, COPY = 5, 0.75
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of the ranges that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMaxIndex:
-    """Inverted lists of the examples' TF-IDF weights, cut into blocks with their largest weight."""
+    """Inverted lists of the examples' weights, cut into runs of one term and one block with their largest weight.
 
-    def __init__(self, ids, counts, toxic, terms, idf):
+    ``rows`` has each example's (terms, counts), ``weight`` each term's factor.
+    """
+
+    def __init__(self, ids, rows, toxic, terms, weight):
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
-        vectors = [self.vector(c) for c in counts]
+        self.weight = weight
+        vectors = [self.weigh(*r) for r in rows]
         # Examples with the same strongest term stand together: their blocks then have tight bounds.
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))
         self.ids, self.toxic = np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], np.float64)
         self.blocks = -(-len(order) // BLOCK)
-        self.bound = np.zeros((len(terms), max(1, self.blocks)))
-        lists = [([], []) for _ in terms]
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                lists[t][0].append(at)
-                lists[t][1].append(w)
-                self.bound[t, at // BLOCK] = max(self.bound[t, at // BLOCK], w)
-        self.lists = [(np.array(a, np.int64), np.array(w)) for a, w in lists]
-        self.cuts = [np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a, _ in self.lists]
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        at = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        by = np.argsort(term, kind="stable")
+        self.at, self.value = at[by].astype(np.int32), (np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0))[by]
+        # Runs: the postings of one term in one block.
+        key = term[by] * max(1, self.blocks) + self.at // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.run_start, self.run_size = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
+        self.run_block = (self.at[first] // BLOCK).astype(np.int32)
+        self.run_most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.runs_of = np.searchsorted(term[by][first], np.arange(len(terms) + 1))
+
+    def weigh(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[t]
+        return t, w / np.linalg.norm(w) if len(t) else w
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(self.terms[w] for w in counts if w in self.terms), np.int64)
-        if not len(t):
-            return t, np.zeros(0)
-        names = {self.terms[w]: n for w, n in counts.items() if w in self.terms}
-        w = (1 + np.log([names[i] for i in t.tolist()])) * self.idf[t]
-        return t, w / np.linalg.norm(w)
+        """Terms and weights of a text with these counts of words."""
+        both = sorted((self.terms[w], n) for w, n in counts.items() if w in self.terms)
+        return self.weigh(np.array([t for t, _ in both], np.int64), np.array([n for _, n in both], np.float64))
 
     def nearest(self, terms, weights, k: int, but: int | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine (position among the examples), without the id ``but``."""
+        """The k examples of largest cosine (position among the examples), without the id ``but``.
+
+        Blocks are visited by falling bound, 4, 8, 16 ... at a time, until none left can reach the k-th cosine.
+        """
         if not len(terms) or not self.blocks:
             return []
-        bound = weights @ self.bound[terms]
-        best: list[tuple[float, int, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) == k and bound[block] < -best[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                i, j = self.cuts[t][block], self.cuts[t][block + 1]
-                score[self.lists[t][0][i:j] - block * BLOCK] += w * self.lists[t][1][i:j]
-            least = -best[-1][0] if len(best) == k else 0.0
-            at = [x for x in np.flatnonzero((score > 0) & (score >= least)).tolist() if self.ids[block * BLOCK + x] != but]
-            best = sorted([*best, *((-score[x], int(self.ids[block * BLOCK + x]), block * BLOCK + x) for x in at)])[:k]
-        return [(-s, at) for s, _, at in best]
+        many = self.runs_of[terms + 1] - self.runs_of[terms]
+        runs, w = ragged(self.runs_of[terms], many), np.repeat(weights, many)
+        block = self.run_block[runs]
+        bound = np.bincount(block, w * self.run_most[runs], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        rank = rank[block]
+        at, score = np.zeros(0, np.int64), np.zeros(0)
+        done, step = 0, 4
+        while done < self.blocks and bound[order[done]] > 0 and not (len(at) == k and bound[order[done]] < score[-1] - 1e-12):
+            mine = np.flatnonzero((rank >= done) & (rank < done + step))
+            size = self.run_size[runs[mine]]
+            found = ragged(self.run_start[runs[mine]], size)
+            total = np.bincount(self.at[found], self.value[found] * np.repeat(w[mine], size), minlength=len(self.ids))
+            fresh = np.flatnonzero(total)
+            fresh = fresh[self.ids[fresh] != but] if but is not None else fresh
+            at, score = np.concatenate([at, fresh]), np.concatenate([score, total[fresh]])
+            best = np.lexsort((self.ids[at], -score))[:k]
+            at, score = at[best], score[best]
+            done, step = done + step, step * 2
+        return list(zip(score.tolist(), at.tolist(), strict=True))
 
     def vote(self, near) -> float:
         """Weight of toxic neighbours over all weight; weights fall with the distance 1 - cosine."""
@@ -153,19 +176,23 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     n, pos = totals["n"], totals["pos"]
     if not pos or pos == n:
         return BlockMaxIndex([], [], [], [], np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
-    df = seen.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.count_if(F.col("label") == 1).alias("hit")).filter(F.col("df") >= LEAST)
-    df = df.withColumn("chi", F.lit(float(n)) * F.pow(F.col("hit") - F.col("df") * F.lit(pos / n), 2) / (F.col("df") * (F.lit(n) - F.col("df")) * F.lit(pos / n * (1 - pos / n)) + 1e-9))
-    df = df.withColumn("ratio", (F.col("hit") + 0.5) / F.lit(pos + 1.0) / ((F.col("df") - F.col("hit") + 2.0) / F.lit(n - pos + 1.0)))
-    chosen = df.filter((F.col("chi") >= CHI) & ((F.col("ratio") >= RATIO) | (F.col("ratio") <= 1 / RATIO))).orderBy("word")
-    terms = chosen.collect()  # of a bounded sample
-    names = [r["word"] for r in terms]
-    kept = seen.select("doc_id", "label", F.filter(F.arrays_zip("words", "counts"), lambda x: F.array_contains(F.lit(names), x["words"])).alias("w")) if names else seen.select("doc_id", "label", F.array().alias("w"))
-    rows = sorted(kept.collect(), key=lambda r: r["doc_id"])
-    index = BlockMaxIndex([r["doc_id"] for r in rows], [{x["words"]: x["counts"] for x in r["w"]} for r in rows], [r["label"] for r in rows], names, np.log(1 + n / np.array([r["df"] for r in terms], float)) if terms else np.zeros(0))
-    votes = np.array([index.vote(index.nearest(*index.vector({x["words"]: x["counts"] for x in r["w"]}), k, r["doc_id"])) for r in rows])
-    del seen, kept
+    ids, label, rows, terms = [], [], [], {}
+    for r in seen.select("doc_id", "label", "words", "counts").orderBy("doc_id").toLocalIterator():  # of a bounded sample
+        t = np.array([terms.setdefault(w, len(terms)) for w in r["words"]], np.int64)
+        by = np.argsort(t)
+        ids.append(r["doc_id"])
+        label.append(r["label"])
+        rows.append((t[by], np.array(r["counts"], np.float64)[by]))
+    every = np.concatenate([t for t, _ in rows])
+    df = np.bincount(every, minlength=len(terms))
+    hit = np.bincount(every, np.repeat(np.array(label) == 1, [len(t) for t, _ in rows]), minlength=len(terms))
+    share = pos / n
+    chi = n * (hit - df * share) ** 2 / (df * (n - df) * share * (1 - share) + 1e-9)
+    index = BlockMaxIndex(ids, rows, label, terms, np.log(1 + n / df) * np.sqrt((FLOOR + chi) / n))
+    votes = np.array([index.vote(index.nearest(*index.weigh(*r), k, i)) for i, r in zip(ids, rows, strict=True)])
+    del seen, rows, every
     trim()
-    return index, *calibrate(votes, np.array([int(r["label"] == 1) for r in rows]))
+    return index, *calibrate(votes, np.array([int(x == 1) for x in label]))
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, k: int = NEIGHBOURS) -> DataFrame:
@@ -177,11 +204,10 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, he
 
     def run(batches):
         index, a, c = shared.value
-        known = index.terms
         for b in batches:
             scores, evidence = [], []
             for text in b.column(1).to_pylist():
-                near = index.nearest(*index.vector(Counter(w for w in words(text) if w in known)), k)
+                near = index.nearest(*index.vector(Counter(words(text))), k)
                 scores.append(float(sigmoid(a * index.vote(near) + c)))
                 evidence.append([{"doc_id": int(index.ids[at]), "cosine": s, "toxic": int(index.toxic[at])} for s, at in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))

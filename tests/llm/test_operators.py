@@ -253,3 +253,18 @@ def test_toxicity_drops_verified_copies_only(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     toxicity.train(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
     assert sorted(kept) == [*range(12), 14, 15, 16]
+
+
+def test_toxicity_neighbours_are_exact_over_all_words(spark):
+    rnd = random.Random(7)
+    texts = [" ".join("".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 7))) for _ in range(rnd.choice([3, 20, 60]))) for _ in range(400)]
+    texts += [None, "", "rare"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index, a, c = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    assert "rare" in index.terms and set(index.terms) == {w for t in texts for w in toxicity.words(t)} and min(index.weight) > 0
+    vectors = {int(i): dict(zip(*(x.tolist() for x in index.vector(Counter(toxicity.words(texts[i])))))) for i in index.ids}
+    for t in ["a b abcd", "dcba dcba " + texts[5], *texts[20:60]]:
+        v = dict(zip(*(x.tolist() for x in index.vector(Counter(toxicity.words(t))))))
+        want = sorted(((-sum(w * u.get(k, 0) for k, w in v.items()), i) for i, u in vectors.items() if set(u) & set(v)))[:15]
+        got = index.nearest(*index.vector(Counter(toxicity.words(t))), 15)
+        assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-9)
