@@ -2,7 +2,8 @@
 
 Found in every whole text: e-mail addresses, payment card numbers (13 to 19 digits, Luhn), IBANs (mod 97), IPv4 addresses,
 calendar dates, telephone numbers (10 to 15 digits in a telephone's layout, or 7 and more after a plus sign) and long
-hexadecimal secrets. What fails its validation stays as it is.
+hexadecimal secrets. A run of numbers that is none of these as a whole is split at its spaces, and the parts are joined so
+that values cover the most digits; of a failed card in its layout no part is a telephone number. What fails its validation stays as it is.
 
 Numbers and dates go through a keyed Feistel network over exactly their domain: the two halves of the digits (or the two
 factors of the day count) are added to, in turn, a keyed hash of the other half, modulo their own size. So a
@@ -25,8 +26,17 @@ OTHER_DATE = r"(?<![\d./])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?!\d|[./]\d)"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?=\d*[A-Fa-f])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
-NUMBER = r"(?<![\w+(])(?:\+?\(?)\d(?:[ ().\-]{0,2}\d){6,18}(?!\w)"
-PATTERN = "|".join([EMAIL, ISO_DATE, OTHER_DATE, IPV4, IBAN, SECRET, NUMBER])
+CARD = r"(?<![\w+(])(?:\d{4}([ \-])\d{4}\{n}\d{4}\{n}\d{4}(?:\{n}\d{3})?|\d{4}([ \-])\d{6}\{m}\d{5})(?!\w|[.\-]\d)"
+PHONE = r"(?<![\w+(])(?:\+\d{1,3} )?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\w|[.\-]\d)"
+# A loose run ends before a value with a layout of its own.
+LAYOUT = r"\d{4}-\d{2}-\d{2}(?![\d\-])|\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?!\d|[./]\d)|(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)|\d{4} \d{4} \d{4} \d{4}(?!\w|[.\-]\d)|\d{4}-\d{4}-\d{4}-\d{4}(?!\w|[.\-]\d)|\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4}(?!\w|[.\-]\d)"
+NUMBER = r"(?<![\w+(])(?:\+?\(?)\d(?:(?![ ().\-]?[ ](?:" + LAYOUT + r"))[ ().\-]{0,2}\d){6,199}(?!\w|[.\-]\d)"
+PATTERN = "|".join([EMAIL, ISO_DATE, OTHER_DATE, IPV4, IBAN, SECRET, CARD.replace("{n}", "1").replace("{m}", "2"), PHONE, NUMBER])
+MOST_DIGITS = 19  # of one value
+CARD_LAYOUT = r"^(\d{4}([ \-])\d{4}\2\d{4}\2\d{4}|\d{4}([ \-])\d{6}\3\d{5})"
+# What tells a card and a telephone from a row of numbers, among the parts of a run.
+CARD_PART = r"^\d{4}([ \-]?\d{3,7})+$"
+TELEPHONE = r"^(\+|\(|0\d)|\)|\d-\d|^\d{3}[. ]\d{3}[. ]\d{4}$"
 
 
 def prf(key: str, tweak: Column, round_no: Column, half: Column) -> Column:
@@ -163,12 +173,33 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
+def values_of(m: Column) -> Column:
+    """A match as the values it holds, each with the spaces after it: itself, or the parts of a run that is no value as a whole."""
+    tokens = F.regexp_extract_all(m, F.lit("[^ ]+ *"), 0)
+    start = F.array(F.struct(F.lit(0).alias("digits"), F.lit(0).alias("fewer"), F.array().cast("array<string>").alias("parts")))
+
+    def step(best, j):
+        def ending(i):
+            part = F.array_join(F.slice(tokens, i + 1, j - i), "")
+            n = F.length(F.regexp_replace(part, "[^0-9]", ""))
+            kind = kind_of(F.rtrim(part))
+            good = (n <= MOST_DIGITS) & F.coalesce(F.when(kind == "card", F.rtrim(part).rlike(CARD_PART)).when(kind == "phone", F.rtrim(part).rlike(TELEPHONE) & ~m.rlike(CARD_LAYOUT)).otherwise(kind.isNotNull()), F.lit(False))
+            before = F.get(best, i)
+            return F.when(good | (i == j - 1), F.struct((before["digits"] + F.when(good, n).otherwise(0)).alias("digits"), (before["fewer"] - 1).alias("fewer"), F.concat(before["parts"], F.array(part)).alias("parts")))
+
+        return F.concat(best, F.array(F.array_max(F.transform(F.sequence(F.greatest(F.lit(0), j - MOST_DIGITS), j - 1), ending))))
+
+    split = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda best: F.element_at(best, -1)["parts"])
+    return F.when(kind_of(m).isNull() & m.contains(" ") & m.rlike(r"^[0-9 +().\-]+$"), split).otherwise(F.array(m))
+
+
 def pseudonymise(documents: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``documents`` with ``text_col`` rewritten; adds pii (kind and pseudonym of each value found, in order)."""
     found = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0)
-    rows = documents.withColumn("_found", F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    rows = rows.withColumn("_new", F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("value"))))
+    parts = F.transform(F.flatten(F.transform(found, lambda m, i: F.transform(values_of(m), lambda v: F.struct(v.alias("v"), i.alias("at"))))), lambda x: F.struct(x["at"].alias("at"), x["v"].alias("v"), kind_of(F.rtrim(x["v"])).alias("kind")))
+    rows = documents.withColumn("_found", parts)
+    rows = rows.withColumn("_new", F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(F.rtrim(x["v"]), x["kind"], key).alias("value"), x["at"].alias("at"), F.regexp_extract(x["v"], " *$", 0).alias("space"))))
     between = F.split(F.col(text_col), PATTERN, -1)
-    text = F.when(F.size(F.filter("_new", lambda x: x["kind"].isNotNull())) > 0, F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("_new"), i)["value"], F.lit("")))), "")).otherwise(F.col(text_col))
-    out = rows.withColumn("_text", text).withColumn("pii", F.filter("_new", lambda x: x["kind"].isNotNull()))
+    text = F.when(F.size(F.filter("_new", lambda x: x["kind"].isNotNull())) > 0, F.array_join(F.transform(between, lambda s, i: F.concat(s, F.array_join(F.transform(F.filter("_new", lambda x: x["at"] == i), lambda x: F.concat(x["value"], x["space"])), ""))), "")).otherwise(F.col(text_col))
+    out = rows.withColumn("_text", text).withColumn("pii", F.transform(F.filter("_new", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
     return out.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in documents.columns if c != "pii"), "pii")

@@ -268,3 +268,21 @@ def test_toxicity_neighbours_are_exact_over_all_words(spark):
         want = sorted(((-sum(w * u.get(k, 0) for k, w in v.items()), i) for i, u in vectors.items() if set(u) & set(v)))[:15]
         got = index.nearest(*index.vector(Counter(toxicity.words(t))), 15)
         assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-9)
+
+
+def test_pii_of_neighbouring_values(spark):
+    texts = {
+        "+1 (826) 555-4081 190.137.223.204 end": ["phone", "ipv4"],
+        "4539 1488 0343 6467 12/27": ["card"],
+        "4539 1488 0343 6467 123": ["card"],
+        "555-123-4567 555-987-6543": ["phone", "phone"],
+        "030 1234567 2023-01-02": ["phone", "date"],
+        "030 1234567 030 7654321": ["phone", "phone"],
+        "030 1234567 4539 1488 0343 6467": ["phone", "card"],
+        "4539 1488 0343 6468 and 1 2 3 4 5 6 7": [],
+        "0.123 0.456 0.789 0.321 0.654 and 1 2 3 4 5 6 7 8 9 10 11 12 13 14": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r, (text, kinds) in zip(pii.pseudonymise(df, "k").orderBy("doc_id").collect(), texts.items(), strict=True):
+        assert [x.kind for x in r.pii] == kinds, text
+        assert re.sub("[0-9]+", "", r.text) == re.sub("[0-9]+", "", text) and (r.text == text) == (not kinds)
