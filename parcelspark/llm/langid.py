@@ -72,16 +72,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 3) -> dict:
     return out
 
 
-def identify(texts: list[str | None], docs: list[bytes], model: dict) -> tuple[list[str], np.ndarray]:
-    """Language and score (family probability times the mean of the winner's pair probabilities) of each text."""
+def identify(texts: list[str | None], docs: list[bytes], model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score (family share times the mean of the winner's pair probabilities) and the family's own one-against-rest probability of each text."""
     if not model["langs"]:
-        return ["und"] * len(docs), np.zeros(len(docs))
+        return ["und"] * len(docs), np.zeros(len(docs)), np.zeros(len(docs))
     every = [*model["first"], *(p[3] for p in model["pairs"])]
     if every:
         z = GRAMS.project(docs, np.stack([m[0] for m in every], 1)) + np.array([m[1] for m in every])
         p = sigmoid(z * np.array([m[2] for m in every]) + np.array([m[3] for m in every]))
     k = len(model["first"])
-    names, scores = [], np.zeros(len(docs))
+    names, scores, own = [], np.zeros(len(docs)), np.zeros(len(docs))
     members = {f: [x for x in model["langs"] if family_of(x) == f] for f in model["families"]}
     for i, text in enumerate(texts):
         if not text or not _LETTER.search(text):
@@ -101,11 +101,12 @@ def identify(texts: list[str | None], docs: list[bytes], model: dict) -> tuple[l
             best = members[f][0]
         names.append(best)
         scores[i] = score
-    return names, scores
+        own[i] = p[i, :k].max() if k else 1.0
+    return names, scores, own
 
 
 def detect_language(documents: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. Learns from rows whose fold is not ``held``."""
+    """doc_id, held_out, lang_pred, score, family_score. Learns from rows whose fold is not ``held``."""
     small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = train(rows.filter(fold("doc_id", modulus) != held))
@@ -115,9 +116,9 @@ def detect_language(documents: DataFrame, modulus: int = 4, held: int = 2) -> Da
         for b in batches:
             docs, texts = texts_of(b.column(1)), b.column(1).to_pylist()
             for i, j in chunks([len(d) for d in docs], CHUNK):
-                names, scores = identify(texts[i:j], docs[i:j], shared.value)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                names, scores, own = identify(texts[i:j], docs[i:j], shared.value)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores), pa.array(own)], ["doc_id", "lang_pred", "score", "family_score"])
         trim()
 
-    out = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score")
+    out = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, family_score double")
+    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score", "family_score")

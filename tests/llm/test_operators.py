@@ -286,3 +286,17 @@ def test_pii_of_neighbouring_values(spark):
     for r, (text, kinds) in zip(pii.pseudonymise(df, "k").orderBy("doc_id").collect(), texts.items(), strict=True):
         assert [x.kind for x in r.pii] == kinds, text
         assert re.sub("[0-9]+", "", r.text) == re.sub("[0-9]+", "", text) and (r.text == text) == (not kinds)
+
+
+def test_pipeline_language_stage_rejects_junk(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 9))) for _ in range(80)) for letters in ["qxzkjwvbcdfghpty", "абвгдежзиклмнопрст", "{}[]();=<>!#$%^&*_x"] for _ in range(10)]
+    more = spark.createDataFrame([(10**9 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    every = docs.unionByName(more.select(*docs.columns))
+    kept = corpus_pipeline.keep_known_languages(spark, every, "")
+    assert kept.filter("source = 'junk'").count() <= 3
+    whole = docs.filter("length(text) >= 200")
+    assert kept.filter("doc_id < 1000000000").count() >= 0.95 * whole.count()
