@@ -128,5 +128,7 @@ def pack_lengths(items: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    return cut.join(pack_lengths(cut, capacity), ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    # Ids may be null or repeated: pieces are packed and joined by a key that is written with them.
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id).withColumn("row_key", F.monotonically_increasing_id()), "pieces")
+    placed = pack_lengths(cut.select(F.col("row_key").alias("doc_id"), "piece", "length"), capacity)
+    return cut.join(placed.select(F.col("doc_id").alias("row_key"), "sequence_id", "offset"), "row_key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

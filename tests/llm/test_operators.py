@@ -300,3 +300,16 @@ def test_pipeline_language_stage_rejects_junk(spark):
     assert kept.filter("source = 'junk'").count() <= 3
     whole = docs.filter("length(text) >= 200")
     assert kept.filter("doc_id < 1000000000").count() >= 0.95 * whole.count()
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    texts = [(None, "a b c"), (None, "a b c"), (None, None), (7, "one two " * 150), (7, "x"), (7, "x"), (8, "y z")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = packing.pack_documents(df, TOKENIZER, 64, 1).collect()
+    want = tokens.pieces(df, TOKENIZER, 64, 1).collect()
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got) == Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in want)
+    bins = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == bins.get(r.sequence_id, 0)
+        bins[r.sequence_id] = r.offset + r.length
+    assert max(bins.values()) <= 64
