@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,14 @@ WINDOW = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset: beside the warehouse tables, or, when Spark runs in one process (tests), a folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.parcelspark.scratch", None)
     if root is None:
-        root = spark.conf.get("spark.parcelspark.scratch", None)
-        if root is None:
+        if spark.sparkContext.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="parcelspark-")
-            spark.conf.set("spark.parcelspark.scratch", root)
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/parcelspark-scratch"
+        spark.conf.set("spark.parcelspark.scratch", root)
     return root.rstrip("/")
 
 
@@ -54,20 +57,10 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished work, which stand until the driver collects its garbage."""
-    for _ in range(2):  # the first finds what is unused, the second lets its cleaners run
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def trim() -> None:
     """Give the driver's freed memory back after a model is trained: Arrow's pool and, with glibc, the C heap."""
     import ctypes
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
@@ -75,25 +68,50 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def scratch_table(stack: ExitStack, df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialise`, deleted when ``stack`` closes, on errors too."""
+    out = materialise(df, name)
+    stack.callback(discard, out)
+    return out
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``: splits labels into folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
 def sample_rows(df: DataFrame, key: str, seed: int, rows: int) -> DataFrame:
-    """A bounded, repeatable sample: the ``rows`` rows of least keyed hash (ties to the smaller key)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(rows)
+    """A bounded, repeatable sample: the ``rows`` rows of least keyed hash (ties to the smaller key).
+
+    The table is counted first, and only rows whose hash lies below some twice the share that is wanted are sorted.
+    """
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    share = min(1.0, (2 * rows + 200) / max(1, df.count()))
+    return df.filter(draw <= int(share * (1 << 40))).orderBy(draw, F.col(key)).limit(rows)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python ``rows`` at a time, so a batch of long ones stays small in both processes."""
+    """A setting of the whole session, for the programs that run the operators: texts go to Python ``rows`` at a time, so a batch of long ones stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def merge_parts(rows: DataFrame, combine, fan: int = 256) -> DataFrame:
+    """(part int, data binary) rows of which ``combine`` (an iterator of bytes -> bytes) makes one a part.
+
+    Merged in two levels, ``fan`` map tasks at a time first, so no task reads what all map tasks wrote.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = combine(x for b in batches for x in b.column("data").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+
+    some = rows.withColumn("near", F.floor(F.spark_partition_id() / fan).cast("int"))
+    once = some.groupBy("part", "near").applyInArrow(run, "part int, data binary")
+    return once.groupBy("part").applyInArrow(run, "part int, data binary")
+
+
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, nulls as empty."""
-    import pyarrow as pa
-
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 

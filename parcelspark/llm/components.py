@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, label) for every end of a link (a, b); label is the least id of its component."""
+    """(doc, label) for every end of a link (a, b); label is the least id of its component. A table made by :func:`materialise`."""
     edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     before = None
     while True:
@@ -35,4 +35,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     stars = edges.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("label"))
-    return stars.unionByName(edges.select(F.col("a").alias("doc"), F.col("a").alias("label")).distinct().join(stars.select("doc"), "doc", "left_anti"))
+    tops = edges.select(F.col("a").alias("doc"), F.col("a").alias("label")).distinct().join(stars.select("doc"), "doc", "left_anti")
+    labels = materialise(stars.unionByName(tops), "labels")
+    discard(edges)
+    return labels

@@ -17,7 +17,7 @@ Shingles are 64-bit hashes; equal sets are recognised by size and two independen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parcelspark.llm.common import chunks, discard, materialise, mix, shingle_sets, small_batches, texts_of, trim
+from parcelspark.llm.common import chunks, discard, materialise, merge_parts, mix, scratch_table, shingle_sets, texts_of, trim
 from parcelspark.llm.components import components
 
 CELLS = 1 << 20
@@ -37,6 +37,8 @@ BEST = 4
 MET = 200_000
 BITS = 1 << 23
 ROWS = 50_000  # of small groups in one call
+PREFIX = 2048  # shingles of a leader whose small groups go together
+TOKENS = 2048  # shingles of a tile that are multiplied at a time
 CHUNK = 2 << 20
 
 
@@ -89,25 +91,21 @@ def crowded_cells(df: DataFrame, width: int) -> np.ndarray:
         for _, sets in _sets(batches, width):
             s = np.concatenate(sets)
             total += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
-        cut = [total[i :: parts].tobytes() for i in range(parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(cut, pa.binary())], ["part", "counts"])
+        cut = [total[i::parts].tobytes() for i in range(parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(cut, pa.binary())], ["part", "data"])
 
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for b in batches:
-            for x in b.column(1).to_pylist():
-                total = total + np.frombuffer(x, np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([int(total.sum())]), pa.array([total.tobytes()], pa.binary())], ["part", "load", "counts"])
-
-    sums = materialise(df.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, load long, counts binary"), "cells")
-    rows = sums.orderBy("part").collect()  # CELLS counters: 8 MB at any corpus size
-    discard(sums)
-    mean = sum(r.load for r in rows) / CELLS
-    limit = mean + HEAVY * mean**0.5 + 16  # a cell of unrelated rare shingles stays below
-    out = np.zeros(CELLS, bool)
+    def add(items):
+        total = np.zeros(CELLS // parts, np.int64)
+        for x in items:
+            total += np.frombuffer(x, np.int64 if len(x) == 8 * len(total) else np.int32)
+        return total.tobytes()
+
+    rows = merge_parts(df.mapInArrow(count, "part int, data binary"), add).collect()  # CELLS counters: 8 MB at any corpus size
+    total = np.zeros(CELLS, np.int64)
     for r in rows:
-        out[r.part :: parts] = np.frombuffer(r.counts, np.int64) > limit
-    return out
+        total[r["part"] :: parts] = np.frombuffer(r["data"], np.int64)
+    mean = total.mean()
+    return total > mean + HEAVY * mean**0.5 + 16  # a cell of unrelated rare shingles stays below
 
 
 def prefixes(df: DataFrame, width: int, percent: int, crowded: np.ndarray) -> DataFrame:
@@ -151,17 +149,16 @@ def id_bits(ids: DataFrame) -> np.ndarray:
         bits = np.zeros(BITS, bool)
         for b in batches:
             bits[_bit(b.column(0))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "data"])
 
-    def either(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def either(items):
         bits = np.zeros(BITS // 8, np.uint8)
-        for b in batches:
-            for x in b.column(1).to_pylist():
-                bits |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+        for x in items:
+            bits |= np.frombuffer(x, np.uint8)
+        return bits.tobytes()
 
-    found = ids.select("doc").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(either, "part int, bits binary").collect()
-    return np.frombuffer(found[0]["bits"], np.uint8) if found else np.zeros(BITS // 8, np.uint8)
+    found = merge_parts(ids.select("doc").mapInArrow(mark, "part int, data binary"), either).collect()
+    return np.frombuffer(found[0]["data"], np.uint8) if found else np.zeros(BITS // 8, np.uint8)
 
 
 def _bit(ids) -> np.ndarray:
@@ -169,19 +166,26 @@ def _bit(ids) -> np.ndarray:
 
 
 def sorted_arrays(df: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc, size, members (sorted hashes), bitmap of the texts whose id is in ``ids``. Texts stay where they are read."""
-    shared = df.sparkSession.sparkContext.broadcast(id_bits(ids))
+    """doc, size, members (sorted hashes), bitmap of the texts whose id is in ``ids``.
+
+    Texts stay where they are read; where there are too many ids for their bit map to tell them apart, texts and ids are joined.
+    """
+    few = ids.count() <= BITS // 4
+    shared = df.sparkSession.sparkContext.broadcast(id_bits(ids)) if few else None
+    if not few:
+        df = df.join(ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
 
     def run(batches):
         def wanted():
-            bits = np.unpackbits(shared.value).astype(bool)
+            bits = np.unpackbits(shared.value).astype(bool) if few else None
             for b in batches:
-                yield b.filter(pa.array(bits[_bit(b.column(0))]))
+                yield b.filter(pa.array(bits[_bit(b.column(0))])) if few else b
 
         for ids, sets in _sets(wanted(), width):
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary())], ["doc", "size", "members", "bitmap"])
 
-    return df.mapInArrow(run, "doc long, size long, members binary, bitmap binary").join(ids.select("doc"), "doc", "left_semi")
+    found = df.mapInArrow(run, "doc long, size long, members binary, bitmap binary")
+    return found.join(ids.select("doc"), "doc", "left_semi") if few else found
 
 
 def overlap_bound(n, m, x: bytes, y: bytes) -> int:
@@ -223,13 +227,11 @@ def verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 def _settle(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The links among the pairs."""
-    pairs = materialise(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    arrays = materialise(sorted_arrays(docs, ends, width), "arrays")
-    links = verify(pairs, arrays, percent)
-    discard(pairs)
-    discard(arrays)
-    return links
+    with ExitStack() as done:
+        pairs = scratch_table(done, pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        arrays = scratch_table(done, sorted_arrays(docs, ends, width), "arrays")
+        return verify(pairs, arrays, percent)
 
 
 def least_matches(n: Column, m: Column, percent: int) -> Column:
@@ -277,16 +279,21 @@ def _small_groups(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
         i, j = _near_in_size(shingle, n, doc, comp, percent)
         return _pair_table(doc[i], doc[j])
 
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("lead"), F.lit(buckets))).groupBy("bucket").applyInArrow(pairs, "a long, b long, matches long")
+    parts = F.ceil(F.col("longest") / PREFIX)  # the groups of a long leader are dealt over several buckets
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("lead", F.pmod("shingle", parts)), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInArrow(pairs, "a long, b long, matches long")
 
 
-def _large_groups(rows: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+def _large_groups(rows: DataFrame, bits: DataFrame, percent: int, best: int | None = None) -> DataFrame:
     """Pairs of larger groups: tiles of two blocks of a size band and the band below, thinned by the bitmaps.
 
-    Groups led by the same text share tiles. ``best`` keeps each text's most alike partners of a tile only.
+    Groups led by the same text share tiles, and each tile is dealt by its own key: those of one leader run in many tasks.
+    ``best`` keeps each text's most alike partners of a tile only.
     """
     ratio = float(np.log(100 / percent))
-    rows = rows.groupBy("lead", "blocks", "n", "doc", "comp").agg(F.collect_set("shingle").alias("shingles"), F.first("bitmap").alias("bitmap"))  # a text's prefix at most
+    wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given as a number: tiles are small in bytes and long in time
+    rows = rows.repartition(wide, "lead", "doc").groupBy("lead", "doc").agg(F.collect_set("shingle").alias("shingles"), F.first("blocks").alias("blocks"), F.first("n").alias("n"), F.first("comp").alias("comp"))  # a text's prefix at most
+    rows = rows.join(bits, "doc")
     rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / ratio + 1e-9).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # A member is at home in its band and a guest in the band above; a link spans at most one band edge.
     rows = rows.withColumn("at", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home")))))
@@ -300,16 +307,16 @@ def _large_groups(rows: DataFrame, percent: int, best: int | None = None) -> Dat
         n = n.astype(np.int64)
         maps = [np.frombuffer(x, np.uint8) for x in t.column("bitmap").to_pylist()]
         held = t.column("shingles").combine_chunks()
-        names, token = np.unique(held.flatten().to_numpy(), return_inverse=True)
-        member = np.zeros((len(n), len(names)), np.float32)
-        member[np.repeat(np.arange(len(n)), np.diff(held.offsets.to_numpy())), token] = 1
+        token = np.unique(held.flatten().to_numpy(), return_inverse=True)[1]
+        by = np.argsort(token, kind="stable")
+        token, owner = token[by], np.repeat(np.arange(len(n)), np.diff(held.offsets.to_numpy()))[by]
         x, y, z = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         every = np.arange(len(n))
         sides = [(every[home & (block == low)], every[block == high])] + ([(every[home & (block == high)], every[block == low])] if low != high else [])
         for homes, rest in sides:
             if not len(homes) or not len(rest) or (comp[homes].min() == comp[homes].max() == comp[rest].min() == comp[rest].max()):
                 continue
-            shared = member[homes] @ member[rest].T
+            shared = common_tokens(token, owner, len(n), homes, rest)
             size = min(min(len(maps[i]) for i in homes), min(len(maps[i]) for i in rest))
             stack = np.stack([fold_bitmap(maps[i], size) for i in rest]).view(np.uint64)
             for i, common in zip(homes, shared, strict=True):
@@ -328,52 +335,83 @@ def _large_groups(rows: DataFrame, percent: int, best: int | None = None) -> Dat
         x, y, z = np.concatenate(x), np.concatenate(y), np.concatenate(z)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "matches": z})
 
-    return rows.groupBy("lead", "tile", "low", "high").applyInArrow(pairs, "a long, b long, matches long")
+    return rows.repartition(wide, "lead", "tile", "low", "high").groupBy("lead", "tile", "low", "high").applyInArrow(pairs, "a long, b long, matches long")
+
+
+def common_tokens(token: np.ndarray, owner: np.ndarray, rows: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each of ``left`` shares with each of ``right``; (token, owner) pairs come by token, some of which are multiplied at a time."""
+    shared = np.zeros((len(left), len(right)), np.float32)
+    top = int(token[-1]) + 1 if len(token) else 0
+    for t in range(0, top, TOKENS):
+        i, j = np.searchsorted(token, (t, t + TOKENS))
+        member = np.zeros((rows, min(TOKENS, top - t)), np.float32)
+        member[owner[i:j], token[i:j] - t] = 1
+        shared += member[left] @ member[right].T
+    return shared
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), class_id (smallest id of an equal set).
 
-    Ids must be unique and not null. Empty tables give an empty result.
+    One row for each row of ``documents``. Where ids are null or repeated, rows are told apart by a key of their own (a copy of the
+    table is written with it); nulls are never the smallest id, and a component of null ids alone has a null name.
+    Empty tables give an empty result.
     """
-    small_batches(documents.sparkSession)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        out = _components(docs, width, percent)
+    else:
+        keyed = materialise(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
+        out = _components(keyed.select(F.col("key").alias("doc_id"), "text"), width, percent)
+        out = out.withColumnsRenamed({"doc_id": "key", "component_id": "component", "class_id": "class"}).join(keyed.select("key", "doc_id"), "key")
+        for name in ("component", "class"):
+            out = out.join(out.groupBy(name).agg(F.min("doc_id").alias(f"{name}_id")), name)
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "class_id")
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same for unique ids."""
     sets = materialise(describe(docs, width), "sets")
     identity = ["n_shingles", "sum_a", "sum_b"]
     classes = materialise(sets.filter("n_shingles > 0").groupBy(*identity).agg(F.min("doc_id").alias("class_id")), "classes")
 
-    rows = prefixes(docs, width, percent, crowded_cells(docs, width))
-    groups = rows.withColumn("size", F.count("*").over(Window.partitionBy("shingle", "salt"))).filter("size > 1 OR salt > 0")
-    named = sets.join(classes, identity).select(F.col("doc_id").alias("doc"), "class_id")
-    groups = materialise(groups.join(named, "doc").select("shingle", "n", F.col("class_id").alias("doc")).distinct(), "groups")
-    heads = groups.groupBy("shingle").agg(F.count("*").alias("size"), F.min("doc").alias("lead")).filter("size > 1")
-    rest = materialise(groups.join(heads, "shingle"), "rest")
-    discard(groups)
-    most = rest.groupBy("lead").agg(F.max("size").alias("most"))
-    rest = rest.join(most, "lead").select("shingle", "lead", "n", "doc", F.ceil(F.col("most") / BLOCK).alias("blocks"), (F.col("most") > LARGE).alias("large"))
-
-    # Large groups first lose their copies: each text is tried against its most alike partners.
-    large = rest.filter("large").select("shingle", "lead", "n", "doc", "blocks")
-    bits = materialise(sorted_arrays(docs, large.select("doc").distinct(), width).select("doc", "bitmap"), "bitmaps")
-    large = large.join(bits, "doc")
-    tries = _large_groups(large.withColumn("comp", F.col("doc")), percent, BEST).select("a", "b").distinct()
-    first = _settle(docs, tries, width, percent)
-    labels = materialise(components(first), "labels").toDF("doc", "label")
-
-    # Then all pairs of texts that are not yet in one component.
-    def split(x):
-        return x.join(labels, "doc", "left").withColumn("comp", F.coalesce("label", "doc")).drop("label")
-
-    small = rest.filter("NOT large").select("shingle", "lead", "n", "doc", F.col("doc").alias("comp"))
-    buckets = max(1, small.count() // ROWS)
-    pairs = _small_groups(split(small.drop("comp")), percent, buckets).unionByName(_large_groups(split(large), percent))
-    pairs = pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"))
-    size = rest.groupBy("doc").agg(F.max("n").cast("long").alias("n"))
-    pairs = pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(F.col("matches") >= least_matches(F.col("n"), F.col("m"), percent)).select("a", "b")
-    second = _settle(docs, pairs, width, percent)
-    discard(bits)
-    labels = components(first.unionByName(second))
+    with ExitStack() as done:
+        rows = prefixes(docs, width, percent, crowded_cells(docs, width))
+        groups = rows.withColumn("size", F.count("*").over(Window.partitionBy("shingle", "salt"))).filter("size > 1 OR salt > 0")
+        named = sets.join(classes, identity).select(F.col("doc_id").alias("doc"), "class_id")
+        groups = materialise(groups.join(named, "doc").select("shingle", "n", F.col("class_id").alias("doc")).distinct(), "groups")
+        heads = groups.groupBy("shingle").agg(F.count("*").alias("size"), F.min("doc").alias("lead"), F.max("n").alias("longest")).filter("size > 1")
+        rest = scratch_table(done, groups.join(heads, "shingle"), "rest")
+        discard(groups)
+        small = rest.filter(F.col("size") <= LARGE).select("shingle", "lead", "longest", "n", "doc")
+
+        # Groups of one leader share tiles, as many as the largest needs; the leaders are salted, as one may lead most rows.
+        large = rest.filter(F.col("size") > LARGE)
+        most = large.groupBy("lead").agg(F.max("size").alias("most")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = large.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(most, ["lead", "salt"])
+        large = large.select("shingle", "lead", "n", "doc", F.ceil(F.col("most") / BLOCK).alias("blocks"))
+
+        # Large groups first lose their copies: each text is tried against its most alike partners.
+        bits = scratch_table(done, sorted_arrays(docs, large.select("doc").distinct(), width).select("doc", "bitmap"), "bitmaps")
+        tries = _large_groups(large.withColumn("comp", F.col("doc")), bits, percent, BEST).select("a", "b").distinct()
+        first = _settle(docs, tries, width, percent)
+        done.callback(discard, first)
+        labels = components(first)
+        done.callback(discard, labels)
+
+        # Then all pairs of texts that are not yet in one component.
+        def split(x):
+            return x.join(labels, "doc", "left").withColumn("comp", F.coalesce("label", "doc")).drop("label")
+
+        buckets = max(1, small.count() // ROWS)
+        pairs = _small_groups(split(small), percent, buckets).unionByName(_large_groups(split(large), bits, percent))
+        pairs = pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"))
+        size = rest.groupBy("doc").agg(F.max("n").cast("long").alias("n"))
+        pairs = pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(F.col("matches") >= least_matches(F.col("n"), F.col("m"), percent)).select("a", "b")
+        second = _settle(docs, pairs, width, percent)
+        done.callback(discard, second)
+        labels = components(first.unionByName(second))
 
     members = sets.join(classes, identity, "left")
     out = members.join(labels.toDF("class_id", "label"), "class_id", "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("label", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("label", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))

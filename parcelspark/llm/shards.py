@@ -8,8 +8,11 @@ k holds slots k * per_shard onwards, each ``length`` little-endian unsigned 16-
 starts at byte (s - k * per_shard) * stride of shard k and a reader resumes by arithmetic alone. A shard is written under
 an attempt's own name and renamed, so repeated tasks leave whole files.
 
-Null texts count as empty. An empty table writes nothing. ``documents`` must be a stored table (its partitions are read twice;
-a count that differs raises).
+Texts are encoded once: the sequences are written, compressed some hundred at a time, with their place in the input
+partition; how many each partition has gives every sequence its number. The slots are dealt from that table and it is deleted.
+
+Null and empty texts are one ``end_id`` each; repeated rows are encoded each time; ids take no part. An empty table writes no shard and
+gives an empty result. A text may be longer than a sequence; it goes on in the next.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.llm.bpe import encode, encoding
-from parcelspark.llm.common import mix
+from parcelspark.llm.common import discard, materialise, mix
 
 LENGTH = 2048
 PER_SHARD = 4096
@@ -57,7 +61,7 @@ def _stream(batches, ranks: str, pattern: str, end_id: int, length: int, kind: s
         for text in b.column(0).to_pylist():
             held.append(np.append(encode(text or "", enc), end_id).astype(kind))
             size += len(held[-1])
-            if size >= 256 * length:
+            if size >= 512 * length:
                 every = np.concatenate(held)
                 whole = size // length * length
                 yield every[:whole].reshape(-1, length)
@@ -68,31 +72,32 @@ def _stream(batches, ranks: str, pattern: str, end_id: int, length: int, kind: s
 
 
 def materialise_training_order(documents: DataFrame, out: str, ranks: str, pattern: str, key: str, end_id: int = 50256, length: int = LENGTH, per_shard: int = PER_SHARD, text_col: str = "text") -> DataFrame:
-    """Writes the shards under ``out`` (a URI of a shared file system); returns slot, shard, byte_offset, n_bytes, crc32 of every sequence."""
+    """Writes the shards under ``out`` (a URI of a shared file system), then returns slot, shard, byte_offset, n_bytes, crc32 of every sequence."""
     spark = documents.sparkSession
     kind = "<u2" if end_id < 1 << 16 else "<u4"
     texts = documents.select(F.col(text_col).alias("text"))
 
-    def count(batches):
-        n = sum(len(x) for x in _stream(batches, ranks, pattern, end_id, length, kind))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+    def encoded(batches):
+        part, done, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=6)
+        for rows in _stream(batches, ranks, pattern, end_id, length, kind):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([done], pa.int64()), pa.array([len(rows)], pa.int64()), pa.array([pack.compress(rows.tobytes())], pa.binary())], ["part", "first", "n", "ids"])
+            done += len(rows)
 
-    sizes = texts.mapInArrow(count, "part int, n long").collect()  # one row a partition
+    sequences = materialise(texts.mapInArrow(encoded, "part int, first long, n long, ids binary"), "sequences")
     base, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        base[r["part"]] = (total, r["n"])
+    for r in sequences.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row a partition
+        base[r["part"]] = total
         total += r["n"]
     shared = spark.sparkContext.broadcast(base)
 
     def deal(batches):
-        at, n = shared.value[TaskContext.get().partitionId()]
-        done = 0
-        for rows in _stream(batches, ranks, pattern, end_id, length, kind):
-            s = slots(np.arange(at + done, at + done + len(rows)), total, key)
-            done += len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([r.tobytes() for r in rows], pa.binary())], ["slot", "ids"])
-        if done != n:
-            raise RuntimeError(f"a partition gave {done} sequences after {n}: documents must be a stored table")
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            for part, first, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = slots(shared.value[part] + first + np.arange(n), total, key)
+                raw = unpack.decompress(ids)
+                stride = len(raw) // n
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([pack.compress(raw[i : i + stride]) for i in range(0, len(raw), stride)], pa.binary())], ["slot", "ids"])
 
     def write(batches):
         """Slots come in order; each shard is in one partition."""
@@ -106,6 +111,7 @@ def materialise_training_order(documents: DataFrame, out: str, ranks: str, patte
                 sink.close()
                 store.move(temporary, target)
 
+        unpack = zstandard.ZstdDecompressor()
         store, folder = fs.FileSystem.from_uri(out)
         store.create_dir(folder, recursive=True)
         for b in batches:
@@ -117,15 +123,17 @@ def materialise_training_order(documents: DataFrame, out: str, ranks: str, patte
                     shard, target = k, f"{folder}/shard-{k:08d}.bin"
                     temporary = f"{target}.{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temporary)
-                raw = [b.column(1)[i].as_buffer() for i in at.tolist()]
+                raw = [unpack.decompress(b.column(1)[i].as_buffer()) for i in at.tolist()]
                 for x in raw:
                     sink.write(x)
                 yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array([k] * len(at), pa.int64()), pa.array((s[at] - k * per_shard) * stride), pa.array([stride] * len(at), pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())], ["slot", "shard", "byte_offset", "n_bytes", "crc32"])
         close()
 
-    dealt = texts.mapInArrow(deal, "slot long, ids binary")
+    dealt = sequences.mapInArrow(deal, "slot long, ids binary")
     placed = dealt.repartitionById(max(1, -(-total // per_shard)), F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-    return placed.mapInArrow(write, "slot long, shard long, byte_offset long, n_bytes long, crc32 long")
+    index = materialise(placed.mapInArrow(write, "slot long, shard long, byte_offset long, n_bytes long, crc32 long"), "index")
+    discard(sequences)
+    return index
 
 
 def read_slots(spark: SparkSession, out: str, first: int, rows: int, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> list[np.ndarray]:

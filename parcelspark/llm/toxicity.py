@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import fold, materialise, mix, sample_rows, shingle_sets, small_batches, texts_of, trim
+from parcelspark.llm.common import fold, materialise, mix, sample_rows, shingle_sets, texts_of, trim
 from parcelspark.llm.linear import calibrate, sigmoid
 
 SAMPLE = 2000
@@ -197,7 +197,6 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine, toxic). Labels of the held fold are never read."""
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(fold("doc_id", modulus) != held))
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -74,6 +74,14 @@ def test_jaccard_components(docs, rows):
     assert got == {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    a, b = "a b c d e f g h", "k l m n o p q r"
+    rows = [(None, a), (3, a), (3, b), (5, b), (None, "z"), (None, None), (9, None), (9, None)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: str(r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted([(None, 4, 3), (3, 4, 3), (3, 4, 3), (5, 4, 3), (None, 1, None), (None, 0, None), (9, 0, 9), (9, 0, 9)], key=key)
+
+
 def test_jaccard_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LARGE", 4)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
@@ -96,20 +104,32 @@ def test_jaccard_large_groups(spark, monkeypatch):
     assert got == label
 
 
-def test_lm_scores(docs, rows):
-    texts = {i: WORDS.findall(lower(t or "")) for i, t, *_ in rows}
-    one, two = Counter(), Counter()
-    for w in texts.values():
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    total = sum(one.values())
-    got = {r.doc_id: r for r in lm.score_documents(docs, buckets=3).collect()}
-    for i, w in texts.items():
-        if not w:
-            assert got[i].n_tokens == 0 and got[i].log_score is None
-            continue
-        want = math.log(one[w[0]] / total) + sum(math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total) for a, b in zip(w, w[1:]))
-        assert math.isclose(got[i].log_score, want, rel_tol=1e-9) and got[i].n_tokens == len(w)
+@pytest.mark.parametrize(("order", "min_count"), [(2, 1), (3, 1), (2, 2), (3, 2)])
+def test_lm_scores(docs, rows, order, min_count, spark):
+    rows = [*rows, (None, "one two three", None, None, None), (7, "one two", None, None, None), (7, "again é", None, None, None)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in rows[-3:]], "doc_id long, text string"))
+    path = common.scratch_path(spark, "lm")
+    table.write.parquet(path)
+    counts = Counter()
+    for _, t, *_ in rows:
+        w = WORDS.findall(lower(t or ""))
+        for n in range(1, order + 1):
+            counts.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    total = sum(n for g, n in counts.items() if len(g) == 1)
+
+    def log_s(gram):
+        if len(gram) == 1:
+            return math.log(counts[gram] / total)
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= min_count else math.log(0.4) + log_s(gram[1:])
+
+    want = []
+    for i, t, *_ in rows:
+        w = WORDS.findall(lower(t or ""))
+        want.append((i, len(w), round(sum(log_s(tuple(w[max(0, k - order + 1) : k + 1])) for k in range(len(w))), 6) if w else None))
+    got = [(r.doc_id, r.n_tokens, None if r.log_score is None else round(r.log_score, 6)) for r in lm.score_documents(spark.read.parquet(path), order, min_count=min_count, buckets=3).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert [r[:2] for r in sorted(got, key=key)] == [r[:2] for r in sorted(want, key=key)]
+    assert all(math.isclose(a[2] or 0, b[2] or 0, rel_tol=1e-6, abs_tol=1e-6) for a, b in zip(sorted(got, key=key), sorted(want, key=key)))
 
 
 def test_packing(docs, rows):
