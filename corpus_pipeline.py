@@ -1,47 +1,57 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 toxicity -> language ID -> n-gram Jaccard join -> PII -> best-fit packing. All but the last return the columns of documents.
+Stages decide row by row: ids may be null or repeated, further columns are carried along. Null and empty texts pass the first stage and
+go in the second; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.llm import jaccard, langid, packing, pii, toxicity
-from parcelspark.llm.common import materialise
-from parcelspark.llm.queries import CAPACITY, END_ID, PII_KEY
+from parcelspark.llm.common import discard, materialise, small_batches
+from parcelspark.llm.queries import CAPACITY, END_ID, pii_key
 
 # Of the winning family's own probability; checked on held-out texts and junk (README).
 LEAST_FAMILY_SCORE = 0.72
 
-# Scores of trained models and tokenizer ids are beyond SQL; tests hold the operators against brute force, and the language stage against junk.
+# Scores of trained models and tokenizer ids are beyond SQL; tests hold the stages against the operators, brute force and junk.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; labels of the held-out fold take no part."""
-    bad = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows predicted toxic go, each by its own score; labels of the held-out fold take no part."""
+    scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_row=True)
+    return scored.filter("predicted = 0").select("row.*")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no letter, or a family probability below LEAST_FAMILY_SCORE."""
-    good = langid.detect_language(docs).filter((F.col("lang_pred") != "und") & (F.col("family_score") >= LEAST_FAMILY_SCORE)).select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    """Rows without a language go: null texts, texts without a letter, or a family probability below LEAST_FAMILY_SCORE."""
+    found = langid.detect_language(docs, with_row=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("family_score") >= LEAST_FAMILY_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the smallest doc_id stays."""
-    kept = jaccard.jaccard_components(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each component of near copies the row of smallest doc_id stays; rows with null or repeated ids go by a key of their own."""
+    key = f"key_{uuid.uuid4().hex}"
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    else:
+        keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    kept = jaccard.jaccard_components(keyed, id_col=key).filter(F.col(key) == F.col("component_id")).select(key)
+    return keyed.join(kept, key, "left_semi").drop(key)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; n_chars follows the new text."""
-    out = pii.pseudonymise(docs, PII_KEY)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Personal data become pseudonyms; n_chars follows the new text. No row goes."""
+    findings = f"found_{uuid.uuid4().hex}"
+    out = pii.pseudonymise(docs, pii_key(spark), found_col=findings).drop(findings)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +69,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. What a stage kept is deleted when the next has been written, but for the last one's input, which the result reads."""
+    small_batches(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted to at most ``SAMPLE`` vectors (least keyed hash) and every vector is filed in a leaf. A query takes
-leaves off a priority queue, nearest centre first. How many it visits is calibrated: for up to
+branches and leaves off a priority queue, nearest centre first. How many leaves it visits is calibrated: for up to
 ``CALIBRATION`` queries the exact neighbours among all rows are found in blocks, and the visits widen until their mean recall reaches
-the target. Leaves with many rows are cut into blocks. Scores of what is found are exact double-precision inner products,
+the target; a query goes on beyond them until its leaves hold k other rows. Leaves with many rows are cut into blocks. Scores of what is found are exact double-precision inner products,
 summed in component order; ties go to the smaller id. Vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part. An empty table gives an empty result.
+non-finite components take no part, nor do rows with a null id. Rows that repeat an id are candidates each, but never of a query with that id; of a repeated query id the least vector
+asks. Other columns take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parcelspark.llm.common import materialise, sample_rows
 
-SAMPLE = 8192
+SAMPLE = 32_768
 CALIBRATION = 200
+FAN = 32  # branches of a node
 LEAF_ROWS = 1024
-MAX_LEAVES = 4096
+MAX_LEAVES = 16_384
 BLOCK = 4096
 QUERIES = 8192  # of one leaf that meet a block at a time
 RECALL = 0.95
@@ -40,41 +43,59 @@ def k_means(x: np.ndarray, k: int, rng, rounds: int = 12) -> tuple[np.ndarray, n
 
 
 class Tree:
-    """Two levels of centres. Inner product is searched through the centres' own inner product with the query."""
+    """Nodes of up to FAN centres each, down to the leaves. Inner product is searched through the centres' own inner product with the query."""
 
     def __init__(self, x: np.ndarray, leaves: int, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        fan = max(1, round(leaves**0.5))
-        self.top, own = k_means(x, fan, rng)
-        self.below, self.first = [], [0]
-        for c in range(len(self.top)):
+        self.nodes: list[tuple[np.ndarray, np.ndarray]] = []  # centres; below them: a node's number, or -1 less a leaf's
+        self.leaves = 0
+        self._grow(x, max(1, leaves), np.random.default_rng(seed))
+
+    def _grow(self, x: np.ndarray, leaves: int, rng) -> int:
+        me = len(self.nodes)
+        self.nodes.append((x[:0], np.zeros(0, np.int64)))
+        fan = leaves if leaves <= FAN else max(2, min(FAN, round(leaves ** 0.5)))
+        centres, own = k_means(x, fan, rng)
+        below = []
+        for c in range(len(centres)):
             inner = x[own == c]
-            centres = k_means(inner, max(1, round(leaves * len(inner) / len(x))), rng)[0] if len(inner) else self.top[c : c + 1]
-            self.below.append(centres)
-            self.first.append(self.first[-1] + len(centres))
-        self.leaves = self.first[-1]
+            share = round(leaves * len(inner) / len(x))
+            if leaves > FAN and share > 1 and len(inner) < len(x):
+                below.append(self._grow(inner, share, rng))
+            else:
+                below.append(-1 - self.leaves)
+                self.leaves += 1
+        self.nodes[me] = centres, np.array(below, np.int64)
+        return me
 
     def file(self, x: np.ndarray) -> np.ndarray:
-        near = lambda y, c: np.argmax(y @ c.T - 0.5 * (c**2).sum(1), axis=1)
-        branch = near(x, self.top)
-        out = np.zeros(len(x), np.int32)
-        for c in np.unique(branch):
-            at = branch == c
-            out[at] = self.first[c] + near(x[at], self.below[c])
+        """The leaf of each vector: the nearest centre's, level by level."""
+        out, todo = np.zeros(len(x), np.int32), [(0, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            centres, below = self.nodes[node]
+            near = np.argmax(x[rows] @ centres.T - 0.5 * (centres**2).sum(1), axis=1)
+            for c in np.unique(near):
+                at = rows[near == c]
+                if below[c] < 0:
+                    out[at] = -1 - below[c]
+                else:
+                    todo.append((int(below[c]), at))
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first traversal."""
-        queue = [(-float(s), 0, c) for c, s in enumerate(self.top @ q)]
-        heapq.heapify(queue)
+    def visit(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, rows: int = 0) -> list[int]:
+        """``most`` leaves in the order of a best-bin-first traversal, and further ones until they hold ``rows`` rows."""
+        queue: list[tuple[float, int]] = [(0.0, 0)]
         out: list[int] = []
-        while queue and len(out) < most:
-            _, leaf, c = heapq.heappop(queue)
-            if leaf:
-                out.append(c)
-            else:
-                for i, s in enumerate(self.below[c] @ q):
-                    heapq.heappush(queue, (-float(s), 1, self.first[c] + i))
+        held = 0
+        while queue and (len(out) < most or held < rows):
+            _, node = heapq.heappop(queue)
+            if node < 0:
+                out.append(-1 - node)
+                held += sizes.get(-1 - node, 0) if sizes else 0
+                continue
+            centres, below = self.nodes[node]
+            for s, b in zip((centres @ q).tolist(), below.tolist(), strict=True):
+                heapq.heappush(queue, (-s, b))
         return out
 
 
@@ -155,10 +176,10 @@ def nearest(embeddings: DataFrame, query_filter, k: int = 20, id_col: str = "vec
     rows = usable(embeddings, id_col, vector_col)
     spark = rows.sparkSession
     n = rows.count()
-    sample = sample_rows(rows, "vec_id", seed, SAMPLE).collect()  # bounded by SAMPLE
-    if not sample:
+    sample = sample_rows(rows, "vec_id", seed, SAMPLE).select("v").toArrow()  # bounded by SAMPLE
+    if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = Tree(np.array([r["v"] for r in sample]), min(MAX_LEAVES, max(1, n // LEAF_ROWS)))
+    tree = Tree(vectors_of(sample.column("v").combine_chunks()), min(MAX_LEAVES, max(1, n // LEAF_ROWS)))
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches):
@@ -166,7 +187,10 @@ def nearest(embeddings: DataFrame, query_filter, k: int = 20, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.file(vectors_of(b.column(1))), pa.int32())], ["vec_id", "v", "leaf"])
 
     filed = materialise(rows.mapInArrow(file, "vec_id long, v array<double>, leaf int"), "filed")
-    asked = filed.filter(query_filter)
+    asked = filed.filter(query_filter).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest: a much-copied vector leaves no more in the search.
+    again = F.dense_rank().over(Window.partitionBy("leaf", "v").orderBy("vec_id"))
+    searched = materialise(filed.withColumn("again", again).filter(F.col("again") <= k + 1).drop("again"), "searched")
     trial = [(r["vec_id"], r["v"]) for r in sample_rows(asked, "vec_id", seed, CALIBRATION).collect()]
     exact = brute_force(filed, trial, k).select("query_id", "leaf").collect() if trial else []
     order = {q: {leaf: i for i, leaf in enumerate(tree.visit(np.array(v), tree.leaves))} for q, v in trial}
@@ -175,16 +199,16 @@ def nearest(embeddings: DataFrame, query_filter, k: int = 20, id_col: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
 
-    sizes = {r["leaf"]: -(-r["count"] // BLOCK) for r in filed.groupBy("leaf").count().collect()}  # MAX_LEAVES rows at most
-    blocks = spark.sparkContext.broadcast(sizes)
+    sizes = {r["leaf"]: r["count"] for r in searched.groupBy("leaf").count().collect()}  # MAX_LEAVES rows at most
+    held_rows = spark.sparkContext.broadcast(sizes)
 
     def ask(batches):
         for b in batches:
             x = vectors_of(b.column(1))
             leaf, block, row = [], [], []
             for i, q in enumerate(x):
-                for c in shared.value.visit(q, visits):
-                    for j in range(blocks.value.get(c, 0)):
+                for c in shared.value.visit(q, visits, held_rows.value, k + 1):
+                    for j in range(-(-held_rows.value.get(c, 0) // BLOCK)):
                         leaf.append(c)
                         block.append(j)
                         row.append(i)
@@ -193,11 +217,12 @@ def nearest(embeddings: DataFrame, query_filter, k: int = 20, id_col: str = "vec
 
     wanted = asked.select("vec_id", "v").mapInArrow(ask, "leaf int, block int, query_id long, q array<double>")
     wanted = materialise(wanted, "wanted")
-    asks = {r["leaf"]: -(-r["count"] // QUERIES) for r in wanted.filter("block = 0").groupBy("leaf").count().collect()}
-    by_leaf = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("leaf")]
-    held = filed.filter(F.col("leaf").isin(list(asks))).withColumn("block", F.pmod(F.xxhash64("vec_id"), by_leaf(sizes)).cast("int"))
-    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0), by_leaf(asks).cast("int") - 1))).select("leaf", "block", "slice", "vec_id", "v")
-    wanted = wanted.withColumn("slice", F.pmod(F.xxhash64("query_id"), by_leaf(asks)).cast("int"))
+    # Into how many blocks a leaf's rows and slices its queries are cut: MAX_LEAVES rows at most, hence broadcast.
+    cuts = [(r["leaf"], -(-sizes[r["leaf"]] // BLOCK), -(-r["count"] // QUERIES)) for r in wanted.filter("block = 0").groupBy("leaf").count().collect()]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "leaf int, blocks int, slices int"))
+    held = searched.join(cuts, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("leaf", "block", "slice", "vec_id", "v")
+    wanted = wanted.join(cuts, "leaf").withColumn("slice", F.pmod(F.xxhash64("query_id"), "slices").cast("int")).select("leaf", "block", "slice", "query_id", "q")
 
     def search(left, right):
         if not left.num_rows or not right.num_rows:

@@ -90,6 +90,11 @@ def sample_rows(df: DataFrame, key: str, seed: int, rows: int) -> DataFrame:
     return df.filter(draw <= int(share * (1 << 40))).orderBy(draw, F.col(key)).limit(rows)
 
 
+def labelled_texts(documents: DataFrame, some: DataFrame) -> DataFrame:
+    """doc_id, text, label of the bounded sample ``some`` (doc_id, label): one row an id, of a repeated id the least text."""
+    return documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """A setting of the whole session, for the programs that run the operators: texts go to Python ``rows`` at a time, so a batch of long ones stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,19 +1,22 @@
 """Hierarchical language identification: the family first, then one-versus-one linear SVMs inside it.
 
 Features are hashed character n-grams. At most ``SAMPLE`` labelled texts of each language (least keyed hash) train
-the models; a third of them calibrates the margins. A language without a listed family is a family of its own. Null texts and
-texts without a letter are ``und`` with score 0, as is everything when no language can be learned.
+the models; a third of them calibrates the margins. A language without a listed family is a family of its own. Null and empty texts and
+texts without a letter (Unicode category L) are ``und`` with score 0, as is everything when no language can be learned. Long texts are
+scored a window at a time. Ids are only carried: repeated rows have equal results, a row with a null id is scored but never
+learned from, and of a repeated id one text, the least, is learned from. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from parcelspark.llm.common import chunks, fold, texts_of, trim
@@ -27,7 +30,7 @@ FAMILIES = {
     "romance": "fr es it pt ro ca",
     "slavic": "ru pl cs uk bg sk sr hr sl",
 }
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family_of(lang: str) -> str:
@@ -44,7 +47,7 @@ def _model(index, value, positive: np.ndarray, late: np.ndarray, loss: str):
 
 def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 3) -> dict:
     """labelled: doc_id, text, lang. Languages, family models (one against the rest) and pair models."""
-    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     # Numbered within each language over a hash range that shrinks the candidates first, so no task gathers a language.
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 2 * sample / n)))]) if sizes else None
@@ -55,6 +58,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 3) -> dict:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
     some = near.withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id").distinct()
     texts = known.join(F.broadcast(some.limit(sample * len(sizes))), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.text", "x.lang")
     index, value, lang = collect_features(texts, GRAMS, "lang")
     langs = sorted(set(lang.tolist()))
     family = np.array([family_of(x) for x in lang])
@@ -105,9 +109,9 @@ def identify(texts: list[str | None], docs: list[bytes], model: dict) -> tuple[l
     return names, scores, own
 
 
-def detect_language(documents: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, family_score. Learns from rows whose fold is not ``held``."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+def detect_language(documents: DataFrame, modulus: int = 4, held: int = 2, with_row: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, family_score; ``with_row`` adds row, a struct of all columns. Learns from rows whose fold is not ``held``."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", *([F.struct("*").alias("row")] if with_row else []))
     model = train(rows.filter(fold("doc_id", modulus) != held))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -116,8 +120,10 @@ def detect_language(documents: DataFrame, modulus: int = 4, held: int = 2) -> Da
             docs, texts = texts_of(b.column(1)), b.column(1).to_pylist()
             for i, j in chunks([len(d) for d in docs], CHUNK):
                 names, scores, own = identify(texts[i:j], docs[i:j], shared.value)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores), pa.array(own)], ["doc_id", "lang_pred", "score", "family_score"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores), pa.array(own), *(c.slice(i, j - i) for c in b.columns[2:])], ["doc_id", "lang_pred", "score", "family_score", *b.schema.names[2:]])
         trim()
 
-    out = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, family_score double")
-    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score", "family_score")
+    some = rows.drop("lang")
+    schema = StructType.fromDDL("doc_id long, lang_pred string, score double, family_score double")
+    out = some.mapInArrow(run, StructType([*schema, *some.schema[2:]]))
+    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score", "family_score", *some.columns[2:])

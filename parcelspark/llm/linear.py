@@ -59,24 +59,50 @@ class Ngrams:
 
     def sparse(self, docs: list[bytes]):
         """(indices, values) of each text: counts over the root of the number of n-grams, family by family."""
-        families = list(self.rows(docs))
+        index, count, number = {}, {}, {}
+        for owner, parts in windows_of(docs):
+            for f, (feature, edges) in enumerate(self.rows(parts)):
+                for k, i in enumerate(owner):
+                    ids, n = np.unique(feature[edges[k] : edges[k + 1]], return_counts=True)
+                    if (i, f) in index:
+                        ids, where = np.unique(np.concatenate((index[i, f], ids)), return_inverse=True)
+                        n = np.bincount(where, np.concatenate((count[i, f], n)))
+                    index[i, f], count[i, f], number[i, f] = ids, n, number.get((i, f), 0) + edges[k + 1] - edges[k]
+        families = range(bool(self.words) + bool(self.chars))
         for i in range(len(docs)):
-            index, value = [], []
-            for feature, edges in families:
-                ids, n = np.unique(feature[edges[i] : edges[i + 1]], return_counts=True)
-                index.append(ids)
-                value.append((n / np.sqrt(max(1, edges[i + 1] - edges[i]))).astype(np.float32))
-            yield np.concatenate(index), np.concatenate(value)
+            yield np.concatenate([index[i, f] for f in families]), np.concatenate([count[i, f] / np.sqrt(max(1, number[i, f])) for f in families]).astype(np.float32)
 
     def project(self, docs: list[bytes], weights: np.ndarray) -> np.ndarray:
         """features @ weights, without building the features; weights is (size, models)."""
-        out = np.zeros((len(docs), weights.shape[1]))
-        for feature, edges in self.rows(docs):
-            n = np.diff(edges)
-            for k in range(weights.shape[1]):
-                run = np.concatenate(([0.0], np.cumsum(weights[feature, k], dtype=np.float64)))
-                out[:, k] += (run[edges[1:]] - run[edges[:-1]]) / np.sqrt(np.maximum(1, n))
-        return out
+        families = bool(self.words) + bool(self.chars)
+        sums, number = np.zeros((families, len(docs), weights.shape[1])), np.zeros((families, len(docs)))
+        for owner, parts in windows_of(docs):
+            for f, (feature, edges) in enumerate(self.rows(parts)):
+                np.add.at(number[f], owner, np.diff(edges))
+                for k in range(weights.shape[1]):
+                    run = np.concatenate(([0.0], np.cumsum(weights[feature, k], dtype=np.float64)))
+                    np.add.at(sums[f, :, k], owner, run[edges[1:]] - run[edges[:-1]])
+        return (sums / np.sqrt(np.maximum(1, number))[:, :, None]).sum(0)
+
+
+def windows_of(docs: list[bytes], most: int = CHUNK):
+    """(numbers of the texts, windows) some ``most`` bytes at a time. Longer texts are cut between words where they can be; no n-gram spans a cut."""
+    owner, parts, held = [], [], 0
+    for i, d in enumerate(docs):
+        at = 0
+        while at == 0 or at < len(d):
+            end = at + most
+            if end < len(d):
+                end = max(d.rfind(b" ", at + most // 2, end), d.rfind(b"\n", at + most // 2, end)) + 1 or end
+            owner.append(i)
+            parts.append(d[at:end])
+            held += min(end, len(d)) - at
+            if held >= most:
+                yield owner, parts
+                owner, parts, held = [], [], 0
+            at = end
+    if parts:
+        yield owner, parts
 
 
 def _by_text(parts, owner, n, base):
@@ -84,7 +110,7 @@ def _by_text(parts, owner, n, base):
     if len(parts) > 1:
         order = np.argsort(doc, kind="stable")
         feature, doc = feature[order], doc[order]
-    return feature + base, np.searchsorted(doc, np.arange(n + 1))
+    return feature + np.int32(base), np.searchsorted(doc, np.arange(n + 1))
 
 
 def collect_features(sample: DataFrame, grams: Ngrams, label: str):

@@ -1,9 +1,12 @@
 """Best-fit packing with certified repacking.
 
 Pieces are dealt over partitions and packed best-fit decreasing. A dual-feasible-function lower bound certifies a
-partition whose bin count meets it. Partitions that have a gap, and every partition's loosest bins, exchange pieces: what
-those bins held is dealt anew, fewer partitions each round, and packed again. A round is kept only if it needs
-fewer bins, so the count never rises. The sum over partitions of certified bounds, and the bound of the whole, are reported.
+partition whose bin count meets it. Partitions that have a gap, and every certified partition's emptiest bin, exchange pieces: what
+those bins held is dealt anew, over fewer partitions each round, and packed again. A round is kept only if it needs
+fewer bins, so the count never rises, and the rounds end when the count meets the bound of the whole table.
+
+Each piece has a key of its own, so ids may be null or repeated: every row of the table is packed. Null and empty texts are
+one piece of the end id. An empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
@@ -71,64 +74,76 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 def _pack(rows: DataFrame, capacity: int, parts: int, round_no: int) -> DataFrame:
-    """Deals the rows over ``parts`` by a hash and packs each; adds part, bin, filled and the part's certified gap."""
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.lit(parts)).cast("int"))
+    """Deals the rows (key, length) over ``parts`` by a hash and packs each; adds part, bin, offset, filled, the part's certified gap and its emptiest bin."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit(round_no)), F.lit(parts)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
         b = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         filled = np.bincount(b, weights=lengths).astype(np.int64)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "length": lengths, "part": pdf["part"], "bin": b, "filled": filled[b], "gap": len(filled) - bound})
+        order = np.argsort(b, kind="stable")
+        ends = np.cumsum(lengths[order])
+        offset = np.empty(len(b), np.int64)
+        offset[order] = ends - lengths[order] - np.concatenate(([0], np.cumsum(filled)))[b[order]]
+        return pd.DataFrame({"key": pdf["key"], "length": lengths, "part": pdf["part"], "bin": b, "offset": offset, "filled": filled[b], "gap": len(filled) - bound, "emptiest": b == int(filled.argmin())})
 
-    return dealt.groupBy("part").applyInPandas(run, "doc_id long, piece int, length long, part int, bin long, filled long, gap long")
+    return dealt.groupBy("part").applyInPandas(run, "key long, length long, part int, bin long, offset long, filled long, gap long, emptiest boolean")
 
 
 def _bins(packed: DataFrame) -> int:
     return packed.groupBy("part").agg((F.max("bin") + 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def whole_bound(items: DataFrame, capacity: int) -> int:
+    """Lower bound of the bins that all items (length) need; the lengths' histogram has ``capacity`` rows at most."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in items.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    return lower_bound(counts, capacity)
+
+
 def pack_lengths(items: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, piece, length -> doc_id, piece, sequence_id, offset. Full-length pieces are sequences of their own."""
-    rows = items.select("doc_id", "piece", "length")
+    """key (unique), length -> key, sequence_id, offset. Full-length items are sequences of their own, numbered below 0.
+
+    The other numbers hold the round, the partition and the bin.
+    """
+    rows = items.select("key", "length")
     short = rows.filter(F.col("length") < capacity)
     n = short.count()
-    settled = [rows.filter(F.col("length") == capacity).select("doc_id", "piece", "length", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("home"))]
-    parts = max(1, math.ceil(n / PER_PARTITION))
-    packed = materialise(_pack(short, capacity, parts, 0), "packed")
+    settled = [rows.filter(F.col("length") == capacity).select("key", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+
+    def numbered(x, r):
+        return x.select("key", (F.lit(r).cast("long") * (1 << 60) + F.col("part") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
+
+    packed, current = materialise(_pack(short, capacity, max(1, math.ceil(n / PER_PARTITION)), 0), "packed"), 0
+    bins, least = _bins(packed), whole_bound(short, capacity)
     for r in range(1, ROUNDS + 1):
-        # Loose: bins with over 1/64 of room left in partitions with a gap; a certified partition stays as it is,
-        # but for its single emptiest bins, which are the slack that the whole can still share.
+        # Loose: bins with over 1/64 of room left in partitions with a gap; of a certified partition the emptiest bin,
+        # which is the slack that the whole can still share.
         slack = F.col("filled") < capacity - capacity // 64
-        loose = slack & ((F.col("gap") > 0) | (F.col("filled") < capacity * 3 // 4))
+        loose = slack & ((F.col("gap") > 0) | F.col("emptiest"))
         pool = packed.filter(loose)
         m = pool.count()
-        parts = min(max(1, parts // 4), max(1, math.ceil(m / PER_PARTITION)))
-        if not m or (parts == 1 and r > 2):
+        parts = math.ceil(m / PER_PARTITION)
+        if bins <= least or not m or (parts == 1 and r > 2):
             break
-        again = materialise(_pack(pool.select("doc_id", "piece", "length"), capacity, parts, r), "packed")
-        before = pool.select("part", "bin").distinct().count()
-        if _bins(again) >= before:
+        again = materialise(_pack(pool.select("key", "length"), capacity, parts, r), "packed")
+        before, after = pool.select("part", "bin").distinct().count(), _bins(again)
+        if after >= before:
             discard(again)
             continue
-        settled.append(packed.filter(~loose).select("doc_id", "piece", "length", F.concat_ws("-", F.lit(r), "part", "bin").alias("home")))
-        packed = again
-    settled.append(packed.select("doc_id", "piece", "length", F.concat_ws("-", F.lit("last"), "part", "bin").alias("home")))
+        settled.append(numbered(packed.filter(~loose), current))
+        packed, current, bins = again, r, bins - before + after
+    settled.append(numbered(packed, current))
     every = settled[0]
     for x in settled[1:]:
         every = every.unionByName(x)
-    # A sequence holds at most ``capacity`` pieces, so these groups are small; its number is its least (doc_id, piece), hashed.
-    members = every.groupBy("home").agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "length"))).alias("m"))
-    first = members.select(F.xxhash64("home").alias("sequence_id"), F.col("m"))
-    placed = first.select("sequence_id", "m", F.posexplode("m").alias("i", "x"))
-    offset = F.aggregate(F.slice("m", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, y: a + y["length"])
-    return placed.select(F.col("x.doc_id").alias("doc_id"), F.col("x.piece").alias("piece"), "sequence_id", offset.alias("offset"))
+    return every
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    # Ids may be null or repeated: pieces are packed and joined by a key that is written with them.
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id).withColumn("row_key", F.monotonically_increasing_id()), "pieces")
-    placed = pack_lengths(cut.select(F.col("row_key").alias("doc_id"), "piece", "length"), capacity)
-    return cut.join(placed.select(F.col("doc_id").alias("row_key"), "sequence_id", "offset"), "row_key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    return cut.join(pack_lengths(cut, capacity), "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,19 +1,24 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Found in every whole text: e-mail addresses, payment card numbers (13 to 19 digits, Luhn), IBANs (mod 97), IPv4 addresses,
-calendar dates, telephone numbers (10 to 15 digits in a telephone's layout, or 7 and more after a plus sign) and long
-hexadecimal secrets. A run of numbers that is none of these as a whole is split at its spaces, and the parts are joined so
+calendar dates, telephone numbers (10 to 15 digits in a telephone's layout, or 7 and more after a plus sign), nine-digit identifiers
+(3-2-4 digits; no area 000, 666 or 9xx, no group 00, no serial 0000) and long
+hexadecimal secrets. Numbers that nothing tells from others, such as seven or ten digits in a row, stay. A run of numbers that is none of these as a whole is split at its spaces, and the parts are joined so
 that values cover the most digits; of a failed card in its layout no part is a telephone number. What fails its validation stays as it is.
 
 Numbers and dates go through a keyed Feistel network over exactly their domain: the two halves of the digits (or the two
 factors of the day count) are added to, in turn, a keyed hash of the other half, modulo their own size. So a
 card becomes another card of that length with a valid check digit, a date another date in the same layout, and equal values
 stay equal in all documents. Dates are days from 1900-01-01 on, 73,000 of them (= 365 x 200). Addresses and secrets
-become keyed digests in their layout. Null texts stay null; empty texts stay empty.
+become keyed digests in their layout. Null texts stay null; empty texts stay empty. Rows are rewritten one by one: repeated rows have
+equal results, ids take no part, other columns are kept under their names, whatever these are, but for a column with the name of
+``found_col``, which gives way to the findings. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 SECRET = r"(?<![A-Za-z0-9])(?=\d*[A-Fa-f])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
 CARD = r"(?<![\w+(])(?:\d{4}([ \-])\d{4}\{n}\d{4}\{n}\d{4}(?:\{n}\d{3})?|\d{4}([ \-])\d{6}\{m}\d{5})(?!\w|[.\-]\d)"
 PHONE = r"(?<![\w+(])(?:\+\d{1,3} )?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\w|[.\-]\d)"
+IDENTIFIER = r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
 # A loose run ends before a value with a layout of its own.
 LAYOUT = r"\d{4}-\d{2}-\d{2}(?![\d\-])|\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?!\d|[./]\d)|(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)|\d{4} \d{4} \d{4} \d{4}(?!\w|[.\-]\d)|\d{4}-\d{4}-\d{4}-\d{4}(?!\w|[.\-]\d)|\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4}(?!\w|[.\-]\d)"
 NUMBER = r"(?<![\w+(])(?:\+?\(?)\d(?:(?![ ().\-]?[ ](?:" + LAYOUT + r"))[ ().\-]{0,2}\d){6,199}(?!\w|[.\-]\d)"
@@ -132,6 +138,17 @@ def permute_date(m: Column, key: str) -> Column:
     return refill(m, digits)
 
 
+def permute_identifier(digits: Column, key: str) -> Column:
+    """A valid nine-digit identifier -> another: areas 001 to 899 without 666, groups from 01, serials from 0001."""
+    area, group, serial = (digits.substr(F.lit(i), F.lit(n)).cast("long") for i, n in ((1, 3), (4, 2), (6, 4)))
+    x = ((area - 1 - F.when(area > 666, 1).otherwise(0)) * 99 + group - 1) * 9999 + serial - 1
+    n = feistel(x, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, F.lit("identifier"))
+    high = F.floor(n / 9999).cast("long")
+    area = F.floor(high / 99).cast("long") + 1
+    area = area + F.when(area > 665, 1).otherwise(0)
+    return F.concat(F.lpad(area.cast("string"), 3, "0"), F.lpad((F.pmod(high, F.lit(99)) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(n, F.lit(9999)) + 1).cast("string"), 4, "0"))
+
+
 def permute_ipv4(m: Column, key: str) -> Column:
     part = lambda i: F.element_at(F.split(m, "\\."), i).cast("long")
     n = feistel(part(1) * (1 << 24) + part(2) * (1 << 16) + part(3) * 256 + part(4), F.lit(1 << 16).cast("long"), F.lit(1 << 16).cast("long"), key, F.lit("ipv4"))
@@ -154,6 +171,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike("^[0-9A-Fa-f]{32,}$"), "secret")
         .when(n.between(13, 19) & is_luhn(digits), "card")
         .when(phone, "phone")
+        .when(m.rlike(IDENTIFIER), "identifier")
     )
 
 
@@ -168,6 +186,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "iban", refill(m, permute_iban(compact, key), "[A-Z0-9]"))
         .when(kind == "secret", F.when(m.rlike("[A-F]"), F.upper(hexes)).otherwise(hexes))
         .when(kind == "card", refill(m, permute_card(digits, key)))
+        .when(kind == "identifier", refill(m, permute_identifier(digits, key)))
         .when(kind == "phone", refill(m, permute_digits(digits, key, "phone")))
         .otherwise(m)
     )
@@ -193,13 +212,16 @@ def values_of(m: Column) -> Column:
     return F.when(kind_of(m).isNull() & m.contains(" ") & m.rlike(r"^[0-9 +().\-]+$"), split).otherwise(F.array(m))
 
 
-def pseudonymise(documents: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``documents`` with ``text_col`` rewritten; adds pii (kind and pseudonym of each value found, in order)."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0)
+def pseudonymise(documents: DataFrame, key: str, text_col: str = "text", found_col: str = "pii") -> DataFrame:
+    """``documents`` with ``text_col`` rewritten; adds ``found_col`` (kind and pseudonym of each value found, in order)."""
+    source = F.col(f"`{text_col}`")
+    raw, new, changed = (f"{name}_{uuid.uuid4().hex}" for name in ("raw", "new", "changed"))  # the table may have any other name
+    found = F.regexp_extract_all(source, F.lit(PATTERN), 0)
     parts = F.transform(F.flatten(F.transform(found, lambda m, i: F.transform(values_of(m), lambda v: F.struct(v.alias("v"), i.alias("at"))))), lambda x: F.struct(x["at"].alias("at"), x["v"].alias("v"), kind_of(F.rtrim(x["v"])).alias("kind")))
-    rows = documents.withColumn("_found", parts)
-    rows = rows.withColumn("_new", F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(F.rtrim(x["v"]), x["kind"], key).alias("value"), x["at"].alias("at"), F.regexp_extract(x["v"], " *$", 0).alias("space"))))
-    between = F.split(F.col(text_col), PATTERN, -1)
-    text = F.when(F.size(F.filter("_new", lambda x: x["kind"].isNotNull())) > 0, F.array_join(F.transform(between, lambda s, i: F.concat(s, F.array_join(F.transform(F.filter("_new", lambda x: x["at"] == i), lambda x: F.concat(x["value"], x["space"])), ""))), "")).otherwise(F.col(text_col))
-    out = rows.withColumn("_text", text).withColumn("pii", F.transform(F.filter("_new", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
-    return out.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in documents.columns if c != "pii"), "pii")
+    rows = documents.withColumn(raw, parts)
+    rows = rows.withColumn(new, F.transform(raw, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(F.rtrim(x["v"]), x["kind"], key).alias("value"), x["at"].alias("at"), F.regexp_extract(x["v"], " *$", 0).alias("space"))))
+    between = F.split(source, PATTERN, -1)
+    text = F.when(F.size(F.filter(new, lambda x: x["kind"].isNotNull())) > 0, F.array_join(F.transform(between, lambda s, i: F.concat(s, F.array_join(F.transform(F.filter(new, lambda x: x["at"] == i), lambda x: F.concat(x["value"], x["space"])), ""))), "")).otherwise(source)
+    rows = rows.withColumn(changed, text)
+    findings = F.transform(F.filter(new, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value")))
+    return rows.select(*(F.col(changed).alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns if c != found_col), findings.alias(found_col))

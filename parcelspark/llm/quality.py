@@ -2,18 +2,21 @@
 
 The model is logistic regression on hashed word and character n-grams, fitted to at most ``SAMPLE`` labelled rows of
 each class (those of least keyed hash), two thirds for the weights and a third for Platt scaling. Every whole text is
-scored. Null and empty texts have zero counts and fail the base rules. With no labels of both classes
-the verdict rests on the base rules alone.
+scored, a window at a time where it is long. Null and empty texts have zero counts and fail the base rules. With no labels of both classes
+the verdict rests on the base rules alone. Ids are only carried: repeated rows have equal results, and a row with a null id is scored but never
+learned from; of a repeated id one text, the least, is learned from. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+from io import BytesIO
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import _SEPARATOR, chunks, sample_rows, texts_of, windows, word_hashes
+from parcelspark.llm.common import _SEPARATOR, chunks, labelled_texts, sample_rows, texts_of, windows, word_hashes
 from parcelspark.llm.linear import Ngrams, Rows, calibrate, collect_features, fit, sigmoid
 
 SAMPLE = 1500
@@ -26,14 +29,16 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def per_text(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    run = np.concatenate(([0], np.cumsum(flags)))
-    return run[edges[1:]] - run[edges[:-1]]
+    return np.array([np.count_nonzero(flags[i:j]) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], np.int64)
 
 
 def repeated_lines(doc: bytes) -> int:
-    lines = doc.split(b"\n")
-    if len(set(lines)) == len(lines):
-        return 0
+    if len(doc) < 1 << 20:
+        lines = doc.split(b"\n")
+        if len(set(lines)) == len(lines):
+            return 0
+    else:
+        lines = (line.removesuffix(b"\n") for line in BytesIO(doc))  # never all of them at once
     seen, n = set(), 0
     for line in lines:
         if not line.strip(b" \t\n\r\x0b\x0c"):
@@ -49,16 +54,22 @@ def base_counts(docs: list[bytes]) -> dict[str, np.ndarray]:
     edges = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])))
     hashes, counts = word_hashes(docs, lower=False)
     ends = np.cumsum(counts)
-    doc = np.repeat(np.arange(len(docs)), counts)
+    total = len(hashes)
     run = windows(hashes, 3)
-    inside = np.arange(len(run)) + 3 <= ends[doc[: len(run)]]
-    at = np.flatnonzero(inside)
-    order = at[np.lexsort((run[at], doc[at]))]
-    same = (run[order][1:] == run[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    del hashes
+    if len(docs) == 1:
+        order = np.argsort(run)
+        run = run[order]
+        same = run[1:] == run[:-1]
+    else:
+        doc = np.repeat(np.arange(len(docs)), counts)
+        at = np.flatnonzero(np.arange(len(run)) + 3 <= ends[doc[: len(run)]])
+        order = at[np.lexsort((run[at], doc[at]))]
+        same = (run[order][1:] == run[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     twice = np.zeros(len(order), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    covered = np.zeros(len(hashes) + 1, bool)
+    covered = np.zeros(total + 1, bool)
     for j in range(3):
         covered[order[twice] + j] = True
     word_edges = np.concatenate(([0], ends)).astype(np.int64)
@@ -75,7 +86,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     """(weights, bias, a, c) from the sampled labelled rows, or None without both classes."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     some = sample_rows(marks.filter("label = 1"), "doc_id", seed, sample).unionByName(sample_rows(marks.filter("label = 0"), "doc_id", seed, sample))
-    index, value, y = collect_features(documents.select("doc_id", "text").join(F.broadcast(some), "doc_id"), GRAMS, "label")
+    index, value, y = collect_features(labelled_texts(documents, some), GRAMS, "label")
     if len(set(y.tolist())) < 2:
         return None
     late = np.arange(len(y)) % 3 == 2

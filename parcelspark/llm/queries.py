@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelspark.llm import ann, bpe, common, jaccard, langid, lm, packing, pii, quality, shards, toxicity
 
-PII_KEY = "parcelspark-demo-key"
 ORDER_KEY = "parcelspark-order-key"
 CAPACITY, END_ID = 4096, 1
 
@@ -18,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of the pseudonyms: ``spark.parcelspark.pii.key``, or where it is unset a random one for the session, so its pseudonyms can't be traced back."""
+    key = spark.conf.get("spark.parcelspark.pii.key", None)
+    if key is None:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.parcelspark.pii.key", key)
+    return key
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +45,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

