@@ -29,6 +29,30 @@ def mode_per(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return first_per(rows.groupBy(*by, value).agg(F.count("*").alias("n")), by, [F.desc("n"), F.asc(value)])
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, float], count: str | None = None, low_rank: bool = False, pieces: int = 1024) -> DataFrame:
+    """Exact quantiles, linearly interpolated, of groups that may each hold much of the table; nulls don't count.
+
+    Values are counted in ``pieces`` ranges of equal width between the least and the largest; the ranges that hold a wanted rank are
+    picked by running counts, and only their rows are ranked. So no task sorts or holds a group. ``low_rank`` gives the value at rank int(n p) instead.
+    """
+    x = rows.select(F.struct(*by).alias("_key"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    ends = x.agg(F.min("_v").alias("a"), F.max("_v").alias("b")).first()
+    low, width = (ends["a"], (ends["b"] - ends["a"]) / pieces or 1.0) if ends["a"] is not None else (0.0, 1.0)
+    x = x.withColumn("_piece", F.least(F.lit(pieces - 1), F.floor((F.col("_v") - low) / width).cast("int")))
+    w = Window.partitionBy("_key").orderBy("_piece")
+    held = x.groupBy("_key", "_piece").count().withColumn("_upto", F.sum("count").over(w)).withColumn("_n", F.sum("count").over(Window.partitionBy("_key")))
+    wanted = []
+    for name, p in probs.items():
+        at = F.floor(F.col("_n") * p).cast("double") if low_rank else (F.col("_n") - 1) * F.lit(float(p))
+        wanted += [F.struct(F.lit(name).alias("name"), F.floor(at).alias("rank"), (1 - (at - F.floor(at))).alias("share")), F.struct(F.lit(name).alias("name"), F.ceil(at).alias("rank"), (at - F.floor(at)).alias("share"))]
+    asked = held.withColumn("_w", F.explode(F.array(*wanted))).select("_key", "_piece", "_n", "_w.*", (F.col("_upto") - F.col("count")).alias("_before"), "_upto").filter("rank >= _before AND rank < _upto")
+    ranked = x.join(asked.select("_key", "_piece").distinct(), ["_key", "_piece"]).withColumn("_i", F.row_number().over(Window.partitionBy("_key", "_piece").orderBy("_v")) - 1)
+    found = asked.withColumn("_i", F.col("rank") - F.col("_before")).join(ranked, ["_key", "_piece", "_i"])
+    weighted = F.when(F.col("share") > 0, F.col("_v") * F.col("share")).otherwise(0.0)
+    out = found.groupBy("_key").agg(*(F.sum(F.when(F.col("name") == name, weighted)).alias(name) for name in probs), *([F.max("_n").alias(count)] if count else []))
+    return out.select("_key.*", *probs, *([count] if count else []))
+
+
 def match_all(rows: DataFrame, predicates: list[Column | None]) -> DataFrame:
     """Rows that meet every predicate that is given."""
     return rows.filter(reduce(lambda a, b: a & b, [p for p in predicates if p is not None], F.lit(True)))

@@ -17,15 +17,27 @@ def portfolios(listings: DataFrame, least: int = 2) -> DataFrame:
     return listings.filter("status = 'Closed'").groupBy("parcel_id", "city").agg(F.count("*").alias("n_sales"), F.sum("sold_price").alias("volume"), F.min("close_date").alias("first_close"), F.max("close_date").alias("last_close")).filter(F.col("n_sales") >= least)
 
 
-def expired_watchlist(listings: DataFrame, as_of: str, days: int = 365) -> DataFrame:
-    """Parcels whose latest listing expired and that are not on the market, scored by recency, repeats and price cut."""
+def expired_watchlist(listings: DataFrame, as_of: str, days: int = 30, least: int = 10) -> DataFrame:
+    """Parcels whose latest listing ended without a sale within ``days`` and that are not on the market: score and next step.
+
+    Recency, repeats, a cut of 10 %, a price 100,000 over the assessment, and the ripe window of 10 to 21 days add up.
+    """
     day = F.lit(as_of).cast("date")
-    gone = listings.filter(F.col("status") == "Expired/Cancelled").withColumn("off", F.date_add("list_date", F.col("dom"))).filter((F.col("off") <= day) & (F.col("off") > F.date_sub(day, days)))
-    per = gone.groupBy("parcel_id").agg(F.count("*").alias("n_expired"), F.max("off").alias("last_off"), F.max_by("list_price", F.struct("off", "listing_id")).alias("last_price"), F.max_by("original_list_price", F.struct("off", "listing_id")).alias("last_original"))
+    gone = listings.filter(F.col("status").isin("Expired/Cancelled", "Withdrawn")).withColumn("ev", F.coalesce("off_market_date", "list_date")).filter(F.col("ev") <= day)
+    last = F.max_by(F.struct("list_price", "original_list_price", "list_date", "office_id", "listing_id"), F.struct("ev", "listing_id")).alias("x")
+    per = gone.groupBy("parcel_id").agg(F.max("city").alias("city"), F.max("owner1").alias("owner1"), F.max("assessed").alias("assessed"), F.count("*").alias("n_expirations"), F.max("ev").alias("last_off_date"), last)
+    per = per.filter(F.col("last_off_date") >= F.date_sub(day, days)).select(
+        "parcel_id", "city", "owner1", "assessed", "n_expirations", "last_off_date", F.col("x.list_price").alias("final_list_price"), F.col("x.original_list_price").alias("final_original_price"), F.col("x.list_date").alias("final_list_date"),
+        F.col("x.office_id").alias("final_office"), F.col("x.listing_id").alias("final_listing_id"), F.datediff(day, "last_off_date").cast("long").alias("days_off"), F.datediff("last_off_date", "x.list_date").cast("long").alias("days_on_market"),
+    )
+    per = per.withColumn("pct_cut_off_orig", (F.col("final_original_price") - F.col("final_list_price")) / F.nullif("final_original_price", F.lit(0.0)) * 100)
+    off = F.col("days_off")
+    points = lambda cond, n: F.when(cond, n).otherwise(0)
+    score = F.when(off <= 7, 20).when(off <= 30, 10).otherwise(0) + points(F.col("n_expirations") >= 2, 15) + points(F.round("pct_cut_off_orig", 6) >= 10, 10)
+    score = score + points(F.col("final_list_price") - F.col("assessed") >= 100_000, 10) + points(off.between(10, 21), 5)
+    step = F.when((off <= 7) & (F.col("score") >= 30), "call_within_72hr").when(F.col("n_expirations") >= 2, "send_relist_pitch_letter").when(off <= 30, "send_followup_postcard").otherwise("add_to_quarterly_drip")
     live = listings.filter("status IN ('Active', 'Pending')").select("parcel_id").distinct()
-    age = F.datediff(day, F.col("last_off"))
-    score = F.when(age <= 7, 20).when(age <= 30, 10).otherwise(0) + F.when(F.col("n_expired") >= 2, 15).otherwise(0) + F.when((F.col("last_original") - F.col("last_price")) >= 0.05 * F.col("last_original"), 10).otherwise(0)
-    return per.join(live, "parcel_id", "left_anti").withColumn("score", score).filter("score >= 10")
+    return per.join(live, "parcel_id", "left_anti").withColumn("score", score).filter(F.col("score") >= least).withColumn("next_step", step)
 
 
 def prior_sales(listings: DataFrame) -> DataFrame:

@@ -6,21 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.plans import history, leads, market, valuation
-from parcelspark.sources.bridge import AS_OF, BRIDGE_SQL, DEEDS_SQL, deeds, listings, price_bands
+from parcelspark.plans import history, leads, valuation
+from parcelspark.queries import market as market_queries
+from parcelspark.sources.bridge import AS_OF, BRIDGE_SQL, DEEDS_SQL, deeds, listings
 from parcelspark.streaming import windows
 
 B = BRIDGE_SQL
 DAY = f"DATE '{AS_OF}'"
 SOLD = "(SELECT * FROM listings WHERE status = 'Closed' AND sold_price > 0 AND list_price > 0 AND close_date IS NOT NULL)"
-BANDED = "LEFT JOIN bands b ON b.class_id = l.class_id AND l.list_price >= b.lo AND l.list_price < b.hi"
 
 
-def _on(product, banded: bool = False, **more) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return product(listings(spark, sf_dir), *([price_bands(spark)] if banded else []), **more)
-
-    return run
+_on = market_queries.on
 
 
 def _events(product) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,23 +28,7 @@ def _confidence(comps: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "dom_by_cohort": _on(market.dom_by_cohort, True),
-    "dom_by_subdivision": _on(market.dom_by_subdivision),
-    "spread": _on(market.spread, True),
-    "velocity": _on(market.velocity, as_of=AS_OF),
-    "price_cuts": _on(market.price_cuts),
-    "cut_waterfall": _on(market.cut_waterfall, True),
-    "laggards": _on(market.laggards, True),
-    "fast_sellers": _on(market.fast_sellers, True),
-    "office_ranking": _on(market.ranking, as_of=AS_OF, who="office_id"),
-    "agent_ranking": _on(market.ranking, as_of=AS_OF, who="agent_id"),
-    "neighborhoods": _on(market.neighborhoods, as_of=AS_OF),
-    "market_index": _on(market.market_index),
-    "heatmap": _on(market.heatmap),
-    "prior_period_kpis": _on(market.prior_period_kpis, start="2001-04-01", end="2001-07-01", before="2001-01-01"),
-    "filled_prices": _on(market.fixed_spine, as_of=AS_OF),
     "portfolios": _on(leads.portfolios),
-    "expired_watchlist": _on(leads.expired_watchlist, as_of=AS_OF),
     "prior_sales": _on(leads.prior_sales),
     "flippers": _on(leads.flippers, as_of=AS_OF),
     "latest_per_parcel": _on(leads.latest_per_parcel),
@@ -83,56 +63,8 @@ _COMPS = f"""{B}, pairs AS (
 ), comps AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, comp_id) AS comp_rank FROM pairs QUALIFY comp_rank <= 6)"""
 
 
-def _ranking(who: str) -> str:
-    return f"""{B}, recent AS (SELECT * FROM listings WHERE list_date >= {DAY} - 730),
-modes AS (SELECT {who}, city, row_number() OVER (PARTITION BY {who} ORDER BY count(*) DESC, city) AS r FROM recent GROUP BY {who}, city)
-SELECT r.{who}, count(*) AS listed, count(*) FILTER (status = 'Closed') AS closed, sum(sold_price) AS volume, median(dom::DOUBLE) FILTER (status = 'Closed') AS median_dom,
-  count(*) FILTER (status = 'Expired/Cancelled') / count(*) AS expiry_share, count(*) FILTER (class_id = 'RE_1') AS residential, count(*) FILTER (class_id = 'LD_3') AS land,
-  any_value(m.city) AS top_city FROM recent r JOIN modes m ON m.{who} = r.{who} AND m.r = 1 GROUP BY 1"""
-
-
 ORACLE: dict[str, str] = {
-    "dom_by_cohort": f"""{B} SELECT CAST(year(close_date) AS INTEGER) AS sale_year, l.class_id, city, band, count(*) AS n, median(dom::DOUBLE) AS median_dom, quantile_cont(dom::DOUBLE, 0.25) AS p25_dom,
-  quantile_cont(dom::DOUBLE, 0.75) AS p75_dom, median(sold_price) AS median_sold FROM {SOLD} l {BANDED} GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3""",
-    "dom_by_subdivision": f"{B} SELECT city, subdivision, class_id, count(*) AS n, median(dom::DOUBLE) AS median_dom, median(sold_price) AS median_sold FROM {SOLD} GROUP BY 1, 2, 3 HAVING count(*) >= 3",
-    "spread": f"""{B}, x AS (SELECT l.*, band, (sold_price - original_list_price) / original_list_price AS gap FROM {SOLD} l {BANDED})
-SELECT class_id, city, band, count(*) AS n, median(gap) AS median_gap, quantile_cont(gap, 0.25) AS p25_gap, quantile_cont(gap, 0.75) AS p75_gap, count(*) FILTER (sold_price >= original_list_price) / count(*) AS share_at_ask FROM x GROUP BY 1, 2, 3 HAVING count(*) >= 5""",
-    "velocity": f"""{B}, x AS (SELECT city, class_id, count(*) FILTER (status = 'Active') AS active, count(*) FILTER (status = 'Closed' AND close_date >= {DAY} - INTERVAL 12 MONTH) AS closed_12m,
-  count(*) FILTER (status = 'Closed' AND close_date >= {DAY} - 90) AS closed_90d, count(*) FILTER (status IN ('Expired/Cancelled', 'Withdrawn') AND list_date >= {DAY} - INTERVAL 12 MONTH) AS expired_12m FROM listings GROUP BY 1, 2),
-y AS (SELECT *, active::DOUBLE / nullif(closed_12m / 12.0::DOUBLE, 0) AS months_of_inventory, expired_12m::DOUBLE / nullif(expired_12m + closed_12m, 0) AS expiry_rate FROM x WHERE active > 0)
-SELECT *, CASE WHEN months_of_inventory IS NULL THEN 'no sales' WHEN months_of_inventory < 3 THEN 'hot' WHEN months_of_inventory < 6 THEN 'balanced' WHEN months_of_inventory < 12 THEN 'slow' ELSE 'stale' END AS label FROM y""",
-    "price_cuts": f"{B} SELECT listing_id, city, class_id, status, original_list_price, list_price, original_list_price - list_price AS cut, (original_list_price - list_price) / original_list_price AS cut_share FROM listings WHERE list_price < original_list_price",
-    "cut_waterfall": f"""{B} SELECT l.class_id, city, band, count(*) AS n, count(*) FILTER (list_price < original_list_price) / count(*) AS share_cut, median(dom::DOUBLE) FILTER (list_price < original_list_price) AS median_dom_cut,
-  median(dom::DOUBLE) FILTER (NOT list_price < original_list_price) AS median_dom_uncut FROM {SOLD} l {BANDED} GROUP BY 1, 2, 3 HAVING count(*) >= 10""",
-    "laggards": f"""{B}, q AS (SELECT l.class_id, city, band, quantile_cont(dom::DOUBLE, 0.75) AS p75 FROM {SOLD} l {BANDED} GROUP BY 1, 2, 3),
-x AS (SELECT l.*, band FROM listings l {BANDED} WHERE status IN ('Closed', 'Expired/Cancelled', 'Withdrawn')),
-y AS (SELECT listing_id, x.class_id, x.city, x.band, status, dom, p75, CASE WHEN status <> 'Closed' THEN 'did not sell' WHEN sold_price / list_price < 0.95 THEN 'sold under 95 %' WHEN dom > p75 THEN 'slow' END AS reason
-  FROM x LEFT JOIN q ON q.class_id = x.class_id AND q.city = x.city AND q.band = x.band) SELECT * FROM y WHERE reason IS NOT NULL""",
-    "fast_sellers": f"""{B}, x AS (SELECT l.*, band FROM {SOLD} l {BANDED}), q AS (SELECT class_id, city, band, quantile_cont(dom::DOUBLE, 0.25) AS p25 FROM x GROUP BY 1, 2, 3)
-SELECT listing_id, x.class_id, x.city, x.band, dom, p25, sold_price FROM x JOIN q ON q.class_id = x.class_id AND q.city = x.city AND q.band = x.band WHERE dom <= p25""",
-    "office_ranking": _ranking("office_id"),
-    "agent_ranking": _ranking("agent_id"),
-    "neighborhoods": f"""{B}, c AS (SELECT * FROM {SOLD} WHERE close_date >= {DAY} - INTERVAL 12 MONTH),
-o AS (SELECT city, subdivision, office_id, count(*) / sum(count(*)) OVER (PARTITION BY city, subdivision) AS office_share, row_number() OVER (PARTITION BY city, subdivision ORDER BY count(*) DESC, office_id) AS r FROM c GROUP BY 1, 2, 3),
-a AS (SELECT city, subdivision, agent_id, row_number() OVER (PARTITION BY city, subdivision ORDER BY count(*) DESC, agent_id) AS r FROM c GROUP BY 1, 2, 3),
-t AS (SELECT city, subdivision, string_agg(agent_id::VARCHAR, ',' ORDER BY r) AS top_agents FROM a WHERE r <= 3 GROUP BY 1, 2),
-s AS (SELECT city, subdivision, count(*) AS n, median(sold_price) AS median_sold, median(dom::DOUBLE) AS median_dom, count(*) FILTER (close_date >= {DAY} - 90) AS n_90d FROM c GROUP BY 1, 2)
-SELECT s.*, office_id, office_share::DOUBLE AS office_share, top_agents FROM s JOIN o USING (city, subdivision) JOIN t USING (city, subdivision) WHERE o.r = 1""",
-    "market_index": f"""{B}, m AS (SELECT county, CAST(year(close_date) * 12 + month(close_date) - 1 AS INTEGER) AS m, median(sold_price / sqft) AS median_ppsf, count(*) AS n_sales FROM {SOLD} WHERE sqft > 0 AND class_id = 'RE_1' GROUP BY 1, 2),
-k AS (SELECT * FROM m WHERE m.m > (SELECT max(m) FROM m) - 48)
-SELECT *, sum(median_ppsf * n_sales) OVER w / sum(n_sales) OVER w AS smoothed_ppsf FROM k WINDOW w AS (PARTITION BY county ORDER BY m RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
-    "heatmap": f"""{B} SELECT city, class_id, count(*) FILTER (status = 'Closed') AS closed, count(*) FILTER (status = 'Active') AS active, median(dom::DOUBLE) FILTER (status = 'Closed') AS median_dom,
-  count(*) FILTER (status = 'Closed' AND sold_price < 0.97::DOUBLE * original_list_price) / count(*) FILTER (status = 'Closed') AS cut_share FROM listings GROUP BY 1, 2 HAVING count(*) FILTER (status = 'Closed') > 0""",
-    "prior_period_kpis": f"""{B}, x AS (SELECT *, close_date >= DATE '2001-04-01' AND close_date < DATE '2001-07-01' AS cur, close_date >= DATE '2001-01-01' AND close_date < DATE '2001-04-01' AS old FROM {SOLD})
-SELECT county, count(*) FILTER (cur) AS sales, count(*) FILTER (old) AS prior_sales, sum(sold_price) FILTER (cur) AS volume, median(sold_price) FILTER (cur) AS median_sold, median(sold_price) FILTER (old) AS prior_median_sold FROM x GROUP BY 1""",
-    "filled_prices": f"""{B}, r AS (SELECT county, CAST(year(close_date) * 12 + month(close_date) - 1 AS INTEGER) AS m, median(sold_price) AS median_sold FROM {SOLD} GROUP BY 1, 2),
-s AS (SELECT county, CAST(i AS INTEGER) AS m FROM (SELECT DISTINCT county FROM listings), range(2001 * 12 + 7 - 11, 2001 * 12 + 7 + 1) t(i))
-SELECT s.county, s.m, r.median_sold, last_value(r.median_sold IGNORE NULLS) OVER (PARTITION BY s.county ORDER BY s.m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM s LEFT JOIN r ON r.county = s.county AND r.m = s.m""",
     "portfolios": f"{B} SELECT parcel_id, city, count(*) AS n_sales, sum(sold_price) AS volume, min(close_date) AS first_close, max(close_date) AS last_close FROM listings WHERE status = 'Closed' GROUP BY 1, 2 HAVING count(*) >= 2",
-    "expired_watchlist": f"""{B}, g AS (SELECT *, list_date + dom AS off FROM listings WHERE status = 'Expired/Cancelled'),
-p AS (SELECT parcel_id, count(*) AS n_expired, max(off) AS last_off, arg_max(list_price, (off, listing_id)) AS last_price, arg_max(original_list_price, (off, listing_id)) AS last_original FROM g WHERE off <= {DAY} AND off > {DAY} - 365 GROUP BY 1),
-s AS (SELECT *, CAST(CASE WHEN {DAY} - last_off <= 7 THEN 20 WHEN {DAY} - last_off <= 30 THEN 10 ELSE 0 END + CASE WHEN n_expired >= 2 THEN 15 ELSE 0 END + CASE WHEN last_original - last_price >= 0.05::DOUBLE * last_original THEN 10 ELSE 0 END AS INTEGER) AS score FROM p)
-SELECT * FROM s WHERE score >= 10 AND NOT EXISTS (SELECT 1 FROM listings l WHERE l.parcel_id = s.parcel_id AND status IN ('Active', 'Pending'))""",
     "prior_sales": f"""{B}, s AS (SELECT listing_id, parcel_id, close_date, sold_price FROM listings WHERE status = 'Closed'),
 j AS (SELECT a.listing_id, arg_max((p.close_date, p.sold_price), (p.close_date, p.listing_id)) AS q FROM s a JOIN s p ON p.parcel_id = a.parcel_id AND p.close_date < a.close_date GROUP BY 1),
 k AS (SELECT s.*, q[1] AS prior_close_date, q[2] AS prior_sold_price FROM s LEFT JOIN j USING (listing_id))
@@ -201,3 +133,7 @@ SELECT county, subdivision, scope, n AS closed_12m, a AS active, m AS median_sol
 h AS (SELECT listing_id, n, estimate, spread, estimate * least(0.15::DOUBLE, greatest(0.03::DOUBLE, spread / 2)) AS half FROM e JOIN q USING (listing_id))
 SELECT listing_id, n, estimate, spread, CASE WHEN n >= 5 AND spread <= 0.25 THEN 'high' WHEN n >= 3 AND spread <= 0.6 THEN 'medium' ELSE 'low' END AS confidence, estimate - half AS band_low, estimate + half AS band_high FROM h""",
 }
+
+for group in (market_queries,):
+    QUERIES |= group.QUERIES
+    ORACLE |= group.ORACLE
