@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.llm import jaccard, langid, packing, pii, toxicity
-from parcelspark.llm.common import discard, materialise, small_batches
+from parcelspark.llm.common import discard, materialise, prepare
 from parcelspark.llm.queries import CAPACITY, END_ID, pii_key
 
 # Of the winning family's own probability; checked on held-out texts and junk (README).
@@ -70,7 +70,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces. What a stage kept is deleted when the next has been written, but for the last one's input, which the result reads."""
-    small_batches(spark)
+    prepare(spark)
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -95,9 +95,13 @@ def labelled_texts(documents: DataFrame, some: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """A setting of the whole session, for the programs that run the operators: texts go to Python ``rows`` at a time, so a batch of long ones stays small."""
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Settings of the whole session, for the programs that run the operators (the operators leave them alone).
+
+    Texts go to Python ``rows`` at a time, so a batch of long ones stays small; shuffle files go when their query has ended.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def merge_parts(rows: DataFrame, combine, fan: int = 256) -> DataFrame:

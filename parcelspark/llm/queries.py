@@ -14,8 +14,7 @@ CAPACITY, END_ID = 4096, 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name == "documents":
-        common.small_batches(spark)
+    common.prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

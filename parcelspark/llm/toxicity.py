@@ -146,7 +146,8 @@ def without_copies(seen: DataFrame) -> list[int]:
     sets = {}
     if paired:
         some = documents_of(seen, paired).select("doc_id", "shingles")
-        sets = {r["doc_id"]: np.frombuffer(r["shingles"], "<u8") for r in some.toLocalIterator()}
+        t = some.toArrow()
+        sets = {i: np.frombuffer(x, "<u8") for i, x in zip(t.column("doc_id").to_pylist(), t.column("shingles").to_pylist(), strict=True)}
     alone, holders = [], {}
     for i in sorted(keys):
         near = {j for k in keys[i] for j in holders.get(k, ())}
@@ -183,7 +184,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
         discard(table)
         return BlockMaxIndex([], [], [], [], np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
     ids, label, rows, terms = [], [], [], {}
-    for r in seen.select("doc_id", "label", "words", "counts").orderBy("doc_id").toLocalIterator():  # of a bounded sample
+    for r in seen.select("doc_id", "label", "words", "counts").toArrow().sort_by("doc_id").to_pylist():  # of a bounded sample
         t = np.array([terms.setdefault(w, len(terms)) for w in r["words"]], np.int64)
         by = np.argsort(t)
         ids.append(r["doc_id"])
