@@ -48,11 +48,6 @@ def prior_sales(listings: DataFrame) -> DataFrame:
     return out.select("listing_id", "parcel_id", "close_date", "sold_price", "prior_close_date", "prior_sold_price", F.when(years > 0.5, F.pow(F.col("sold_price") / F.col("prior_sold_price"), 1 / years) - 1).alias("growth"))
 
 
-def flippers(listings: DataFrame, as_of: str, least: int = 3, years: int = 5) -> DataFrame:
-    recent = listings.filter((F.col("status") == "Closed") & (F.col("close_date") >= F.add_months(F.lit(as_of).cast("date"), -12 * years)))
-    return recent.groupBy("parcel_id").agg(F.count("*").alias("sales"), F.min("sold_price").alias("least_price"), F.max("sold_price").alias("most_price")).filter(F.col("sales") >= least)
-
-
 def latest_per_parcel(listings: DataFrame) -> DataFrame:
     return first_per(listings, ["parcel_id"], [F.col("list_date").desc_nulls_last(), F.col("listing_id").desc()]).select("parcel_id", "listing_id", "status", "list_price", "list_date")
 

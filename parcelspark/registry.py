@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelspark.plans import history, leads, valuation
 from parcelspark.queries import market as market_queries
+from parcelspark.queries import owners as owner_queries
 from parcelspark.sources.bridge import AS_OF, BRIDGE_SQL, DEEDS_SQL, deeds, listings
 from parcelspark.streaming import windows
 
@@ -30,7 +31,6 @@ def _confidence(comps: DataFrame) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "portfolios": _on(leads.portfolios),
     "prior_sales": _on(leads.prior_sales),
-    "flippers": _on(leads.flippers, as_of=AS_OF),
     "latest_per_parcel": _on(leads.latest_per_parcel),
     "status_delta": _on(leads.status_delta),
     "comp_scores": _on(leads.comp_scores, as_of=AS_OF),
@@ -69,7 +69,6 @@ ORACLE: dict[str, str] = {
 j AS (SELECT a.listing_id, arg_max((p.close_date, p.sold_price), (p.close_date, p.listing_id)) AS q FROM s a JOIN s p ON p.parcel_id = a.parcel_id AND p.close_date < a.close_date GROUP BY 1),
 k AS (SELECT s.*, q[1] AS prior_close_date, q[2] AS prior_sold_price FROM s LEFT JOIN j USING (listing_id))
 SELECT *, CASE WHEN (close_date - prior_close_date) / 365.25::DOUBLE > 0.5 THEN pow(sold_price / prior_sold_price, 1 / ((close_date - prior_close_date) / 365.25::DOUBLE)) - 1 END AS growth FROM k""",
-    "flippers": f"{B} SELECT parcel_id, count(*) AS sales, min(sold_price) AS least_price, max(sold_price) AS most_price FROM listings WHERE status = 'Closed' AND close_date >= {DAY} - INTERVAL 60 MONTH GROUP BY 1 HAVING count(*) >= 3",
     "latest_per_parcel": f"{B} SELECT parcel_id, listing_id, status, list_price, list_date FROM listings QUALIFY row_number() OVER (PARTITION BY parcel_id ORDER BY list_date DESC, listing_id DESC) = 1",
     "status_delta": f"""{B}, x AS (SELECT parcel_id, listing_id, status, list_price, lag(status) OVER w AS from_status, list_price - lag(list_price) OVER w AS delta FROM listings WINDOW w AS (PARTITION BY parcel_id ORDER BY list_date, listing_id))
 SELECT * FROM x WHERE from_status <> status""",
@@ -134,6 +133,7 @@ h AS (SELECT listing_id, n, estimate, spread, estimate * least(0.15::DOUBLE, gre
 SELECT listing_id, n, estimate, spread, CASE WHEN n >= 5 AND spread <= 0.25 THEN 'high' WHEN n >= 3 AND spread <= 0.6 THEN 'medium' ELSE 'low' END AS confidence, estimate - half AS band_low, estimate + half AS band_high FROM h""",
 }
 
-for group in (market_queries,):
+for group in (market_queries, owner_queries):
     QUERIES |= group.QUERIES
     ORACLE |= group.ORACLE
+ORACLE |= owner_queries.scored(ORACLE["seller_scores"])
