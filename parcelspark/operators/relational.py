@@ -58,20 +58,132 @@ def match_all(rows: DataFrame, predicates: list[Column | None]) -> DataFrame:
     return rows.filter(reduce(lambda a, b: a & b, [p for p in predicates if p is not None], F.lit(True)))
 
 
-def radius_join(left: DataFrame, right: DataFrame, miles: float, max_lat: float = 60.0) -> DataFrame:
+def _cell_row(lat: Column, step: float) -> Column:
+    return F.floor(lat / step).cast("long")
+
+
+def _cell_column(lng: Column, row: Column, step: float) -> Column:
+    """Cells widen towards the poles: as wide as ``step`` degrees of latitude at the far edge of the rows beside this one."""
+    edge = F.least(F.lit(89.5), (F.abs(row) + 2) * step)
+    return F.floor(lng / (step / F.cos(F.radians(edge)))).cast("long")
+
+
+def radius_join(left: DataFrame, right: DataFrame, miles: float) -> DataFrame:
     """Pairs within ``miles``: columns of left, columns of right (named apart by the caller: lat2, lng2), miles.
 
-    Right rows are copied to the nine cells around them, joined by cell, then held to the exact distance; no cross join.
+    Right rows are copied to the nine cells around them, joined by cell, then held to the exact distance; no cross join. Cells are as wide as
+    their latitude needs, up to 89.5 degrees; pairs across the date line are not found.
     """
-    dlat = miles / 69.0
-    dlng = miles / (69.0 * max(0.1, math.cos(math.radians(max_lat))))
-    cell = lambda x, d: F.floor(x / d).cast("long")
-    near = right.withColumn("_dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("_dx", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-    near = near.withColumn("_cy", cell(F.col("lat2"), dlat) + F.col("_dy")).withColumn("_cx", cell(F.col("lng2"), dlng) + F.col("_dx")).drop("_dy", "_dx")
-    home = left.withColumn("_cy", cell(F.col("lat"), dlat)).withColumn("_cx", cell(F.col("lng"), dlng))
+    step = miles / 69.0
+    near = right.withColumn("_cy", F.explode(F.array(*(_cell_row(F.col("lat2"), step) + i for i in (-1, 0, 1)))))
+    near = near.withColumn("_cx", F.explode(F.array(*(_cell_column(F.col("lng2"), F.col("_cy"), step) + i for i in (-1, 0, 1)))))
+    home = left.withColumn("_cy", _cell_row(F.col("lat"), step)).withColumn("_cx", _cell_column(F.col("lng"), F.col("_cy"), step))
     return home.join(near, ["_cy", "_cx"]).withColumn("miles", haversine_miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))).filter(F.col("miles") <= miles).drop("_cy", "_cx")
 
 
+def nearest(left: DataFrame, right: DataFrame, by: str, order: str, start: float, most: float, growth: float = 4.0) -> DataFrame:
+    """Each left row (key ``by``) with its nearest right row (ties to the smaller ``order``), or nulls beyond ``most`` miles.
+
+    Radii grow from ``start``: only rows without a neighbour so far are joined again by larger cells.
+    """
+    todo, found, miles = left, None, start
+    while True:
+        here = first_per(radius_join(todo, right, min(miles, most)), [by], [F.asc("miles"), F.asc(order)])
+        found = here if found is None else found.unionByName(here)
+        if miles >= most:
+            break
+        todo = todo.join(here.select(by), by, "left_anti")
+        miles *= growth
+    return left.join(found.select(by, *[c for c in found.columns if c not in left.columns]), by, "left")
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, by: str, miles: float) -> DataFrame:
+    """Each point with its nearest line (line_id, array of structs lat, lng) within ``miles``, measured on a local plane.
+
+    Segments are copied to the cells their box touches, one cell further on all sides; points meet them by cell.
+    """
+    step = miles / 69.0
+    n = F.size("points")
+    pair = F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.element_at("points", i).alias("a"), F.element_at("points", i + 1).alias("b")))
+    parts = lines.select("line_id", F.explode(pair).alias("s")).select("line_id", F.col("s.a.lat").alias("a_lat"), F.col("s.a.lng").alias("a_lng"), F.col("s.b.lat").alias("b_lat"), F.col("s.b.lng").alias("b_lng"))
+    rows = F.sequence(_cell_row(F.least("a_lat", "b_lat"), step) - 1, _cell_row(F.greatest("a_lat", "b_lat"), step) + 1)
+    parts = parts.withColumn("_cy", F.explode(rows))
+    columns = F.sequence(_cell_column(F.least("a_lng", "b_lng"), F.col("_cy"), step) - 1, _cell_column(F.greatest("a_lng", "b_lng"), F.col("_cy"), step) + 1)
+    parts = parts.withColumn("_cx", F.explode(columns))
+    home = points.withColumn("_cy", _cell_row(F.col("lat"), step)).withColumn("_cx", _cell_column(F.col("lng"), F.col("_cy"), step))
+    flat = F.cos(F.radians("lat")) * 69.0
+    x, y = lambda c: (F.col(c) - F.col("lng")) * flat, lambda c: (F.col(c) - F.col("lat")) * 69.0
+    ax, ay, dx, dy = x("a_lng"), y("a_lat"), x("b_lng") - x("a_lng"), y("b_lat") - y("a_lat")
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / F.nullif(length, F.lit(0.0))))).otherwise(0.0)
+    far = F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+    pairs = home.join(parts, ["_cy", "_cx"]).withColumn("line_miles", far).filter(F.col("line_miles") <= miles)
+    best = first_per(pairs, [by], [F.asc("line_miles"), F.asc("line_id")]).select(by, "line_id", "line_miles")
+    return points.join(best, by, "left")
+
+
+def polygon_join(points: DataFrame, polygons: DataFrame, by: str, cell: float = 0.05) -> DataFrame:
+    """Pairs of a point (lat, lng) and a polygon that holds it (polygon_id, rings: arrays of structs x, y; holes by the even-odd rule).
+
+    Polygons are copied to the cells of their outer box; points meet them by cell, then rays are cast.
+    """
+    x, y = (F.transform(F.flatten("rings"), pick) for pick in (lambda p: p["x"], lambda p: p["y"]))
+    box = {"x0": F.array_min(x), "x1": F.array_max(x), "y0": F.array_min(y), "y1": F.array_max(y)}
+    at = lambda c: F.floor(c / cell).cast("long")
+    parts = polygons.withColumn("_cx", F.explode(F.sequence(at(box["x0"]), at(box["x1"])))).withColumn("_cy", F.explode(F.sequence(at(box["y0"]), at(box["y1"]))))
+    home = points.withColumn("_cx", at(F.col("lng"))).withColumn("_cy", at(F.col("lat")))
+    return home.join(parts, ["_cx", "_cy"]).filter(point_in_polygon(F.col("lng"), F.col("lat"), F.col("rings"))).drop("_cx", "_cy", "rings")
+
+
+def variant_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, variants) -> DataFrame:
+    """Left rows with the right row that the best variant of their key meets (ties to the smaller right key); nulls where none does.
+
+    ``variants`` makes an array of ways to write a key, best first. Right rows are listed under each of their variants too.
+    """
+    one = left.withColumn("_row", F.monotonically_increasing_id())
+    tried = one.select("_row", F.posexplode(variants(F.col(left_key))).alias("_place", "_key"))
+    known = first_per(right.select("*", F.posexplode(variants(F.col(right_key))).alias("_other", "_key")), ["_key"], [F.asc("_other"), F.asc(right_key)])
+    hits = first_per(tried.join(known, "_key"), ["_row"], [F.asc("_place"), F.asc("_other"), F.asc(right_key)])
+    return one.join(hits.drop("_key", "_other").withColumnRenamed("_place", "variant"), "_row", "left").drop("_row")
+
+
+def snapshot_changes(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys of both snapshots whose value differs, nulls included."""
+    a, b = old.select(key, F.col(value).alias("before")), new.select(key, F.col(value).alias("after"))
+    return a.join(b, key).filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def merge_presets(scored: DataFrame, key: list[str], preset: str, value: str, names: list[str]) -> DataFrame:
+    """One row a key with a column for each preset and the best of them."""
+    wide = scored.groupBy(*key).pivot(preset, names).agg(F.max(value))
+    best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    return wide.withColumn("best", best)
+
+
+def token_search(rows: DataFrame, haystack: str, query: str, address: str) -> DataFrame:
+    """Rows that hold every word of the query; 3 points where the address starts with it, 2 where it holds it."""
+    words = [w for w in query.upper().split() if w]
+    text = F.upper(haystack)
+    hit = F.lit(True)
+    for w in words:
+        hit = hit & text.contains(w)
+    q = " ".join(words)
+    score = F.when(F.upper(address).startswith(q), 3).when(F.upper(address).contains(q), 2).otherwise(0)
+    return rows.filter(hit).withColumn("addr_score", score)
+
+
+def house_search(rows: DataFrame, address: str, house: str) -> DataFrame:
+    """Rows at a house number: the number, then no further digit."""
+    return rows.filter(F.col(address).rlike(f"^{house}([^0-9]|$)"))
+
+
+def prefix_index(rows: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
+    """An inverted index of words by their prefixes: (prefix, key), each once."""
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(text), "[^A-Z0-9]+", " "), " "), lambda w: F.length(w) >= least))
+    word = rows.select(key, F.explode(words).alias("w"))
+    return word.select(key, F.explode(F.transform(F.sequence(F.lit(least), F.length("w")), lambda n: F.substring("w", F.lit(1), n))).alias("prefix")).distinct()
+
+
 def point_in_polygon(x: Column, y: Column, rings: Column) -> Column:
     """Even-odd ray casting over rings (arrays of structs x, y), holes included; rings are closed or not."""
 

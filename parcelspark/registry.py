@@ -10,6 +10,7 @@ from parcelspark.plans import history, leads, valuation
 from parcelspark.queries import comps as comp_queries
 from parcelspark.queries import market as market_queries
 from parcelspark.queries import owners as owner_queries
+from parcelspark.queries import places as place_queries
 from parcelspark.sources.bridge import AS_OF, BRIDGE_SQL, DEEDS_SQL, deeds, listings
 from parcelspark.streaming import windows
 
@@ -134,7 +135,7 @@ h AS (SELECT listing_id, n, estimate, spread, estimate * least(0.15::DOUBLE, gre
 SELECT listing_id, n, estimate, spread, CASE WHEN n >= 5 AND spread <= 0.25 THEN 'high' WHEN n >= 3 AND spread <= 0.6 THEN 'medium' ELSE 'low' END AS confidence, estimate - half AS band_low, estimate + half AS band_high FROM h""",
 }
 
-for group in (market_queries, owner_queries, comp_queries):
+for group in (market_queries, owner_queries, comp_queries, place_queries):
     QUERIES |= group.QUERIES
     ORACLE |= group.ORACLE
 ORACLE |= owner_queries.scored(ORACLE["seller_scores"])
