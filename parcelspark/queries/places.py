@@ -20,7 +20,7 @@ def _lines(spark):
 
 def _squares(spark):
     def ring(size):
-        x, y = -81.0 + F.col("id") * 0.2, 37.0 + F.col("id") * 0.15
+        x, y = -81.0003 + F.col("id") * 0.2, 37.0003 + F.col("id") * 0.15  # no parcel lies on an edge
         corner = lambda a, b: F.struct((x + a * size + (0.25 - size) / 2).alias("x"), (y + b * size + (0.25 - size) / 2).alias("y"))
         return F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
 
@@ -83,7 +83,7 @@ ORACLE = {
 v AS (SELECT parcel_id, lat, lng, line_id, (alng - lng) * 69 * cos(radians(lat)) AS ax, (alat - lat) * 69 AS ay, (blng - alng) * 69 * cos(radians(lat)) AS dx, (blat - alat) * 69 AS dy FROM parcels, seg),
 w AS (SELECT *, least(1, greatest(0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM v), z AS (SELECT parcel_id, lat, lng, line_id, sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)) AS line_miles FROM w),
 b AS (SELECT * FROM z WHERE line_miles <= 10 QUALIFY row_number() OVER (PARTITION BY parcel_id ORDER BY line_miles, line_id) = 1) SELECT p.parcel_id, p.lat, p.lng, line_id, line_miles FROM parcels p LEFT JOIN b USING (parcel_id)""",
-    "polygons_of_parcels": f"""{P}, sq AS (SELECT i AS polygon_id, -81.0::DOUBLE + i * 0.2::DOUBLE AS x, 37.0::DOUBLE + i * 0.15::DOUBLE AS y FROM range(5) t(i))
+    "polygons_of_parcels": f"""{P}, sq AS (SELECT i AS polygon_id, -81.0003::DOUBLE + i * 0.2::DOUBLE AS x, 37.0003::DOUBLE + i * 0.15::DOUBLE AS y FROM range(5) t(i))
 SELECT parcel_id, polygon_id FROM parcels, sq WHERE lng BETWEEN x AND x + 0.25::DOUBLE AND lat BETWEEN y AND y + 0.25::DOUBLE AND NOT (lng BETWEEN x + 0.075::DOUBLE AND x + 0.175::DOUBLE AND lat BETWEEN y + 0.075::DOUBLE AND y + 0.175::DOUBLE)""",
     "variant_keys": f"{BRIDGE_SQL}, {PARCELS_SQL} SELECT listing_id, lpad(CAST(p.parcel_id AS VARCHAR), 12, '0') AS roll_id, p.assessed FROM listings l LEFT JOIN parcels p ON p.parcel_id = l.parcel_id WHERE status = 'Active'",
     "score_deltas": f"""{P}, a AS (SELECT parcel_id, CAST(parcel_id % 90 AS DOUBLE) AS old FROM parcels WHERE parcel_id % 5 <> 0), b AS (SELECT parcel_id, CAST(parcel_id % 90 + parcel_id % 9 AS DOUBLE) AS new FROM parcels WHERE parcel_id % 7 <> 0),
