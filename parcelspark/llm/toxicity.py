@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -68,6 +69,13 @@ class BlockMaxIndex:
         self.run_block = (self.at[first] // BLOCK).astype(np.int32)
         self.run_most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.runs_of = np.searchsorted(term[by][first], np.arange(len(terms) + 1))
+        # Terms of an eighth of the examples or more have dense rows.
+        often = np.flatnonzero(np.bincount(term, minlength=len(terms)) * 8 >= max(1, len(order))) if len(order) else np.zeros(0, np.int64)
+        self.dense_row = np.full(len(terms), -1, np.int64)
+        self.dense_row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(order)))
+        held = self.dense_row[term[by]]
+        self.dense[held[held >= 0], self.at[held >= 0]] = self.value[held >= 0]
 
     def weigh(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight[t]
@@ -75,13 +83,15 @@ class BlockMaxIndex:
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text with these counts of words."""
-        both = sorted((self.terms[w], n) for w, n in counts.items() if w in self.terms)
-        return self.weigh(np.array([t for t, _ in both], np.int64), np.array([n for _, n in both], np.float64))
+        t = np.fromiter(map(self.terms.get, counts.keys(), repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        return self.weigh(t[t >= 0], n[t >= 0])
 
     def nearest(self, terms, weights, k: int, but: int | None = None) -> list[tuple[float, int]]:
         """The k examples of largest cosine (position among the examples), without the id ``but``.
 
-        Blocks are visited by falling bound, 4, 8, 16 ... at a time, until none left can reach the k-th cosine.
+        Blocks are visited by falling bound: a few first, then all that can still reach the k-th cosine. What frequent terms
+        add is taken from their dense rows.
         """
         if not len(terms) or not self.blocks:
             return []
@@ -93,19 +103,28 @@ class BlockMaxIndex:
         rank = np.empty(self.blocks, np.int64)
         rank[order] = np.arange(self.blocks)
         rank = rank[block]
+        thick = self.dense_row[terms]
+        base = weights[thick >= 0] @ self.dense[thick[thick >= 0]]
+        sparse = np.repeat(thick < 0, many)
         at, score = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 4
+        done, step = 0, 6
         while done < self.blocks and bound[order[done]] > 0 and not (len(at) == k and bound[order[done]] < score[-1] - 1e-12):
-            mine = np.flatnonzero((rank >= done) & (rank < done + step))
+            mine = np.flatnonzero((rank >= done) & (rank < done + step) & sparse)
+            here = (order[done : done + step, None] * BLOCK + np.arange(BLOCK)).ravel()
+            here = here[here < len(self.ids)]
             size = self.run_size[runs[mine]]
             found = ragged(self.run_start[runs[mine]], size)
             total = np.bincount(self.at[found], self.value[found] * np.repeat(w[mine], size), minlength=len(self.ids))
-            fresh = np.flatnonzero(total)
-            fresh = fresh[self.ids[fresh] != but] if but is not None else fresh
-            at, score = np.concatenate([at, fresh]), np.concatenate([score, total[fresh]])
+            total = total[here] + base[here]
+            fresh = here[total > 0]
+            kept = self.ids[fresh] != but if but is not None else slice(None)
+            fresh = fresh[kept]
+            at, score = np.concatenate([at, fresh]), np.concatenate([score, total[total > 0][kept]])
             best = np.lexsort((self.ids[at], -score))[:k]
             at, score = at[best], score[best]
-            done, step = done + step, step * 2
+            done += step
+            able = int((bound >= (score[-1] if len(at) == k else 0.0) - 1e-12).sum())
+            step = max(1, able - done)
         return list(zip(score.tolist(), at.tolist(), strict=True))
 
     def vote(self, near) -> float:
@@ -120,6 +139,15 @@ def words(text: str | None) -> list[str]:
     return found + [w[:STEM] + "*" for w in found if len(w) > STEM]
 
 
+def term_counts(text: str | None) -> dict[str, int]:
+    """The counts of :func:`words`; stems are made once a distinct word."""
+    counts = Counter(_WORD.findall(text.lower())) if text else Counter()
+    for w, n in list(counts.items()):
+        if len(w) > STEM:
+            counts[w[:STEM] + "*"] += n
+    return counts
+
+
 def bands(names, count: int = 8, width: int = 3) -> list[int]:
     """Min-hash bands of a text's words; copies share one almost surely. So may other texts: a band only proposes a pair."""
     if not names:
@@ -171,7 +199,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
 
     def run(batches):
         for b in batches:
-            rows = [Counter(words(t)) for t in b.column(1).to_pylist()]
+            rows = [term_counts(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())), pa.array([bands(r) for r in rows], pa.list_(pa.int64())), pa.array([x.astype("<u8").tobytes() for x in shingle_sets(texts_of(b.column(1)), SHINGLE)], pa.binary())], ["doc_id", "label", "words", "counts", "bands", "shingles"])
 
     seen = labelled_texts(documents, some).mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>, bands array<bigint>, shingles binary")
@@ -183,15 +211,19 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     if not pos or pos == n:
         discard(table)
         return BlockMaxIndex([], [], [], [], np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
-    ids, label, rows, terms = [], [], [], {}
-    for r in seen.select("doc_id", "label", "words", "counts").toArrow().sort_by("doc_id").to_pylist():  # of a bounded sample
-        t = np.array([terms.setdefault(w, len(terms)) for w in r["words"]], np.int64)
-        by = np.argsort(t)
-        ids.append(r["doc_id"])
-        label.append(r["label"])
-        rows.append((t[by], np.array(r["counts"], np.float64)[by]))
+    t = seen.select("doc_id", "label", "words", "counts").toArrow().sort_by("doc_id").combine_chunks()  # of a bounded sample
+    ids, label = t.column("doc_id").to_pylist(), t.column("label").to_pylist()
+    held, edges = t.column("words").combine_chunks(), t.column("words").combine_chunks().offsets.to_numpy()
+    coded = held.flatten().dictionary_encode()
+    every, counts = coded.indices.to_numpy().astype(np.int64), t.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
+    terms, rows = dict.fromkeys(coded.dictionary.to_pylist()), []
+    edges = edges - edges[0]
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        by = np.argsort(every[i:j])
+        rows.append((every[i:j][by], counts[i:j][by]))
+    del t, held, coded
     discard(table)
-    every = np.concatenate([t for t, _ in rows])
+    every = np.concatenate([x for x, _ in rows])
     df = np.bincount(every, minlength=len(terms))
     hit = np.bincount(every, np.repeat(np.array(label) == 1, [len(t) for t, _ in rows]), minlength=len(terms))
     share = pos / n
@@ -214,7 +246,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, he
         for b in batches:
             scores, evidence = [], []
             for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                near = index.nearest(*index.vector(Counter(words(text))), k, own)
+                near = index.nearest(*index.vector(term_counts(text)), k, own)
                 scores.append(float(sigmoid(a * index.vote(near) + c)))
                 evidence.append([{"doc_id": int(index.ids[at]), "cosine": s, "toxic": int(index.toxic[at])} for s, at in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
