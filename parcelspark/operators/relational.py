@@ -202,11 +202,15 @@ def point_in_polygon(x: Column, y: Column, rings: Column) -> Column:
 
 
 def as_of_join(subjects: DataFrame, sales: DataFrame, by: str, at: str, when: str, value: list[str], key: str) -> DataFrame:
-    """For each subject the latest sale strictly before its date; columns of sales named prior_*."""
-    s = sales.select(F.col(by), *[F.col(c).alias(f"prior_{c}") for c in dict.fromkeys([when, key, *value])])
-    pairs = subjects.join(s, by).filter(F.col(f"prior_{when}") < F.col(at))
-    best = pairs.groupBy(key).agg(F.max_by(F.struct(*[f"prior_{c}" for c in dict.fromkeys([when, key, *value])]), F.struct(f"prior_{when}", f"prior_{key}")).alias("p"))
-    return subjects.join(best.select(key, "p.*"), key, "left")
+    """For each subject the latest sale strictly before its date (ties to the larger key); columns of sales named prior_*.
+
+    Subjects and sales are sorted together once for each ``by``; no pairs are made.
+    """
+    names = list(dict.fromkeys([when, key, *value]))
+    known = sales.select(F.col(by), F.col(when).alias("_day"), F.struct(*(F.col(c).alias(f"prior_{c}") for c in names)).alias("_sale"), F.lit(False).alias("_asks"))
+    rows = subjects.withColumn("_day", F.col(at)).withColumn("_asks", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    before = Window.partitionBy(by).orderBy(F.datediff("_day", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_last", F.max("_sale").over(before)).filter("_asks").select(*subjects.columns, "_last.*")
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, value: str, least: float) -> DataFrame:

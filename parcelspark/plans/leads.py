@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,7 +65,9 @@ def comp_scores(listings: DataFrame, as_of: str, keep: int = 6) -> DataFrame:
     day = F.lit(as_of).cast("date")
     subject = listings.filter("status = 'Active' AND class_id = 'RE_1'").select("listing_id", "city", "sqft", "year_built", "bedrooms", "subdivision")
     pool = listings.filter("status = 'Closed' AND class_id = 'RE_1'").select("city", F.col("listing_id").alias("comp_id"), F.col("sqft").alias("c_sqft"), F.col("year_built").alias("c_year"), F.col("bedrooms").alias("c_beds"), F.col("subdivision").alias("c_sub"), "sold_price", "close_date").filter(F.col("close_date") >= F.add_months(day, -18))
-    pairs = subject.join(pool, "city").filter("c_sqft BETWEEN 0.75 * sqft AND 1.25 * sqft AND abs(c_beds - bedrooms) <= 1")
+    band = lambda c: F.floor(F.log(c) / -math.log(0.75)).cast("int")  # noqa: E731  (sizes meet in bands, three for a subject, and not all of a city)
+    subject, pool = subject.withColumn("band", F.explode(F.array(*(band("sqft") + i for i in (-1, 0, 1))))), pool.withColumn("band", band("c_sqft"))
+    pairs = subject.join(pool, ["city", "band"]).filter("c_sqft BETWEEN 0.75 * sqft AND 1.25 * sqft AND abs(c_beds - bedrooms) <= 1")
     near = lambda a, b, scale: F.exp(-F.abs(F.col(a) - F.col(b)) / scale)
     score = 100 * near("c_sqft", "sqft", 600.0) + 30 * near("c_year", "year_built", 15.0) + 25 * near("c_beds", "bedrooms", 1.0) + 70 * recency(F.datediff(day, F.col("close_date")), 180.0) + F.when(F.col("c_sub") == F.col("subdivision"), 50).otherwise(0)
     out = first_per(pairs.withColumn("score", F.round(score, 6)), ["listing_id"], [F.desc("score"), F.asc("comp_id")], keep, "comp_rank")

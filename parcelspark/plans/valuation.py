@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.functions.columns import clamp, ratio
+from parcelspark.functions.columns import clamp, month_index, ratio
 from parcelspark.operators.relational import first_per
 
 # What stands in where a cohort has no figure of its own.
@@ -48,14 +48,16 @@ def pending_prices(listings: DataFrame) -> DataFrame:
 def point_in_time_comps(listings: DataFrame, months: int = 36, low: float = 0.75, high: float = 1.25) -> DataFrame:
     """For each sale the sales strictly before it: same city and class, another parcel, within ``months``, alike in size.
 
-    Sizes meet in logarithmic bands one ``low`` wide (a subject visits three), so a city joins by band and not all with all.
+    Sizes meet in logarithmic bands one ``low`` wide (a subject visits three), dates in spans of ``months`` (a subject visits its own and the
+    one before), so a city joins by band and span and not all with all.
     """
     width = -math.log(min(low, 1 / high))
     done = listings.filter("status = 'Closed' AND sold_price > 0 AND sqft > 0 AND close_date IS NOT NULL")
     band = F.floor(F.log("sqft") / width)
-    subject = done.select("listing_id", "parcel_id", "county", "city", "class_id", "sqft", "sold_price", "close_date").withColumn("band", F.explode(F.sequence(band - 1, band + 1)))
-    pool = done.select("city", "class_id", band.alias("band"), F.col("parcel_id").alias("c_parcel"), F.col("listing_id").alias("comp_id"), F.col("sqft").alias("c_sqft"), F.col("sold_price").alias("c_price"), F.col("close_date").alias("c_date"))
-    pairs = subject.join(pool, ["city", "class_id", "band"]).filter((F.col("c_date") < F.col("close_date")) & (F.col("c_date") >= F.add_months("close_date", -months)) & (F.col("c_parcel") != F.col("parcel_id")))
+    span = F.floor(month_index(F.col("close_date")) / months)
+    subject = done.select("listing_id", "parcel_id", "county", "city", "class_id", "sqft", "sold_price", "close_date").withColumn("band", F.explode(F.sequence(band - 1, band + 1))).withColumn("span", F.explode(F.array(span - 1, span)))
+    pool = done.select("city", "class_id", band.alias("band"), span.alias("span"), F.col("parcel_id").alias("c_parcel"), F.col("listing_id").alias("comp_id"), F.col("sqft").alias("c_sqft"), F.col("sold_price").alias("c_price"), F.col("close_date").alias("c_date"))
+    pairs = subject.join(pool, ["city", "class_id", "band", "span"]).filter((F.col("c_date") < F.col("close_date")) & (F.col("c_date") >= F.add_months("close_date", -months)) & (F.col("c_parcel") != F.col("parcel_id")))
     return pairs.filter((F.col("c_sqft") >= low * F.col("sqft")) & (F.col("c_sqft") <= high * F.col("sqft")))
 
 
@@ -74,9 +76,9 @@ def backtest(listings: DataFrame) -> DataFrame:
 
 def size_factor_sweep(listings: DataFrame, factors: list[float] = FACTORS) -> DataFrame:
     """The exponent of comp size over subject size that gives each county the least median error; ties to the smaller."""
-    pairs = point_in_time_comps(listings).withColumn("factor", F.explode(F.array(*map(F.lit, factors))))
-    rate = F.col("c_price") / F.col("c_sqft") * F.pow(F.col("c_sqft") / F.col("sqft"), F.col("factor"))
-    per = pairs.groupBy("listing_id", "county", "sqft", "sold_price", "factor").agg((F.median(rate) * F.col("sqft")).alias("estimate"))
+    rate = lambda f: F.col("c_price") / F.col("c_sqft") * F.pow(F.col("c_sqft") / F.col("sqft"), F.lit(f))
+    tried = [F.struct(F.lit(f).alias("factor"), (F.median(rate(f)) * F.col("sqft")).alias("estimate")) for f in factors]
+    per = point_in_time_comps(listings).groupBy("listing_id", "county", "sqft", "sold_price").agg(F.array(*tried).alias("x")).select("listing_id", "county", "sold_price", F.explode("x").alias("x")).select("listing_id", "county", "sold_price", "x.*")
     tried = per.groupBy("county", "factor").agg(F.count("*").alias("n"), F.round(F.median(F.abs(F.col("estimate") / F.col("sold_price") - 1)), 9).alias("median_ape"))
     return first_per(tried, ["county"], [F.asc("median_ape"), F.asc("factor")])
 
