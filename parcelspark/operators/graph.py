@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoints(spark: SparkSession) -> None:
-    """The cluster's ``spark.checkpoint.dir``; where that is unset, beside the warehouse, or in one process a folder of our own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        local = tempfile.mkdtemp(prefix="parcelspark-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(given or local)
+from parcelspark.operators.stages import settled
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component) of nodes (id) under links (a, b): the smallest id that can be reached. Labels jump to their label's label, so chains shorten by halves."""
-    _checkpoints(nodes.sparkSession)
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = settled(both)
+    labels = settled(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("component", "near").alias("next"), F.col("component").alias("was"))
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        after = step.join(jump, "next", "left").select("id", F.coalesce("far", "next").alias("component"), "was").checkpoint()
+        after = settled(step.join(jump, "next", "left").select("id", F.coalesce("far", "next").alias("component"), "was"))
         if after.filter("component <> was").isEmpty():
             return after.select("id", "component")
         labels = after.select("id", "component")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from parcelspark.functions import text
 from parcelspark.functions.columns import clamp, haversine_miles
 from parcelspark.operators.relational import first_per, radius_join
+from parcelspark.operators.stages import settled
 
 # Acreage of a subject (from, below) and of its comparables (least, most); a widened band is half as low and half again as high.
 ACRE_BANDS = [(0.0, 1.0, 0.0, 2.5), (1.0, 5.0, 0.5, 10.0), (5.0, 15.0, 3.0, 40.0), (15.0, 50.0, 8.0, 100.0), (50.0, math.inf, 25.0, math.inf)]
@@ -77,7 +78,7 @@ def comp_pool(listings: DataFrame, as_of: str, months: int = 24, least: int = 30
     base = sized & priced & (F.col("c_date") >= cutoff)
     strict, wide, acres = _acres_between(False), _acres_between(True), F.coalesce("s_acres", F.lit(0.0)) > 0
     same = every.filter("s_sub IS NOT NULL").join(pool.filter("c_sub IS NOT NULL"), (every["class_id"] == pool["class_id"]) & (F.col("s_sub") == F.col("c_sub"))).drop(pool["class_id"]).filter(sized)
-    first = _newest(same.withColumn("cohort", F.lit(0)), most)
+    first = settled(_newest(same.withColumn("cohort", F.lit(0)), most))
     rich = first.groupBy("listing_id").count().filter(F.col("count") >= SUFFICIENT).select("listing_id")
     gated = _once(first.join(rich, "listing_id", "left_semi"))
     rest = every.join(rich, "listing_id", "left_anti")
@@ -93,7 +94,7 @@ def comp_pool(listings: DataFrame, as_of: str, months: int = 24, least: int = 30
         within = F.array_compact(F.array(*(F.when(miles <= r, F.lit(i)) for i, r in enumerate(radii, 1))))
         near.append(pairs.withColumn("cohort", F.explode(within)))
     columns = first.drop("place").columns
-    found = _newest(_union([x.select(columns) for x in near]), most)
+    found = settled(_newest(_union([x.select(columns) for x in near]), most))
     enough = _once(found).groupBy("listing_id").count().filter(F.col("count") >= least).select("listing_id")
 
     width = math.log(SIZE_HIGH)
@@ -103,7 +104,7 @@ def comp_pool(listings: DataFrame, as_of: str, months: int = 24, least: int = 30
     county = F.col("s_county") == F.col("c_county")
     kinds = F.array_compact(F.array(*(F.when(cond, F.lit(i)) for i, cond in ((4, county & acres & strict), (5, county & acres & wide), (6, acres & strict), (7, acres & wide), (8, county), (9, F.lit(True))))))
     far = left.join(right, ["class_id", "band"]).filter(base).withColumn("cohort", F.explode(kinds)).select(columns)
-    once = _once(found.unionByName(_newest(far, most)))
+    once = settled(_once(found.unionByName(_newest(far, most))))
     counts = once.groupBy("listing_id", "cohort").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("listing_id").orderBy("cohort").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = counts.withColumn("before", before).filter(F.col("before") < least).select("listing_id", "cohort")
@@ -253,6 +254,7 @@ def valuations(picked: DataFrame, as_of: str, prior: DataFrame | None = None, mo
     Direct (the three best and the land beyond theirs), price per square foot, land residual; ``prior`` (listing_id, prior_price, prior_date) a confirmed earlier sale,
     ``model`` (listing_id, model_value) a model's. The value is held to the comparables' prices, its range widened twice and kept within 15 %.
     """
+    picked = settled(picked)  # a handful of rows a subject, read by several steps
     day = F.lit(as_of).cast("date")
     months = lambda c: F.greatest(F.lit(0.0), F.datediff(day, c) / 30.4)
     rows = picked.join(growth_rates(picked, as_of), "listing_id", "left").withColumn("rate", F.coalesce("rate", F.lit(GROWTH)))

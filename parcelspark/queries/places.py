@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions import text
 from parcelspark.operators import relational as rel
 from parcelspark.plans import sites
+from parcelspark.queries.owners import K
 from parcelspark.sources.bridge import AS_OF, BRIDGE_SQL, INFRA_SQL, PARCELS_SQL, infrastructure, listings, parcels
 
 P = f"WITH {PARCELS_SQL}, {INFRA_SQL}"
@@ -92,4 +93,8 @@ x AS (SELECT parcel_id, old, new, CASE WHEN old IS NULL THEN 'NEW' WHEN new IS N
     "token_search": f"WITH {PARCELS_SQL} SELECT parcel_id, site_address, owner1, CAST(CASE WHEN starts_with(upper(site_address), 'OAK SMITH') THEN 3 WHEN contains(upper(site_address), 'OAK SMITH') THEN 2 ELSE 0 END AS INTEGER) AS addr_score FROM parcels WHERE upper(site_address || ' ' || owner1 || ' ' || city) LIKE '%OAK%' AND upper(site_address || ' ' || owner1 || ' ' || city) LIKE '%SMITH%'",
     "house_search": f"WITH {PARCELS_SQL} SELECT parcel_id, site_address FROM parcels WHERE regexp_matches(site_address, '^110([^0-9]|$)')",
     "prefix_index": f"WITH {PARCELS_SQL}, w AS (SELECT DISTINCT parcel_id, unnest(string_split(regexp_replace(upper(owner1), '[^A-Z0-9]+', ' ', 'g'), ' ')) AS w FROM parcels) SELECT DISTINCT parcel_id, w[1:n] AS prefix FROM w, range(2, 20) t(n) WHERE n <= len(w)",
+    "assemblages": f"""WITH RECURSIVE {K.removeprefix("WITH ")},
+big AS (SELECT parcel_id, acres, lat, lng, canonical_owner_id FROM parcels JOIN k USING (parcel_id) WHERE acres >= 25),
+e AS (SELECT p.parcel_id AS a, i.parcel_id AS b FROM big p, big i WHERE abs(p.lat - i.lat) < 0.02 AND {HAVERSINE} <= 1), r(id, c) AS (SELECT parcel_id, parcel_id FROM big UNION SELECT b, c FROM r JOIN e ON a = id), l AS (SELECT id, min(c) AS component FROM r GROUP BY 1)
+SELECT component, count(*) AS n_parcels, count(DISTINCT canonical_owner_id) AS n_owners, sum(acres) AS total_acres, avg(lat) AS centroid_lat, avg(lng) AS centroid_lng FROM big JOIN l ON l.id = parcel_id GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT canonical_owner_id) >= 2 AND sum(acres) >= 200""",
 }
