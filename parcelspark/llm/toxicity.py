@@ -3,8 +3,8 @@
 Examples are at most ``SAMPLE`` labelled texts of each class (least keyed hash). Terms are all their words, and
 stems of ``STEM`` letters. A term's weight is its IDF times how far the labels tie it to a class: the root of
 (``FLOOR`` + chi-square) / examples, its phi coefficient but for the floor, so no term counts for nothing. Blocks of examples carry,
-term by term, their largest weight; a query visits blocks by falling bound and stops when no block can beat its
-k-th neighbour, so neighbours are exact. Distance-weighted votes of the neighbours are calibrated by Platt scaling on the
+term by term, their largest weight; a query visits only the blocks whose bound reaches a cosine that its
+k-th neighbour has at least, so neighbours are exact. Distance-weighted votes of the neighbours are calibrated by Platt scaling on the
 examples. A text is never its own example, there or when it is scored: its label takes no part in its score. A text that shares no term with an example (null and empty ones too) has no neighbours
 and the vote 0. Ties go to the smaller id. Repeated rows have equal results; a row with a null id is scored but is no example, and of a
 repeated id one text, the least, is. Empty tables give an empty result; without labels of both classes all scores are the same share.
@@ -32,6 +32,7 @@ from parcelspark.llm.linear import calibrate, sigmoid
 SAMPLE = 2000
 NEIGHBOURS = 15
 BLOCK = 64
+TEXTS = 64  # scored together
 FLOOR = 0.1
 STEM = 4
 SHINGLE, COPY = 5, 0.75
@@ -69,8 +70,9 @@ class BlockMaxIndex:
         self.run_block = (self.at[first] // BLOCK).astype(np.int32)
         self.run_most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.runs_of = np.searchsorted(term[by][first], np.arange(len(terms) + 1))
-        # Terms of an eighth of the examples or more have dense rows.
-        often = np.flatnonzero(np.bincount(term, minlength=len(terms)) * 8 >= max(1, len(order))) if len(order) else np.zeros(0, np.int64)
+        # Terms of a sixteenth of the examples or more have dense rows.
+        self.block_of = np.arange(len(order)) // BLOCK
+        often = np.flatnonzero(np.bincount(term, minlength=len(terms)) * 16 >= max(1, len(order))) if len(order) else np.zeros(0, np.int64)
         self.dense_row = np.full(len(terms), -1, np.int64)
         self.dense_row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), len(order)))
@@ -88,44 +90,46 @@ class BlockMaxIndex:
         return self.weigh(t[t >= 0], n[t >= 0])
 
     def nearest(self, terms, weights, k: int, but: int | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine (position among the examples), without the id ``but``.
+        """The k examples of largest cosine (position among the examples), without the id ``but``."""
+        return self.nearest_of([(terms, weights)], k, [but])[0]
 
-        Blocks are visited by falling bound: a few first, then all that can still reach the k-th cosine. What frequent terms
-        add is taken from their dense rows.
+    def nearest_of(self, vectors, k: int, but) -> list[list[tuple[float, int]]]:
+        """The same for several texts. What frequent terms add to all examples is one product of dense rows.
+
+        The k-th largest of these sums (k + 1, as the text itself may be among them) is a cosine that the k nearest reach. A block's bound is
+        the largest sum in it and, for the other terms, the sum of their largest weights there; only blocks that can reach that cosine are visited.
         """
-        if not len(terms) or not self.blocks:
-            return []
+        if not self.blocks:
+            return [[] for _ in vectors]
+        thick = [self.dense_row[t] for t, _ in vectors]
+        share = np.zeros((len(vectors), len(self.dense)))
+        for i, ((_, w), d) in enumerate(zip(vectors, thick, strict=True)):
+            share[i, d[d >= 0]] = w[d >= 0]
+        base = share @ self.dense
+        most = np.maximum.reduceat(base, np.arange(0, base.shape[1], BLOCK), axis=1)
+        n = base.shape[1]
+        least = np.partition(base, n - k - 1, axis=1)[:, n - k - 1] if n > k else np.zeros(len(vectors))
+        return [self._visit(t[d < 0], w[d < 0], b, m, x, k, own) for (t, w), d, b, m, x, own in zip(vectors, thick, base, most, least.tolist(), but, strict=True)]
+
+    def _visit(self, terms, weights, base, bound, least: float, k, but) -> list[tuple[float, int]]:
         many = self.runs_of[terms + 1] - self.runs_of[terms]
         runs, w = ragged(self.runs_of[terms], many), np.repeat(weights, many)
         block = self.run_block[runs]
-        bound = np.bincount(block, w * self.run_most[runs], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(self.blocks)
-        rank = rank[block]
-        thick = self.dense_row[terms]
-        base = weights[thick >= 0] @ self.dense[thick[thick >= 0]]
-        sparse = np.repeat(thick < 0, many)
-        at, score = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 6
-        while done < self.blocks and bound[order[done]] > 0 and not (len(at) == k and bound[order[done]] < score[-1] - 1e-12):
-            mine = np.flatnonzero((rank >= done) & (rank < done + step) & sparse)
-            here = (order[done : done + step, None] * BLOCK + np.arange(BLOCK)).ravel()
-            here = here[here < len(self.ids)]
-            size = self.run_size[runs[mine]]
-            found = ragged(self.run_start[runs[mine]], size)
-            total = np.bincount(self.at[found], self.value[found] * np.repeat(w[mine], size), minlength=len(self.ids))
-            total = total[here] + base[here]
-            fresh = here[total > 0]
-            kept = self.ids[fresh] != but if but is not None else slice(None)
-            fresh = fresh[kept]
-            at, score = np.concatenate([at, fresh]), np.concatenate([score, total[total > 0][kept]])
-            best = np.lexsort((self.ids[at], -score))[:k]
-            at, score = at[best], score[best]
-            done += step
-            able = int((bound >= (score[-1] if len(at) == k else 0.0) - 1e-12).sum())
-            step = max(1, able - done)
-        return list(zip(score.tolist(), at.tolist(), strict=True))
+        bound = bound + np.bincount(block, w * self.run_most[runs], minlength=self.blocks)
+        now = (bound > 0) & (bound >= least - 1e-12)
+        mine = np.flatnonzero(now[block])
+        runs = runs[mine]
+        size = self.run_size[runs]
+        found = ragged(self.run_start[runs], size)
+        total = base + np.bincount(self.at[found], self.value[found] * np.repeat(w[mine], size), minlength=len(base))
+        at = np.flatnonzero((total > 0) & (total >= least - 1e-12) & now[self.block_of])
+        at = at[self.ids[at] != but] if but is not None else at
+        score = total[at]
+        if len(at) > 4 * k:  # of many, only those at the k-th cosine or above are sorted
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            at, score = at[keep], score[keep]
+        best = np.lexsort((self.ids[at], -score))[:k]
+        return list(zip(score[best].tolist(), at[best].tolist(), strict=True))
 
     def vote(self, near) -> float:
         """Weight of toxic neighbours over all weight; weights fall with the distance 1 - cosine."""
@@ -245,10 +249,11 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, he
         index, a, c = shared.value
         for b in batches:
             scores, evidence = [], []
-            for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                near = index.nearest(*index.vector(term_counts(text)), k, own)
-                scores.append(float(sigmoid(a * index.vote(near) + c)))
-                evidence.append([{"doc_id": int(index.ids[at]), "cosine": s, "toxic": int(index.toxic[at])} for s, at in near])
+            own, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i in range(0, len(texts), TEXTS):
+                for near in index.nearest_of([index.vector(term_counts(t)) for t in texts[i : i + TEXTS]], k, own[i : i + TEXTS]):
+                    scores.append(float(sigmoid(a * index.vote(near) + c)))
+                    evidence.append([{"doc_id": int(index.ids[at]), "cosine": s, "toxic": int(index.toxic[at])} for s, at in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind), *b.columns[2:]], ["doc_id", "score", "predicted", "evidence", *b.schema.names[2:]])
 
