@@ -32,7 +32,7 @@ from parcelspark.llm.linear import calibrate, sigmoid
 SAMPLE = 2000
 NEIGHBOURS = 15
 BLOCK = 64
-TEXTS = 64  # scored together
+TEXTS = 128  # scored together
 FLOOR = 0.1
 STEM = 4
 SHINGLE, COPY = 5, 0.75
@@ -54,6 +54,7 @@ class BlockMaxIndex:
     def __init__(self, ids, rows, toxic, terms, weight):
         self.terms = {t: i for i, t in enumerate(terms)}
         self.weight = weight
+        self.met: dict[str, tuple[int, int]] = {}
         vectors = [self.weigh(*r) for r in rows]
         # Examples with the same strongest term stand together: their blocks then have tight bounds.
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))
@@ -89,6 +90,20 @@ class BlockMaxIndex:
         n = np.fromiter(counts.values(), np.float64, len(counts))
         return self.weigh(t[t >= 0], n[t >= 0])
 
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`vector` of a text's words and stems. The terms of words met before are remembered, up to some hundred thousand."""
+        counts = Counter(_WORD.findall(text.lower())) if text else Counter()
+        if len(self.met) > 300_000:
+            self.met.clear()
+        both = np.array([self.met.get(w) or self._meet(w) for w in counts], np.int64).reshape(-1)
+        n = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), 2)
+        t, where = np.unique(both[both >= 0], return_inverse=True)
+        return self.weigh(t, np.bincount(where, n[both >= 0], minlength=len(t)))
+
+    def _meet(self, word: str) -> tuple[int, int]:
+        self.met[word] = out = (self.terms.get(word, -1), self.terms.get(word[:STEM] + "*", -1) if len(word) > STEM else -1)
+        return out
+
     def nearest(self, terms, weights, k: int, but: int | None = None) -> list[tuple[float, int]]:
         """The k examples of largest cosine (position among the examples), without the id ``but``."""
         return self.nearest_of([(terms, weights)], k, [but])[0]
@@ -251,7 +266,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, he
             scores, evidence = [], []
             own, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(texts), TEXTS):
-                for near in index.nearest_of([index.vector(term_counts(t)) for t in texts[i : i + TEXTS]], k, own[i : i + TEXTS]):
+                for near in index.nearest_of([index.read(t) for t in texts[i : i + TEXTS]], k, own[i : i + TEXTS]):
                     scores.append(float(sigmoid(a * index.vote(near) + c)))
                     evidence.append([{"doc_id": int(index.ids[at]), "cosine": s, "toxic": int(index.toxic[at])} for s, at in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
