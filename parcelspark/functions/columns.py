@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 EARTH_MILES = 3958.7613
 
 
-def key(c: Column) -> Column:
-    """Grouping key of a place name: upper case, trimmed."""
-    return F.upper(F.trim(c))
-
-
-def months_between_boundaries(start: Column, end: Column) -> Column:
-    """Number of month boundaries between two dates."""
-    return 12 * (F.year(end) - F.year(start)) + F.month(end) - F.month(start)
-
-
 def month_index(d: Column) -> Column:
     return F.year(d) * 12 + F.month(d) - 1
 
@@ -35,10 +25,5 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
-def lower_median(x: Column) -> Column:
-    """The member at index n // 2 of the sorted values (aggregate)."""
-    return F.element_at(F.array_sort(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
-
-
 def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
