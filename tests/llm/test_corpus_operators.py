@@ -321,8 +321,6 @@ def test_toxicity_neighbours_are_exact_over_all_words(spark):
         v = dict(zip(*(x.tolist() for x in index.vector(Counter(toxicity.words(t))))))
         want = sorted(((-sum(w * u.get(k, 0) for k, w in v.items()), i) for i, u in vectors.items() if set(u) & set(v)))[:15]
         got = index.nearest(*index.vector(Counter(toxicity.words(t))), 15)
-        again = dict(zip(*(x.tolist() for x in index.read(t))))
-        assert again.keys() == v.keys() and all(math.isclose(again[k], v[k], rel_tol=1e-12) for k in v)
         assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-9)
 
 
