@@ -20,6 +20,7 @@ class Ngrams:
     words: tuple[int, ...] = (1, 2)
     chars: tuple[int, ...] = (3, 4)
     bits: int = 16
+    power: float = 0.5  # a feature is its count over the number of n-grams to this power
 
     @property
     def size(self) -> int:
@@ -58,7 +59,7 @@ class Ngrams:
             yield _by_text(parts, owner, len(docs), (1 << self.bits) if self.words else 0)
 
     def sparse(self, docs: list[bytes]):
-        """(indices, values) of each text: counts over the root of the number of n-grams, family by family."""
+        """(indices, values) of each text: counts over a power of the number of n-grams, family by family."""
         index, count, number = {}, {}, {}
         for owner, parts in windows_of(docs):
             for f, (feature, edges) in enumerate(self.rows(parts)):
@@ -70,7 +71,7 @@ class Ngrams:
                     index[i, f], count[i, f], number[i, f] = ids, n, number.get((i, f), 0) + edges[k + 1] - edges[k]
         families = range(bool(self.words) + bool(self.chars))
         for i in range(len(docs)):
-            yield np.concatenate([index[i, f] for f in families]), np.concatenate([count[i, f] / np.sqrt(max(1, number[i, f])) for f in families]).astype(np.float32)
+            yield np.concatenate([index[i, f] for f in families]), np.concatenate([count[i, f] / max(1, number[i, f]) ** self.power for f in families]).astype(np.float32)
 
     def project(self, docs: list[bytes], weights: np.ndarray) -> np.ndarray:
         """features @ weights, without building the features; weights is (size, models)."""
@@ -82,7 +83,7 @@ class Ngrams:
                 for k in range(weights.shape[1]):
                     run = np.concatenate(([0.0], np.cumsum(weights[feature, k], dtype=np.float64)))
                     np.add.at(sums[f, :, k], owner, run[edges[1:]] - run[edges[:-1]])
-        return (sums / np.sqrt(np.maximum(1, number))[:, :, None]).sum(0)
+        return (sums / (np.maximum(1, number) ** self.power)[:, :, None]).sum(0)
 
 
 def windows_of(docs: list[bytes], most: int = CHUNK):
