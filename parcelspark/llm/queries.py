@@ -7,7 +7,7 @@ import secrets
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelspark.llm import ann, bpe, common, divergence, jaccard, langid, lm, packing, pii, pu, quality, shards, toxicity
+from parcelspark.llm import ann, bpe, collocations, common, divergence, jaccard, langid, lm, packing, pii, pu, quality, shards, toxicity
 
 ORDER_KEY = "parcelspark-order-key"
 CAPACITY, END_ID = 4096, 1
@@ -76,7 +76,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lm_scoring, op4_best_fit_packing, op5_pii, op6_ngram_jaccard_join, op7_nearest_neighbours, op8_byte_bpe, op9_training_order, op10_language_id, op11_quality_classifier, op12_source_divergence)}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lm_scoring, op4_best_fit_packing, op5_pii, op6_ngram_jaccard_join, op7_nearest_neighbours, op8_byte_bpe, op9_training_order, op10_language_id, op11_quality_classifier, op12_source_divergence, op13_phrase_collocations)}
 
 # Whole-text SQL exists for none of the learned, tokenised or searched results; op6 is checked by tests against brute force.
-ORACLE: dict[str, str] = {"op12_source_divergence": divergence.AUDIT_SQL}
+ORACLE: dict[str, str] = {"op12_source_divergence": divergence.AUDIT_SQL, "op13_phrase_collocations": collocations.mine_sql()}
