@@ -2,6 +2,8 @@
 
 Long texts are cut at safe boundaries before they are encoded: places where the pre-splitting pattern
 starts a new match whatever stands around them, so the ids of the parts are the ids of the whole.
+Long runs of white space, which the pattern's engine can't match at once, are taken out by the pattern's own rule:
+before another character all but the last of the run are one match, at the text's end all of it.
 Null and empty texts have no ids. Token id lists are exact for any text; a lone surrogate cannot occur in
 Spark strings.
 """
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 # space, and ` ?\p{L}+` starts with it. ASCII neighbours suffice as there are enough of them.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 PART = 1 << 16
+# Fixed value: the characters that the pattern's \s takes.
+_GAP = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=2)
@@ -45,8 +49,19 @@ def safe_parts(text: str, size: int = PART):
     yield text[at:]
 
 
+@lru_cache(maxsize=4)
+def _long_gap(size: int) -> re.Pattern:
+    return re.compile(f"[{_GAP}]{{{size},}}")
+
+
 def encode(text: str, enc, size: int = PART) -> np.ndarray:
-    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(text, size)]
+    parts, at = [], 0
+    for m in _long_gap(size).finditer(text) if len(text) > size else ():
+        end = m.end() - (m.end() < len(text))
+        parts += [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(text[at : m.start()], size)]
+        parts.append(np.array(enc._encode_single_piece(text[m.start() : end]), np.uint32))
+        at = end
+    parts += [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(text[at:], size)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
