@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 DAYS, YEAR_DAYS = 73_000, 365
 # What is looked for, in the order in which alternatives are tried.
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"  # possessive groups are matched in a loop, others by recursion
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 OTHER_DATE = r"(?<![\d./])\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}(?!\d|[./]\d)"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
@@ -43,6 +43,15 @@ CARD_LAYOUT = r"^(\d{4}([ \-])\d{4}\2\d{4}\2\d{4}|\d{4}([ \-])\d{6}\3\d{5})"
 # What tells a card and a telephone from a row of numbers, among the parts of a run.
 CARD_PART = r"^\d{4}([ \-]?\d{3,7})+$"
 TELEPHONE = r"^(\+|\(|0\d)|\)|\d-\d|^\d{3}[. ]\d{3}[. ]\d{4}$"
+# What a part has to look like to be asked what it is, and what a run has to hold to be split: a telephone's signs, or groups as of a card.
+LIKELY = r"^(\+|\(|0\d|\d{4}[ \-]?\d{3,7}[ \-]?\d{3}|\d{3}[. ]\d{3}[. ]\d{4} *$)|\)|\d-\d"
+SPLIT = r"^[0-9 +().\-]+$"
+HOLDS = r"(?:^| )(?:[+(]|0\d|\d{4}[ \-]?\d{3,7}[ \-]?\d{3}|\d{3}[. ]\d{3}[. ]\d{4}(?!\d))|\)|\d-\d"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated and planned once however often it stands in it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def prf(key: str, tweak: Column, round_no: Column, half: Column) -> Column:
@@ -131,11 +140,13 @@ def _date_parts(m: Column) -> tuple[Column, Column]:
 
 
 def permute_date(m: Column, key: str) -> Column:
-    day, layout = _date_parts(m)
+    return let(F.struct(*(c.alias(n) for c, n in zip(_date_parts(m), ("day", "layout"), strict=True))), lambda d: _moved_date(m, d["day"], d["layout"], key))
+
+
+def _moved_date(m: Column, day: Column, layout: Column, key: str) -> Column:
     n = feistel(F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long"), F.lit(YEAR_DAYS), F.lit(DAYS // YEAR_DAYS), key, F.lit("date"))
-    fresh = F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int"))
-    digits = F.when(layout == "yyyy-MM-dd", F.date_format(fresh, "yyyyMMdd")).when(layout == "dd-MM-yyyy", F.date_format(fresh, "ddMMyyyy")).otherwise(F.date_format(fresh, "MMddyyyy"))
-    return refill(m, digits)
+    written = lambda day: F.when(layout == "yyyy-MM-dd", F.date_format(day, "yyyyMMdd")).when(layout == "dd-MM-yyyy", F.date_format(day, "ddMMyyyy")).otherwise(F.date_format(day, "MMddyyyy"))
+    return refill(m, let(F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int")), written))
 
 
 def permute_identifier(digits: Column, key: str) -> Column:
@@ -159,13 +170,12 @@ def kind_of(m: Column) -> Column:
     """What a match is, after its validation; null for none."""
     digits, compact = F.regexp_replace(m, "[^0-9]", ""), F.regexp_replace(m, " ", "")
     n = F.length(digits)
-    day, _ = _date_parts(m)
-    since = F.datediff(day, F.lit("1900-01-01").cast("date"))
+    is_day = let(F.datediff(_date_parts(m)[0], F.lit("1900-01-01").cast("date")), lambda since: (since >= 0) & (since < DAYS))
     octets = F.forall(F.split(m, "\\."), lambda o: o.cast("int") <= 255)
     phone = (m.rlike(r"^\+") & n.between(7, 15)) | (n.between(10, 15) & m.rlike(r"[ ().\-]"))
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"), F.when((since >= 0) & (since < DAYS), "date"))
+        .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"), F.when(is_day, "date"))
         .when(m.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), F.when(octets, "ipv4"))
         .when(m.rlike("^[A-Z]{2}[0-9]{2}") & ~m.rlike("^[0-9A-F]{32,}$"), F.when(is_iban(compact), "iban"))
         .when(m.rlike("^[0-9A-Fa-f]{32,}$"), "secret")
@@ -193,23 +203,42 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
 
 def values_of(m: Column) -> Column:
-    """A match as the values it holds, each with the spaces after it: itself, or the parts of a run that is no value as a whole."""
+    """A match as the values it holds, (v, kind), each with the spaces after it: itself, or the parts of a run that is no value as a whole.
+
+    A run without anything that a telephone or a card needs is not looked into; of the others only parts of 7 to 19 digits that look like one are asked what they are.
+    """
     tokens = F.regexp_extract_all(m, F.lit("[^ ]+ *"), 0)
-    start = F.array(F.struct(F.lit(0).alias("digits"), F.lit(0).alias("fewer"), F.array().cast("array<string>").alias("parts")))
+    empty = F.array().cast("array<struct<v:string,kind:string>>")
+    start = F.array(F.struct(F.lit(0).alias("seen"), F.lit(0).alias("digits"), F.lit(0).alias("fewer"), empty.alias("parts")))
 
     def step(best, j):
-        def ending(i):
-            part = F.array_join(F.slice(tokens, i + 1, j - i), "")
-            n = F.length(F.regexp_replace(part, "[^0-9]", ""))
-            kind = kind_of(F.rtrim(part))
-            good = (n <= MOST_DIGITS) & F.coalesce(F.when(kind == "card", F.rtrim(part).rlike(CARD_PART)).when(kind == "phone", F.rtrim(part).rlike(TELEPHONE) & ~m.rlike(CARD_LAYOUT)).otherwise(kind.isNotNull()), F.lit(False))
-            before = F.get(best, i)
-            return F.when(good | (i == j - 1), F.struct((before["digits"] + F.when(good, n).otherwise(0)).alias("digits"), (before["fewer"] - 1).alias("fewer"), F.concat(before["parts"], F.array(part)).alias("parts")))
+        last = F.element_at(tokens, j)
+
+        def ending(seen):
+            def part_from(i):
+                before = F.get(best, i)
+                n = seen - before["seen"]
+                single = i == j - 1
+
+                def judged(part):
+                    def chosen(kind):
+                        good = F.when(kind == "card", F.rtrim(part).rlike(CARD_PART)).when(kind == "phone", F.rtrim(part).rlike(TELEPHONE) & ~m.rlike(CARD_LAYOUT)).otherwise(kind.isNotNull())
+                        return let(F.coalesce(good, F.lit(False)), lambda good: F.when(good | single, F.struct(
+                            seen.alias("seen"), (before["digits"] + F.when(good, n).otherwise(0)).alias("digits"), (before["fewer"] - 1).alias("fewer"),
+                            F.concat(before["parts"], F.array(F.struct(part.alias("v"), F.when(good, kind).alias("kind")))).alias("parts"))))
+
+                    likely = (n.between(7, MOST_DIGITS) & part.rlike(LIKELY)) | (single & part.rlike(r"\d[.\-]\d"))
+                    return F.when(likely, let(kind_of(F.rtrim(part)), chosen)).when(single, chosen(F.lit(None).cast("string")))
+
+                return F.when(single, let(last, judged)).when(n.between(7, MOST_DIGITS), let(F.array_join(F.slice(tokens, i + 1, j - i), ""), judged))
+
+            return F.array_max(F.transform(F.sequence(F.greatest(F.lit(0), j - MOST_DIGITS), j - 1), part_from))
 
-        return F.concat(best, F.array(F.array_max(F.transform(F.sequence(F.greatest(F.lit(0), j - MOST_DIGITS), j - 1), ending))))
+        seen = F.element_at(best, -1)["seen"] + F.length(F.regexp_replace(last, "[^0-9]", ""))
+        return F.concat(best, F.array(let(seen, ending)))
 
     split = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda best: F.element_at(best, -1)["parts"])
-    return F.when(kind_of(m).isNull() & m.contains(" ") & m.rlike(r"^[0-9 +().\-]+$"), split).otherwise(F.array(m))
+    return let(kind_of(m), lambda kind: F.when(kind.isNull() & m.contains(" ") & m.rlike(SPLIT) & m.rlike(HOLDS), split).otherwise(F.array(F.struct(m.alias("v"), kind.alias("kind")))))
 
 
 def pseudonymise(documents: DataFrame, key: str, text_col: str = "text", found_col: str = "pii") -> DataFrame:
@@ -217,7 +246,7 @@ def pseudonymise(documents: DataFrame, key: str, text_col: str = "text", found_c
     source = F.col(f"`{text_col}`")
     raw, new, changed = (f"{name}_{uuid.uuid4().hex}" for name in ("raw", "new", "changed"))  # the table may have any other name
     found = F.regexp_extract_all(source, F.lit(PATTERN), 0)
-    parts = F.transform(F.flatten(F.transform(found, lambda m, i: F.transform(values_of(m), lambda v: F.struct(v.alias("v"), i.alias("at"))))), lambda x: F.struct(x["at"].alias("at"), x["v"].alias("v"), kind_of(F.rtrim(x["v"])).alias("kind")))
+    parts = F.flatten(F.transform(found, lambda m, i: F.transform(values_of(m), lambda v: F.struct(i.alias("at"), v["v"].alias("v"), v["kind"].alias("kind")))))
     rows = documents.withColumn(raw, parts)
     rows = rows.withColumn(new, F.transform(raw, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(F.rtrim(x["v"]), x["kind"], key).alias("value"), x["at"].alias("at"), F.regexp_extract(x["v"], " *$", 0).alias("space"))))
     between = F.split(source, PATTERN, -1)
