@@ -13,19 +13,17 @@ from pyspark.sql import functions as F
 
 from parcelspark.functions.columns import clamp
 from parcelspark.operators.relational import range_join
+from parcelspark.operators.stages import settled
+from parcelspark.plans import boosting
+from parcelspark.plans.encoding import target_means
 
 NUMBERS = ["sqft", "acres", "bedrooms", "full_baths", "year_built", "city_mean", "office_mean", "class_no"]
 
 
-def features(rows: DataFrame, learnt: DataFrame, target: str, most: int = 250) -> DataFrame:
-    """Rows with numbers for a model: city and office as the mean ``target`` of ``learnt`` (the ``most`` frequent ones; the rest and unknown ones the overall mean)."""
-    out = rows
-    overall = learnt.agg(F.avg(target).alias("overall"))  # one row
-    out = out.join(F.broadcast(overall))
-    for key in ("city", "office"):
-        column = key if key == "city" else "office_id"
-        means = learnt.groupBy(column).agg(F.avg(target).alias(f"{key}_mean"), F.count("*").alias("k")).orderBy(F.desc("k"), column).limit(most).drop("k")
-        out = out.join(F.broadcast(means), column, "left").withColumn(f"{key}_mean", F.coalesce(f"{key}_mean", "overall"))
+def features(rows: DataFrame, learnt: DataFrame, target: str, own: bool = False, most: int = 250) -> DataFrame:
+    """Rows with numbers for a model: city and office as the mean ``target`` of ``learnt`` (the ``most`` frequent ones; the rest as one). With ``own``, rows of ``learnt`` itself, whose own fold is left out."""
+    out = target_means(rows, learnt, "city", target, "listing_id", own, "city_mean", most)
+    out = target_means(out, learnt, "office_id", target, "listing_id", own, "office_mean", most)
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     kinds = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(("RE_1", "MF_2", "LD_3", "CM_4", "FM_5", "RN_6")) for x in (c, float(i))]), F.col("class_id")).alias("class_no")
     return out.select(*[c for c in rows.columns if c not in NUMBERS], *(number(c) for c in NUMBERS[:5]), "city_mean", "office_mean", F.coalesce(kinds, F.lit(6.0)).alias("class_no"))
@@ -40,7 +38,7 @@ def value_model(listings: DataFrame, until: str, trees: int = 20) -> tuple[Pipel
     done = sales(listings)
     early, late = done.filter(F.col("close_date") < until), done.filter(F.col("close_date") >= until)
     model = Pipeline(stages=[VectorAssembler(inputCols=NUMBERS, outputCol="x"), GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=5, stepSize=0.1, seed=42)])
-    fitted = model.fit(features(early, early, "sold_price").withColumn("y", F.log1p("sold_price")))
+    fitted = model.fit(features(early, early, "sold_price", own=True).withColumn("y", F.log1p("sold_price")))
     return fitted, fitted.transform(features(late, early, "sold_price")).select("listing_id", "sold_price", F.expm1("prediction").alias("model_value"))
 
 
@@ -49,7 +47,7 @@ def cut_model(listings: DataFrame, until: str, trees: int = 15) -> DataFrame:
     rows = listings.filter("original_list_price > 0 AND list_price > 0").withColumn("y", (F.col("list_price") < F.col("original_list_price")).cast("double"))
     early, late = rows.filter(F.col("list_date") < until), rows.filter(F.col("list_date") >= until)
     model = Pipeline(stages=[VectorAssembler(inputCols=NUMBERS, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=4, seed=42)])
-    return model.fit(features(early, early, "y")).transform(features(late, early, "y")).select("listing_id", "y", vector_to_array("probability")[1].alias("p"))
+    return model.fit(features(early, early, "y", own=True)).transform(features(late, early, "y")).select("listing_id", "y", vector_to_array("probability")[1].alias("p"))
 
 
 def cut_metrics(scored: DataFrame) -> DataFrame:
@@ -88,3 +86,67 @@ def pricing_surface(listings: DataFrame, bands: DataFrame, quantiles: DataFrame,
 def sweet_spots(surface: DataFrame, target: float = 90.0) -> DataFrame:
     """The highest price at which a listing should still sell within ``target`` days."""
     return surface.filter(F.col("days") <= target).groupBy("listing_id").agg(F.max("price").alias("price"), F.max_by("days", "price").alias("days"))
+
+
+# Days on market by boosted quantiles. Categories come in as their mean days.
+DAY_NUMBERS = ["list_price", "original_list_price", "sqft", "bedrooms", "full_baths", "acres", "year_built", "assessed", "price_per_sqft", "age_at_list", "list_month", "price_to_assessed", "list_to_original"]
+DAY_MEANS = {"city": "city_days", "class_id": "class_days", "subdivision": "subdivision_days", "agent_id": "agent_days", "office_id": "office_days"}
+DAY_QUANTILES = (0.25, 0.5, 0.75)
+MOST_DAYS, LEAST_ROWS = 180, 200
+
+
+def day_features(rows: DataFrame, learnt: DataFrame, own: bool = False) -> DataFrame:
+    """``rows`` with DAY_NUMBERS and the means; what can't be worked out is null. ``own`` as in :func:`features`."""
+    ratio = lambda a, b: F.when((F.col(b) > 0) & (F.col(a) > 0), F.col(a) / F.col(b))
+    out = rows.withColumns({
+        "price_per_sqft": ratio("list_price", "sqft"), "age_at_list": F.when(F.col("year_built") > 1700, F.year("list_date") - F.col("year_built")), "list_month": F.month("list_date"),
+        "price_to_assessed": F.when(F.col("assessed") > 0, F.col("list_price") / F.col("assessed")), "list_to_original": F.when(F.col("original_list_price") > 0, F.col("list_price") / F.col("original_list_price")),
+    })
+    for key, name in DAY_MEANS.items():
+        out = target_means(out, learnt, key, "dom", "listing_id", own, name)
+    return out
+
+
+def day_sales(listings: DataFrame, most: int = MOST_DAYS) -> DataFrame:
+    """Closed sales with a price, both dates and 0 to ``most`` days on market."""
+    return listings.filter(f"status = 'Closed' AND sold_price > 0 AND close_date IS NOT NULL AND list_date IS NOT NULL AND dom BETWEEN 0 AND {most}")
+
+
+def day_model(listings: DataFrame, until: str, rounds: int = 12) -> tuple[boosting.Trees, DataFrame]:
+    """Trees for the quartiles of days on market, learnt on sales that closed before ``until``; and those sales. Fewer than LEAST_ROWS of them are refused."""
+    early = settled(day_sales(listings).filter(F.col("close_date") < until))
+    if early.count() < LEAST_ROWS:
+        raise ValueError(f"fewer than {LEAST_ROWS} sales to learn from")
+    table = settled(day_features(early, early, own=True).select("dom", *DAY_NUMBERS, *DAY_MEANS.values()))
+    return boosting.fit(table, [*DAY_NUMBERS, *DAY_MEANS.values()], "dom", DAY_QUANTILES, rounds), early
+
+
+def day_predictions(listings: DataFrame, until: str, rounds: int = 12) -> DataFrame:
+    """listing_id, class_id, dom, p25, p50, p75 of the sales from ``until`` on."""
+    model, early = day_model(listings, until, rounds)
+    late = day_sales(listings).filter(F.col("close_date") >= until)
+    return boosting.predicted(model, day_features(late, early), ["listing_id", "class_id", "dom"])
+
+
+def day_metrics(predictions: DataFrame) -> DataFrame:
+    """By class and over all (class_id null): n, mean absolute error of the median, share within the quartiles, pinball losses, mean days as whole rows add up."""
+    loss = lambda q: F.avg(F.greatest(q * (F.col("dom") - F.col(f"p{round(100 * q)}")), (q - 1) * (F.col("dom") - F.col(f"p{round(100 * q)}")))).alias(f"pinball_{round(100 * q)}")
+    inside = F.avg(F.col("dom").between(F.col("p25"), F.col("p75")).cast("double")).alias("coverage")
+    return predictions.rollup("class_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("dom") - F.col("p50"))).alias("mae"), inside, *map(loss, DAY_QUANTILES))
+
+
+def price_for_days(model: boosting.Trees, early: DataFrame, subjects: DataFrame, target: float = 60.0, span: float = 0.25, step: int = 5_000) -> DataFrame:
+    """The highest price at which a listing should sell within ``target`` days: its list price (else its assessment, else 250,000) less and plus ``span`` in steps of ``step``, 25,000 at least.
+
+    listing_id, feasible, price, days: where no price of the grid will do, feasible is false and price that of the fewest days (the lowest of equal ones).
+    """
+    anchor = F.coalesce(F.nullif(F.col("list_price"), F.lit(0.0)), F.nullif(F.col("assessed").cast("double"), F.lit(0.0)), F.lit(250_000.0))
+    low, high = F.greatest(F.floor(anchor * (1 - span)), F.lit(25_000)), F.floor(anchor * (1 + span))
+    last = (high + step - 1).cast("long")
+    grid = F.when(low <= last, F.sequence(low.cast("long"), F.greatest(low.cast("long"), last), F.lit(step).cast("long")))
+    rows = subjects.withColumn("_price", F.explode(grid)).withColumn("list_price", F.col("_price").cast("double")).drop("_price")
+    days = boosting.predicted(model, day_features(rows, early), ["listing_id", "list_price"])
+    soon = F.col("p50") <= target
+    best = days.groupBy("listing_id").agg(F.max(F.when(soon, F.struct("list_price", "p50"))).alias("hit"), F.min(F.struct("p50", "list_price")).alias("near"))
+    pick = lambda c: F.coalesce(F.col(f"hit.{c}"), F.col(f"near.{c}"))
+    return best.select("listing_id", F.col("hit").isNotNull().alias("feasible"), pick("list_price").alias("price"), pick("p50").alias("days"))

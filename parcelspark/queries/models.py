@@ -51,7 +51,14 @@ def observations(spark, d):
     return rows.select("listing_id", F.explode(seen).alias("o")).select("listing_id", "o.*")
 
 
+def _prices(spark, d):
+    rows = listings(spark, d)
+    return models.price_for_days(*models.day_model(rows, UNTIL), rows.filter("status = 'Active'"))
+
+
 QUERIES = {
+    "days_on_market_quartiles": lambda spark, d: models.day_predictions(listings(spark, d), UNTIL),
+    "prices_for_days": _prices,
     "seller_scoring": _seller,
     "monthly_rates": lambda spark, d: sellers.monthly_rates(_weekly(spark)),
     "rates_at_purchase": _rates,
