@@ -55,8 +55,8 @@ def test_trees_find_the_quantiles_of_a_known_law(spark):
     x, z = rnd.uniform(0, 1, 6000), rnd.uniform(0, 1, 6000)
     y = np.where(x < 0.5, 10.0, 40.0) + rnd.uniform(-8, 8, 6000)
     df = spark.createDataFrame([(int(i), float(a), None if i % 9 == 0 else float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, z, y, strict=True))], "id long, x double, z double, y double").cache()
-    model = boosting.fit(df.filter("id < 4000"), ["x", "z"], "y", rounds=12)
-    again = boosting.fit(df.filter("id < 4000"), ["x", "z"], "y", rounds=12)
+    model = boosting.fit(df.filter("id < 4000"), ["x", "z"], "y", rounds=12, rate=0.4, least=20)
+    again = boosting.fit(df.filter("id < 4000"), ["x", "z"], "y", rounds=12, rate=0.4, least=20)
     assert all((a == b).all() for r, s in zip(model.rounds, again.rounds, strict=True) for t, u in zip(r, s, strict=True) for a, b in zip(t, u, strict=True))
     got = boosting.predicted(model, df.filter("id >= 4000"), ["id", "x", "y"]).collect()
     assert all(r.p25 <= r.p50 <= r.p75 for r in got)
