@@ -18,11 +18,20 @@ def replace_parquet(rows: DataFrame, path: str, partition: str | None = None) ->
     """A pool written beside the old one, then renamed into its place: a reader sees the old or the new whole."""
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
     writer = rows.write.option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(fresh)
     hadoop = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    replace_folder(hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop, fresh, path)
+
+
+def replace_folder(fs, hadoop, fresh: str, path: str) -> None:
+    """``fresh`` renamed to ``path``. Until it is there the old folder stays under a name of its own, from which a next call takes it back after a crash in between."""
+    old = f"{path}.old"
+    if fs.exists(hadoop(old)) and not fs.exists(hadoop(path)):
+        fs.rename(hadoop(old), hadoop(path))
+    fs.delete(hadoop(old), True)
+    fs.mkdirs(hadoop(path).getParent())
     if fs.exists(hadoop(path)):
         fs.rename(hadoop(path), hadoop(old))
     fs.rename(hadoop(fresh), hadoop(path))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from parcelspark.sources.writers import replace_parquet, upsert
+from parcelspark.operators.stages import settled
+from parcelspark.sources.writers import replace_folder
 
 EVENT = "listing_id long, kind string, observed_at timestamp, status string, from_status string, price double, from_price double"
 _STATE = "status string, list_price double, sold_price double"
@@ -18,7 +20,7 @@ _STATE = "status string, list_price double, sold_price double"
 
 def batch_changes(seen: DataFrame) -> DataFrame:
     """Events of all observations (listing_id, observed_at, status, list_price, sold_price): new, status_change, price_change (both prices above 0), sold_price_set."""
-    w = Window.partitionBy("listing_id").orderBy("observed_at")
+    w = Window.partitionBy("listing_id").orderBy("observed_at", "status", "list_price", "sold_price")  # what was observed at one time goes by its content
     rows = seen.withColumns({f"from_{c}": F.lag(c).over(w) for c in ("status", "list_price", "sold_price")}).withColumn("n", F.row_number().over(w))
     first, price, old = F.col("n") == 1, F.coalesce("list_price", F.lit(0.0)), F.coalesce("from_list_price", F.lit(0.0))
     none = lambda t: F.lit(None).cast(t)
@@ -55,28 +57,47 @@ def _step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
 
 
 def stream_changes(seen: DataFrame, overlap: str = "1 hour") -> DataFrame:
-    """The same events from a stream. Observations read twice (the overlap of two pulls) count once; late ones beyond ``overlap`` are dropped by the watermark."""
+    """The same events from a stream, as it arrives: rows that are late across batches are compared with newer ones (``ordered.ordered_changes`` waits for them). Observations read twice (the overlap of two pulls) count once; late ones beyond ``overlap`` are dropped by the watermark."""
     once = seen.withWatermark("observed_at", overlap).dropDuplicatesWithinWatermark(["listing_id", "observed_at"])
     return once.groupBy("listing_id").applyInPandasWithState(_step, EVENT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_snapshots(stream: DataFrame, snapshot: str, checkpoint: str, key: str = "listing_id", keep: list[str] = ("original_list_price",)) -> None:
+def newest(rows: DataFrame, key: str) -> DataFrame:
+    """The row of the latest observed_at of each key; of equal times that of the larger content."""
+    rest = [c for c in rows.columns if c not in (key, "observed_at")]
+    place = Window.partitionBy(key).orderBy(F.desc("observed_at"), *(F.desc(c) for c in rest))
+    return rows.withColumn("_r", F.row_number().over(place)).filter("_r = 1").drop("_r")
+
+
+def merged(old: DataFrame, fresh: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """Of both the newest row of each key: one that was observed earlier never wins. Columns in ``keep`` stay as they are in ``old`` where that is known. One shuffle."""
+    both = old.withColumn("_old", F.lit(True)).unionByName(fresh.withColumn("_old", F.lit(False)))
+    was = {c: F.coalesce(F.max(F.when(F.col("_old"), F.col(c))).over(Window.partitionBy(key)), F.col(c)) for c in keep}
+    return newest(both.withColumns(was), key).select(*old.columns)
+
+
+def merge_snapshots(stream: DataFrame, snapshot: str, checkpoint: str, key: str = "listing_id", keep: list[str] = ("original_list_price",), parts: int = 64) -> None:
     """Everything available now, merged into a Parquet snapshot batch by batch: the latest row of a key wins, columns in ``keep`` stay as they first were.
 
-    The snapshot is replaced whole; a batch that runs again gives the same rows.
+    The snapshot is kept in ``parts`` folders by a hash of the key (column ``part``); a batch rewrites those that it touches, each replaced whole. A batch that runs again, or comes late, gives the same rows.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        latest = batch.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("observed_at")))).filter("_r = 1").drop("_r")
-        try:
-            old = spark.read.schema(latest.schema).parquet(snapshot)
-            old.take(1)
-        except Exception as e:  # the first batch finds no snapshot
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], latest.schema)
-        replace_parquet(upsert(old, latest, key, list(keep)), snapshot)
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        fresh = settled(newest(batch.filter(F.col(key).isNotNull()), key))
+        touched = [r.part for r in fresh.select(part.alias("part")).distinct().collect()]  # parts at most
+        if not touched:
+            return
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(snapshot).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        there = [p for p in touched if fs.exists(hadoop(f"{snapshot}/part={p}"))]
+        old = spark.read.schema(fresh.schema).parquet(*(f"{snapshot}/part={p}" for p in there)) if there else spark.createDataFrame([], fresh.schema)
+        staged = f"{checkpoint}/staged-{uuid.uuid4().hex}"
+        merged(old, fresh, key, list(keep)).withColumn("part", part).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(staged)
+        for p in touched:
+            replace_folder(fs, hadoop, f"{staged}/part={p}", f"{snapshot}/part={p}")
+        fs.delete(hadoop(staged), True)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
