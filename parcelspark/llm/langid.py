@@ -111,19 +111,19 @@ def identify(texts: list[str | None], docs: list[bytes], model: dict) -> tuple[l
 
 def detect_language(documents: DataFrame, modulus: int = 4, held: int = 2, with_row: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, family_score; ``with_row`` adds row, a struct of all columns. Learns from rows whose fold is not ``held``."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", *([F.struct("*").alias("row")] if with_row else []))
-    model = train(rows.filter(fold("doc_id", modulus) != held))
+    model = train(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(fold("doc_id", modulus) != held))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            docs, texts = texts_of(b.column(1)), b.column(1).to_pylist()
+            column = b.column(1).field("text")
+            docs, texts = texts_of(column), column.to_pylist()
             for i, j in chunks([len(d) for d in docs], CHUNK):
                 names, scores, own = identify(texts[i:j], docs[i:j], shared.value)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores), pa.array(own), *(c.slice(i, j - i) for c in b.columns[2:])], ["doc_id", "lang_pred", "score", "family_score", *b.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores), pa.array(own), *([b.column(1).slice(i, j - i)] if with_row else [])], ["doc_id", "lang_pred", "score", "family_score", *(["row"] if with_row else [])])
         trim()
 
-    some = rows.drop("lang")
+    some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*" if with_row else "text").alias("row"))
     schema = StructType.fromDDL("doc_id long, lang_pred string, score double, family_score double")
-    out = some.mapInArrow(run, StructType([*schema, *some.schema[2:]]))
-    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score", "family_score", *some.columns[2:])
+    out = some.mapInArrow(run, StructType([*schema, *(some.schema[1:] if with_row else [])]))
+    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score", "family_score", *(["row"] if with_row else []))

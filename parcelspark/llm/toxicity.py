@@ -5,7 +5,7 @@ stems of ``STEM`` letters. A term's weight is its IDF times how far the labels t
 (``FLOOR`` + chi-square) / examples, its phi coefficient but for the floor, so no term counts for nothing. Blocks of examples carry,
 term by term, their largest weight; a query visits only the blocks whose bound reaches a cosine that its
 k-th neighbour has at least, so neighbours are exact. Distance-weighted votes of the neighbours are calibrated by Platt scaling on the
-examples. A text is never its own example, there or when it is scored: its label takes no part in its score. A text that shares no term with an example (null and empty ones too) has no neighbours
+examples. A text is never its own example, there or when it is scored, and ids don't decide that: examples of exactly its content are passed over, so equal texts have equal scores. A text that shares no term with an example (null and empty ones too) has no neighbours
 and the vote 0. Ties go to the smaller id. Repeated rows have equal results; a row with a null id is scored but is no example, and of a
 repeated id one text, the least, is. Empty tables give an empty result; without labels of both classes all scores are the same share.
 
@@ -48,23 +48,24 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Inverted lists of the examples' weights, cut into runs of one term and one block with their largest weight.
 
-    ``rows`` has each example's (terms, counts), ``weight`` each term's factor.
+    ``content`` is a hash of each example's text, ``rows`` has its (terms, counts), ``weight`` each term's factor.
     """
 
-    def __init__(self, ids, rows, toxic, terms, weight):
+    def __init__(self, ids, content, rows, toxic, terms, weight):
         self.terms = {t: i for i, t in enumerate(terms)}
         self.weight = weight
         vectors = [self.weigh(*r) for r in rows]
         # Examples with the same strongest term stand together: their blocks then have tight bounds.
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))
-        self.ids, self.toxic = np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], np.float64)
+        self.ids, self.content, self.toxic = (np.array([x[i] for i in order], kind) for x, kind in ((ids, np.int64), (content, np.int64), (toxic, np.float64)))
         self.blocks = -(-len(order) // BLOCK)
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        at = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int32)
+        at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
         by = np.argsort(term, kind="stable")
-        self.at, self.value = at[by].astype(np.int32), (np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0))[by]
+        self.at, self.value = at[by], (np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0))[by]
         # Runs: the postings of one term in one block.
-        key = term[by] * max(1, self.blocks) + self.at // BLOCK
+        del vectors
+        key = term[by].astype(np.int64) * max(1, self.blocks) + self.at // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.run_start, self.run_size = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
         self.run_block = (self.at[first] // BLOCK).astype(np.int32)
@@ -90,13 +91,13 @@ class BlockMaxIndex:
         return self.weigh(t[t >= 0], n[t >= 0])
 
     def nearest(self, terms, weights, k: int, but: int | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine (position among the examples), without the id ``but``."""
+        """The k examples of largest cosine (position among the examples), without those of the content ``but``."""
         return self.nearest_of([(terms, weights)], k, [but])[0]
 
     def nearest_of(self, vectors, k: int, but) -> list[list[tuple[float, int]]]:
         """The same for several texts. What frequent terms add to all examples is one product of dense rows.
 
-        The k-th largest of these sums (k + 1, as the text itself may be among them) is a cosine that the k nearest reach. A block's bound is
+        The k-th largest of these sums, examples of the text's own content left out, is a cosine that the k nearest reach. A block's bound is
         the largest sum in it and, for the other terms, the sum of their largest weights there; only blocks that can reach that cosine are visited.
         """
         if not self.blocks:
@@ -108,7 +109,9 @@ class BlockMaxIndex:
         base = share @ self.dense
         most = np.maximum.reduceat(base, np.arange(0, base.shape[1], BLOCK), axis=1)
         n = base.shape[1]
-        least = np.partition(base, n - k - 1, axis=1)[:, n - k - 1] if n > k else np.zeros(len(vectors))
+        free = base if all(x is None for x in but) else np.where(self.content[None] == np.array([np.iinfo(np.int64).min if x is None else x for x in but])[:, None], 0.0, base)
+        least = np.partition(free, n - k, axis=1)[:, n - k] if n >= k else np.zeros(len(vectors))
+        del free
         return [self._visit(t[d < 0], w[d < 0], b, m, x, k, own) for (t, w), d, b, m, x, own in zip(vectors, thick, base, most, least.tolist(), but, strict=True)]
 
     def _visit(self, terms, weights, base, bound, least: float, k, but) -> list[tuple[float, int]]:
@@ -123,7 +126,7 @@ class BlockMaxIndex:
         found = ragged(self.run_start[runs], size)
         total = base + np.bincount(self.at[found], self.value[found] * np.repeat(w[mine], size), minlength=len(base))
         at = np.flatnonzero((total > 0) & (total >= least - 1e-12) & now[self.block_of])
-        at = at[self.ids[at] != but] if but is not None else at
+        at = at[self.content[at] != but] if but is not None else at
         score = total[at]
         if len(at) > 4 * k:  # of many, only those at the k-th cosine or above are sorted
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
@@ -204,9 +207,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     def run(batches):
         for b in batches:
             rows = [term_counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())), pa.array([bands(r) for r in rows], pa.list_(pa.int64())), pa.array([x.astype("<u8").tobytes() for x in shingle_sets(texts_of(b.column(1)), SHINGLE)], pa.binary())], ["doc_id", "label", "words", "counts", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())), pa.array([bands(r) for r in rows], pa.list_(pa.int64())), pa.array([x.astype("<u8").tobytes() for x in shingle_sets(texts_of(b.column(1)), SHINGLE)], pa.binary())], ["doc_id", "label", "content", "words", "counts", "bands", "shingles"])
 
-    seen = labelled_texts(documents, some).mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>, bands array<bigint>, shingles binary")
+    seen = labelled_texts(documents, some).withColumn("content", F.xxhash64("text")).mapInArrow(run, "doc_id long, label int, content long, words array<string>, counts array<int>, bands array<bigint>, shingles binary")
     seen = table = materialise(seen, "examples")
     # Copies of one text count as one example, else the words of a much-copied text would pass for signs of its label.
     seen = documents_of(seen, without_copies(seen))
@@ -214,12 +217,12 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     n, pos = totals["n"], totals["pos"]
     if not pos or pos == n:
         discard(table)
-        return BlockMaxIndex([], [], [], [], np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
-    t = seen.select("doc_id", "label", "words", "counts").toArrow().sort_by("doc_id").combine_chunks()  # of a bounded sample
-    ids, label = t.column("doc_id").to_pylist(), t.column("label").to_pylist()
+        return BlockMaxIndex([], [], [], [], [], np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
+    t = seen.select("doc_id", "label", "content", "words", "counts").toArrow().sort_by("doc_id").combine_chunks()  # of a bounded sample
+    ids, label, content = (t.column(c).to_pylist() for c in ("doc_id", "label", "content"))
     held, edges = t.column("words").combine_chunks(), t.column("words").combine_chunks().offsets.to_numpy()
     coded = held.flatten().dictionary_encode()
-    every, counts = coded.indices.to_numpy().astype(np.int64), t.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
+    every, counts = coded.indices.to_numpy(), t.column("counts").combine_chunks().flatten().to_numpy()
     terms, rows = dict.fromkeys(coded.dictionary.to_pylist()), []
     edges = edges - edges[0]
     for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -227,13 +230,12 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
         rows.append((every[i:j][by], counts[i:j][by]))
     del t, held, coded
     discard(table)
-    every = np.concatenate([x for x, _ in rows])
     df = np.bincount(every, minlength=len(terms))
     hit = np.bincount(every, np.repeat(np.array(label) == 1, [len(t) for t, _ in rows]), minlength=len(terms))
     share = pos / n
     chi = n * (hit - df * share) ** 2 / (df * (n - df) * share * (1 - share) + 1e-9)
-    index = BlockMaxIndex(ids, rows, label, terms, np.log(1 + n / df) * (np.sqrt((FLOOR + chi) / n) if by_label else 1))
-    votes = np.array([index.vote(index.nearest(*index.weigh(*r), k, i)) for i, r in zip(ids, rows, strict=True)])
+    index = BlockMaxIndex(ids, content, rows, label, terms, np.log(1 + n / df) * (np.sqrt((FLOOR + chi) / n) if by_label else 1))
+    votes = np.array([index.vote(index.nearest(*index.weigh(*r), k, x)) for x, r in zip(content, rows, strict=True)])
     del seen, rows, every
     trim()
     return index, *calibrate(votes, np.array([int(x == 1) for x in label]))
@@ -241,22 +243,23 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, k: int = NEIGHBOURS, by_label: bool = True, with_row: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine, toxic); ``with_row`` adds row, a struct of all columns. Labels of the held fold are never read."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct("*").alias("row")] if with_row else []))
-    model = train(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(fold("doc_id", modulus) != held), k=k, by_label=by_label)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), F.struct("*").alias("row") if with_row else F.struct("text").alias("row"))
+    model = train(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(fold("doc_id", modulus) != held), k=k, by_label=by_label)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         index, a, c = shared.value
         for b in batches:
             scores, evidence = [], []
-            own, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            own, texts = b.column(1).to_pylist(), b.column(2).field("text").to_pylist()
             for i in range(0, len(texts), TEXTS):
                 for near in index.nearest_of([index.vector(term_counts(t)) for t in texts[i : i + TEXTS]], k, own[i : i + TEXTS]):
                     scores.append(float(sigmoid(a * index.vote(near) + c)))
                     evidence.append([{"doc_id": int(index.ids[at]), "cosine": s, "toxic": int(index.toxic[at])} for s, at in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind), *b.columns[2:]], ["doc_id", "score", "predicted", "evidence", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind), *(b.columns[2:] if with_row else [])], ["doc_id", "score", "predicted", "evidence", *(["row"] if with_row else [])])
+        trim()  # the worker goes on to other stages
 
     schema = StructType.fromDDL("doc_id long, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
-    out = rows.mapInArrow(run, StructType([*schema, *rows.schema[2:]]))
-    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "score", "predicted", "evidence", *rows.columns[2:])
+    out = rows.mapInArrow(run, StructType([*schema, *(rows.schema[2:] if with_row else [])]))
+    return out.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "score", "predicted", "evidence", *(["row"] if with_row else []))

@@ -212,3 +212,22 @@ def test_quality_of_odd_rows(spark):
     none = pu.score_quality(docs, labels.filter("false")).collect()
     assert {r.score for r in none} == {0.5} and {r.predicted for r in none} == {1}
     assert pu.score_quality(docs.filter("false"), labels).count() == 0
+
+
+# --- toxicity: equal texts
+
+
+def test_equal_texts_score_alike_whatever_their_ids(spark):
+    from parcelspark.llm import toxicity
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice("one two three four five six seven eight".split())
+    rows = [(i, " ".join(word() for _ in range(30)) + (" nasty nasty" if i % 3 == 0 else "")) for i in range(90)]
+    rows += [(1000 + i, rows[i][1]) for i in range(90)] + [(None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = defaultdict(set)
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        got[dict(rows)[r.doc_id]].add(r.score)
+        assert all(e.cosine < 1 - 1e-12 or dict(rows)[e.doc_id] != dict(rows)[r.doc_id] for e in r.evidence)
+    assert all(len(scores) == 1 for scores in got.values())
