@@ -26,18 +26,21 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows predicted toxic go, each by its own score; labels of the held-out fold take no part."""
+    prepare(spark)
     scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_row=True)
     return scored.filter("predicted = 0").select("row.*")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a language go: null texts, texts without a letter, or a family probability below LEAST_FAMILY_SCORE."""
+    prepare(spark)
     found = langid.detect_language(docs, with_row=True)
     return found.filter((F.col("lang_pred") != "und") & (F.col("family_score") >= LEAST_FAMILY_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the row of smallest doc_id stays; rows with null or repeated ids go by a key of their own."""
+    prepare(spark)
     key = f"key_{uuid.uuid4().hex}"
     if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
         keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
@@ -49,6 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows the new text. No row goes."""
+    prepare(spark)
     findings = f"found_{uuid.uuid4().hex}"
     out = pii.pseudonymise(docs, pii_key(spark), found_col=findings).drop(findings)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*(f"`{c}`" for c in docs.columns))
@@ -56,6 +60,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a training sequence."""
+    prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, END_ID)
 
 
@@ -70,7 +75,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces. What a stage kept is deleted when the next has been written, but for the last one's input, which the result reads."""
-    prepare(spark)
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
