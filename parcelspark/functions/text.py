@@ -15,7 +15,7 @@ ROLES = r"\b(TRUSTEES?|TRS|TR|TTE|TTEE|ETUX|ETUS|ET\s*UX|ETAL|ET\s*AL|LIFE\s+EST
 ENTITY = r"\b(LLC|INC\b|CORP(?:ORATION)?|COMPANY|CO\b|LP\b|LLP\b|LTD|LIMITED|PARTNERSHIP|HOLDINGS|PROPERTIES|MANAGEMENT|MGMT|REALTY|INVEST|CAPITAL|GROUP\b|VENTURES|ASSOCIATES|DEVELOPMENT|BUILDERS|CONSTRUCTION|BUILDING|CHURCH|MINISTRIES|TEMPLE|MOSQUE|SYNAGOGUE|FOUNDATION|FOUNDATIONS|CEMETERY|HOA\b|HOMEOWNERS|COUNTY|TOWN|CITY|STATE|COMMONWEALTH|UNITED\s+STATES|U\s?S\s?A|FEDERAL|COMMISSION|AUTHORITY|DEPARTMENT|AGENCY|BOARD\s+OF|SCHOOL|SCHOOLS|BANK\b|CREDIT\s+UNION|VPI\b|VIRGINIA\s+TECH|UNIVERSITY|COLLEGE)\b"
 ESTATE = r"\b(ESTATE\s+OF\s+|HEIRS\s+OF\s+|.+\s+ESTATE\b|.+\s+HEIRS\b)"
 ENTITY_SUFFIX = r"\b(LLC|INC|CORP(?:ORATION)?|LP|LLP|LTD|LIMITED)\b"
-GOVERNMENT = r"COMMONWEALTH OF|\bUSA\b|UNITED STATES|U\.?\s?S\.?\s+GOVERNMENT|\bSTATE OF\b|\bCOUNTY OF\b|COUNTY BOARD|\bTOWN OF\b|\bCITY OF\b|DEPT OF|DEPARTMENT OF|BOARD OF SUPERVISORS|SCHOOL BOARD|HOUSING AUTHORITY|HOUSING PARTNERS|\bAUTHORITY\b|VIRGINIA POLYTECHNIC|VIRGINIA TECH|\bVPI\b|\bUNIVERSITY\b|\bHOA\b|HOME\s*OWNERS?|\bCONDOMINIUMS?\b|\bCONDO\s+ASSOC|\bSUBDIVISION\b|VILLAGE\s+AT\b|VILLAS\s+AT\b|COMMONS\s+AT\b|\bCEMETERY\b|\bCEMETARY\b|\bHILLEL\b|\bFRATERNITY\b|\bSORORITY\b|ALUMNI\s+ASSOC|\bFELLOWSHIP\b|HABITAT\s+FOR\b|\bSYNAGOGUE\b|\bTEMPLE\s+OF\b|\bMINISTRIES\b|\bMINISTRY\b"
+GOVERNMENT = r"COMMONWEALTH OF|\bUSA\b|UNITED STATES|U\.?\s?S\.?\s+GOVERNMENT|\bSTATE OF\b|\bCOUNTY OF\b|COUNTY BOARD|\bTOWN OF\b|\bCITY OF\b|\bMONTGOMERY COUNTY\b|DEPT OF|DEPARTMENT OF|\bVA DEPT\b|BOARD OF SUPERVISORS|SCHOOL BOARD|HOUSING AUTHORITY|HOUSING PARTNERS|\bAUTHORITY\b|VIRGINIA POLYTECHNIC|VIRGINIA TECH|\bVPI\b|\bUNIVERSITY\b|\bHOA\b|HOME\s*OWNERS?|\bCONDOMINIUMS?\b|\bCONDO\s+ASSOC|\bSUBDIVISION\b|VILLAGE\s+AT\b|VILLAS\s+AT\b|COMMONS\s+AT\b|\bCEMETERY\b|\bCEMETARY\b|\bHILLEL\b|\bFRATERNITY\b|\bSORORITY\b|ALUMNI\s+ASSOC|\bFELLOWSHIP\b|HABITAT\s+FOR\b|\bSYNAGOGUE\b|\bTEMPLE\s+OF\b|\bMINISTRIES\b|\bMINISTRY\b"
 BUSINESS = r"\bLLC\b|\bL\.?L\.?C\.?\b|\bINC\b|\bCORP\b|\bCORPORATION\b|\bTRUST\b|\bTRUSTEE|\bTR\s*$|FAMILY\s+TR\b|\bLP\b|\bLLP\b|\bLTD\b|\bLIMITED\b|\bPARTNERSHIP\b|\bHOLDINGS?\b|\bPROPERTIES\b|\bASSOCIATES\b|\bGROUP\b|\bINVESTMENTS?\b|\bCHURCH\b|\bFOUNDATION\b|\bREAL ESTATE\b|\bRENTALS?\b|\bDEVELOPMENT\b|\bDEVELOPERS\b|\bHOMES\b|\bCONSTRUCTION\b|\bCAPITAL\b|\bVENTURES\b"
 LISTED_ENTITY = r"\b(LLC|L\.L\.C\.|INC|CORP|CORPORATION|LP|LLP|HOLDINGS|PROPERTIES|REALTY|INVESTMENTS|CAPITAL|VENTURES|ASSOCIATES|DEVELOPMENT|BUILDERS|CONSTRUCTION)\b"
 PROBATE = r"(?i)\b(ESTATE\s+OF|ESTATE\s+\b|HEIRS?\s+OF|TRUSTEE|LIFE\s+ESTATE|LIFE\s+TENANT|DEC['’]?D|DECEASED|REVOCABLE\s+TRUST|LIVING\s+TRUST|FAMILY\s+TRUST)\b"
