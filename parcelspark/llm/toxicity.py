@@ -9,8 +9,8 @@ examples. A text is never its own example, there or when it is scored, and ids d
 and the vote 0. Ties go to the smaller id. Repeated rows have equal results; a row with a null id is scored but is no example, and of a
 repeated id one text, the least, is. Empty tables give an empty result; without labels of both classes all scores are the same share.
 
-With IDF alone as weight (``by_label`` false) the neighbours are alike in subject and not in tone: of the toxic texts among 600 held-out ones of
-the test tables 0.59 to 0.65 are found, against 0.94.
+With IDF alone as weight (``by_label`` false) the neighbours are alike in subject and not in tone: of the toxic texts of a fold of the training labels of
+the test tables, which the examples were not drawn from, 0.70 are found, against 0.94.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SAMPLE = 2000
 NEIGHBOURS = 15
 BLOCK = 64
 TEXTS = 128  # scored together
-FLOOR = 0.1
+FLOOR = 1.0  # of 0.01 to 1, the least log loss on a fold of the training labels that the examples were not drawn from
 STEM = 4
 SHINGLE, COPY = 5, 0.75
 _WORD = re.compile(r"[^\W\d_]+")
