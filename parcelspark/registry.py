@@ -14,6 +14,7 @@ from parcelspark.queries import models as model_queries
 from parcelspark.queries import owners as owner_queries
 from parcelspark.queries import places as place_queries
 from parcelspark.queries import regions as region_queries
+from parcelspark.queries import resolve as resolve_queries
 from parcelspark.queries import search as search_queries
 from parcelspark.queries import terrain as terrain_queries
 from parcelspark.sources.bridge import AS_OF, BRIDGE_SQL, DEEDS_SQL, deeds, listings
@@ -140,7 +141,7 @@ h AS (SELECT listing_id, n, estimate, spread, estimate * least(0.15::DOUBLE, gre
 SELECT listing_id, n, estimate, spread, CASE WHEN n >= 5 AND spread <= 0.25 THEN 'high' WHEN n >= 3 AND spread <= 0.6 THEN 'medium' ELSE 'low' END AS confidence, estimate - half AS band_low, estimate + half AS band_high FROM h""",
 }
 
-for group in (market_queries, owner_queries, comp_queries, place_queries, model_queries, search_queries, terrain_queries, criteria_queries, region_queries):
+for group in (market_queries, owner_queries, comp_queries, place_queries, model_queries, search_queries, terrain_queries, criteria_queries, region_queries, resolve_queries):
     QUERIES |= group.QUERIES
     ORACLE |= group.ORACLE
 ORACLE |= terrain_queries.with_comps(_PIT)
