@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that stand for no name.
@@ -138,12 +138,17 @@ def parcel_id_variants(c: Column) -> Column:
     return F.array_distinct(F.filter(F.array(s, alnum(s), F.lpad(alnum(s), 12, "0"), F.regexp_replace(alnum(s), "^0+", "")), lambda x: x.isNotNull() & (x != "")))
 
 
-def condition(remarks: Column) -> dict[str, Column]:
-    """condition_score (0 to 5), condition_flags, is_manufactured, is_distressed, condition_label of listing remarks."""
-    said = F.length(F.coalesce(remarks, F.lit(""))) > 0
-    hits = {k: remarks.rlike("(?i)" + p) for k, (p, _) in CONDITION.items()}
-    total = sum((F.when(hits[k], w).otherwise(0.0) for k, (_, w) in CONDITION.items()), F.lit(2.5))
-    score = F.when(said, F.round(F.least(F.lit(5.0), F.greatest(F.lit(0.0), total)), 2))
+def with_condition(rows: DataFrame, remarks: str) -> DataFrame:
+    """``rows`` with condition_score (0 to 5), condition_flags, is_manufactured, is_distressed, condition_label of their remarks.
+
+    Each pattern is tried once a row: the hits are a column of their own, the score another, which later steps only read.
+    """
+    text = F.col(remarks)
+    rows = rows.withColumns({"_hits": F.array(*(text.rlike("(?i)" + p) for p, _ in CONDITION.values())), "is_manufactured": F.coalesce(text.rlike(MANUFACTURED), F.lit(False)), "is_distressed": F.coalesce(text.rlike(DISTRESSED), F.lit(False))})
+    total = sum((F.when(F.get("_hits", F.lit(i)), w).otherwise(0.0) for i, (_, w) in enumerate(CONDITION.values())), F.lit(2.5))
+    said = F.length(F.coalesce(text, F.lit(""))) > 0
+    flags = F.array_join(F.array_compact(F.array(*(F.when(F.get("_hits", F.lit(i)), F.lit(k)) for i, k in enumerate(CONDITION)))), ";")
+    rows = rows.withColumns({"condition_score": F.when(said, F.round(F.least(F.lit(5.0), F.greatest(F.lit(0.0), total)), 2)), "condition_flags": F.coalesce(flags, F.lit(""))})
+    score = F.col("condition_score")
     label = F.when(score.isNull(), "(no remarks)").when(score >= 4.5, "fully renovated").when(score >= 3.5, "well-updated").when(score >= 2.5, "average / well-maintained").when(score >= 1.5, "dated / needs cosmetic").otherwise("distressed / needs work")
-    flags = F.array_join(F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in hits.items()])), ";")
-    return {"condition_score": score, "condition_flags": F.coalesce(flags, F.lit("")), "is_manufactured": F.coalesce(remarks.rlike(MANUFACTURED), F.lit(False)), "is_distressed": F.coalesce(remarks.rlike(DISTRESSED), F.lit(False)), "condition_label": label}
+    return rows.withColumn("condition_label", label).drop("_hits")

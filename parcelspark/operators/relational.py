@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelspark.functions.columns import haversine_miles
+from parcelspark.operators.stages import settled
 
 
 def range_join(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
@@ -140,7 +141,7 @@ def variant_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 
     ``variants`` makes an array of ways to write a key, best first. Right rows are listed under each of their variants too.
     """
-    one = left.withColumn("_row", F.monotonically_increasing_id())
+    one = settled(left.withColumn("_row", F.monotonically_increasing_id()))  # written, so both sides of the join below see the same numbers
     tried = one.select("_row", F.posexplode(variants(F.col(left_key))).alias("_place", "_key"))
     known = first_per(right.select("*", F.posexplode(variants(F.col(right_key))).alias("_other", "_key")), ["_key"], [F.asc("_other"), F.asc(right_key)])
     hits = first_per(tried.join(known, "_key"), ["_row"], [F.asc("_place"), F.asc("_other"), F.asc(right_key)])

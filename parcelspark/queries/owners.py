@@ -46,7 +46,7 @@ def _queue(spark, d):
 
 
 def _conditions(spark, d):
-    return listings(spark, d).select("listing_id", *(c.alias(n) for n, c in text.condition(F.col("remarks")).items()))
+    return text.with_condition(listings(spark, d).select("listing_id", "remarks"), "remarks").drop("remarks")
 
 
 def _keys(spark, d):
