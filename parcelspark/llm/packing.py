@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm.common import discard, materialise
-from parcelspark.llm.tokens import pieces
+from parcelspark.llm.tokens import KEPT, pieces
 
 PER_PARTITION = 60_000
 ROUNDS = 4
@@ -143,7 +143,7 @@ def pack_lengths(items: DataFrame, capacity: int) -> DataFrame:
     return every
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id).withColumn("key", F.monotonically_increasing_id()), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, keep: int = KEPT) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document; ``keep`` as in :func:`pieces`."""
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id, keep=keep).withColumn("key", F.monotonically_increasing_id()), "pieces")
     return cut.join(pack_lengths(cut, capacity), "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -53,12 +53,12 @@ class ChunkEncoder:
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def shrink(self) -> None:
-        """Forget all but the first KEPT chunks."""
-        if len(self.known) > KEPT:
-            self.known = dict(islice(self.known.items(), KEPT))
-            self.starts, self.lengths = self.starts[:KEPT].copy(), self.lengths[:KEPT].copy()
-            self.used = int((self.starts + self.lengths).max())
+    def shrink(self, keep: int = KEPT) -> None:
+        """Forget all but the first ``keep`` chunks."""
+        if len(self.known) > keep:
+            self.known = dict(islice(self.known.items(), keep))
+            self.starts, self.lengths = self.starts[:keep].copy(), self.lengths[:keep].copy()
+            self.used = int((self.starts + self.lengths).max(initial=0))
             self.flat = self.flat[: max(self.used, 1)].copy()
 
     def _learn(self, words: list[bytes]) -> None:
@@ -115,10 +115,10 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: int = KEPT) -> DataFrame:
     """Each document's ids, then ``end_id``, cut into pieces of ``capacity``: doc_id, piece, start, length, ids_crc32[, ids].
 
-    Null text counts as empty: one piece of length 1.
+    Null text counts as empty: one piece of length 1. Between tasks a worker remembers ``keep`` chunks: fewer take less of what later stages have, more save encoding.
     """
     import zlib
 
@@ -136,7 +136,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids:
                         raw = ids[start : start + capacity].tobytes()
                         rows.append((doc, k, start, len(raw) // 4, zlib.crc32(raw), *([raw] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        enc.shrink()  # the worker lives on for later tasks
+        enc.shrink(keep)  # the worker lives on for later tasks
         trim()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids

@@ -48,11 +48,11 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Inverted lists of the examples' weights, cut into runs of one term and one block with their largest weight.
 
-    ``content`` is a hash of each example's text, ``rows`` has its (terms, counts), ``weight`` each term's factor.
+    ``content`` is a hash of each example's text, ``rows`` has its (terms, counts), ``terms`` numbers the words, ``weight`` is each term's factor.
     """
 
     def __init__(self, ids, content, rows, toxic, terms, weight):
-        self.terms = {t: i for i, t in enumerate(terms)}
+        self.terms = terms
         self.weight = weight
         vectors = [self.weigh(*r) for r in rows]
         # Examples with the same strongest term stand together: their blocks then have tight bounds.
@@ -217,13 +217,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     n, pos = totals["n"], totals["pos"]
     if not pos or pos == n:
         discard(table)
-        return BlockMaxIndex([], [], [], [], [], np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
+        return BlockMaxIndex([], [], [], [], {}, np.zeros(0)), 0.0, float(np.log((pos + 0.5) / (n - pos + 0.5)))
     t = seen.select("doc_id", "label", "content", "words", "counts").toArrow().sort_by("doc_id").combine_chunks()  # of a bounded sample
     ids, label, content = (t.column(c).to_pylist() for c in ("doc_id", "label", "content"))
     held, edges = t.column("words").combine_chunks(), t.column("words").combine_chunks().offsets.to_numpy()
     coded = held.flatten().dictionary_encode()
     every, counts = coded.indices.to_numpy(), t.column("counts").combine_chunks().flatten().to_numpy()
-    terms, rows = dict.fromkeys(coded.dictionary.to_pylist()), []
+    terms, rows = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}, []
     edges = edges - edges[0]
     for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         by = np.argsort(every[i:j])
