@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelspark.llm import mph
-from parcelspark.llm.common import materialise, merge_parts, mix, scratch_table, texts_of
+from parcelspark.llm.common import materialise, merge_parts, scratch_table, texts_of, trim
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SOME = 1 << 22  # bytes of text, slots or keys handled at a time
-ENTRIES = 400_000  # words counted before they are sent on
+SOME = 1 << 21  # bytes of text, slots or keys handled at a time
+ENTRIES = 250_000  # words counted before they are sent on
 SEGMENT = 16  # bits of a bucket's place in its segment
 BUNDLE, HELD = 1 << 25, 1 << 28
 _U = np.uint64
@@ -165,6 +165,7 @@ def count_words(documents: DataFrame, least: int) -> DataFrame:
             if sum(map(len, found.values())) > ENTRIES:
                 yield from rows()
         yield from rows()
+        trim()  # the worker goes on to other tasks
 
     some = documents.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, word string, a long")
     return some.groupBy("lang", "word").agg(F.sum("a").alias("a")).filter(F.col("word").isNull() | (F.col("a") >= least))
@@ -241,6 +242,7 @@ def encoded(documents: DataFrame, slots: Slots) -> DataFrame:
         flush()
         if done:
             yield row()
+        trim()
 
     return documents.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "ids binary")
 
@@ -267,6 +269,7 @@ def _rows(ids: DataFrame, frequent: Broadcast | None, each, schema: str) -> Data
                     yield row, *adjacent(row, mask)
 
         yield from each(stream())
+        trim()
 
     return ids.select("ids").mapInArrow(run, schema)
 
