@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settled(rows: DataFrame) -> DataFrame:
@@ -17,3 +18,9 @@ def settled(rows: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="parcelspark-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         sc.setCheckpointDir(folder)
     return rows.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the same folder."""
+    settled(spark.range(0))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parcelspark.plans import history, leads, valuation
 from parcelspark.queries import comps as comp_queries
 from parcelspark.queries import criteria as criteria_queries
+from parcelspark.queries import feeds as feed_queries
 from parcelspark.queries import market as market_queries
 from parcelspark.queries import models as model_queries
 from parcelspark.queries import owners as owner_queries
@@ -141,7 +142,7 @@ h AS (SELECT listing_id, n, estimate, spread, estimate * least(0.15::DOUBLE, gre
 SELECT listing_id, n, estimate, spread, CASE WHEN n >= 5 AND spread <= 0.25 THEN 'high' WHEN n >= 3 AND spread <= 0.6 THEN 'medium' ELSE 'low' END AS confidence, estimate - half AS band_low, estimate + half AS band_high FROM h""",
 }
 
-for group in (market_queries, owner_queries, comp_queries, place_queries, model_queries, search_queries, terrain_queries, criteria_queries, region_queries, resolve_queries):
+for group in (market_queries, owner_queries, comp_queries, place_queries, model_queries, search_queries, terrain_queries, criteria_queries, region_queries, resolve_queries, feed_queries):
     QUERIES |= group.QUERIES
     ORACLE |= group.ORACLE
 ORACLE |= terrain_queries.with_comps(_PIT)
