@@ -231,3 +231,31 @@ def test_equal_texts_score_alike_whatever_their_ids(spark):
         got[dict(rows)[r.doc_id]].add(r.score)
         assert all(e.cosine < 1 - 1e-12 or dict(rows)[e.doc_id] != dict(rows)[r.doc_id] for e in r.evidence)
     assert all(len(scores) == 1 for scores in got.values())
+
+
+# --- nearest neighbours with production leaves
+
+
+def test_recall_over_many_leaves_of_production_size(spark):
+    from parcelspark.llm import ann
+    from parcelspark.llm.common import materialise
+
+    rnd = np.random.default_rng(11)
+    n, dims = 45_000, 24
+    x = (rnd.normal(size=(300, dims))[rnd.integers(0, 300, n)] * 2 + rnd.normal(size=(n, dims))).astype(np.float32)
+    assert ann.Tree(x[: ann.SAMPLE].astype(float), n // ann.LEAF_ROWS).leaves > 30
+    table = materialise(spark.range(n).withColumn("part", F.col("id") % 8).repartition(8, "part").mapInPandas(lambda frames: (f[["id"]].assign(embedding=[v.tolist() for v in x[f["id"]]]) for f in frames), "id long, embedding array<float>").withColumnRenamed("id", "vec_id"), "vectors")
+    got = defaultdict(list)
+    for r in ann.nearest(table, "vec_id % 20 = 0", 20).select("query_id", "rank", "vec_id").orderBy("query_id", "rank").toArrow().to_pylist():
+        got[r["query_id"]].append(r["vec_id"])
+    queries = np.arange(0, n, 20)
+    assert set(got) == set(queries.tolist()) and all(len(v) == 20 for v in got.values())
+    hits = 0
+    for part in np.array_split(queries, 30):
+        s = x[part].astype(float) @ x.T.astype(float)
+        s[np.arange(len(part)), part] = -np.inf
+        best = np.argpartition(-s, 20, axis=1)[:, :20]
+        hits += sum(len(set(b.tolist()) & set(got[q])) for q, b in zip(part.tolist(), best, strict=True))
+    recall = hits / (20 * len(queries))
+    print(f"recall {recall:.4f}")
+    assert recall >= 0.9
