@@ -25,8 +25,7 @@ def _slopes(spark, d):
 
 def _scored(spark, d):
     rows = listings(spark, d)
-    rate = F.col("c_price") / F.col("c_sqft")
-    per = valuation.point_in_time_comps(rows).groupBy("listing_id", "sqft", "sold_price").agg((F.median(rate) * F.col("sqft")).alias("estimate"), (F.min(rate) * F.col("sqft")).alias("low"), (F.max(rate) * F.col("sqft")).alias("high"))
+    per = valuation.estimates(rows).drop("county")
     more = rows.select("listing_id", "class_id", "county", "acres", F.col("lat").isNotNull().alias("has_geo"))
     return segments.with_segments(per.join(more, "listing_id").withColumnRenamed("listing_id", "id"))
 
