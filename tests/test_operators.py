@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from parcelspark.operators.relational import as_of_join, diff, point_in_polygon, radius_join, range_join
+from parcelspark.operators.relational import as_of_join, diff, point_in_polygon, prefix_index, radius_join, range_join
 from parcelspark.streaming import windows
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -54,3 +54,10 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
+
+
+def test_prefix_index_makes_prefixes_distinct_in_their_row(spark):
+    rows = spark.createDataFrame([(1, "ab abc"), (1, "AB-x"), (2, None), (2, "abd"), (None, "zz"), (3, "q")], "k long, t string")
+    index = prefix_index(rows, "k", "t")
+    assert sorted(((r.k or 0, r.prefix) for r in index.collect())) == [(0, "ZZ"), (1, "AB"), (1, "ABC"), (2, "AB"), (2, "ABD")]
+    assert "Aggregate [k" in (plan := index._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate [k" not in plan.split("Generate")[0]
