@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.functions import text
 from parcelspark.functions.columns import haversine_miles
 from parcelspark.operators.graph import components
 from parcelspark.operators.relational import nearest, radius_join
+from parcelspark.operators.stages import settled
+from parcelspark.plans.owners import with_owner_keys
 
 # Share of the score by voltage in kV, and presets of least acres and farthest substation.
 VOLTAGE = [(500, 1.0), (230, 0.9), (138, 0.7), (115, 0.6)]
@@ -17,13 +18,19 @@ HUBS = {"north": (37.9, -80.5), "centre": (37.5, -80.5), "south": (37.1, -80.5)}
 
 
 def near_infrastructure(parcels: DataFrame, infra: DataFrame) -> DataFrame:
-    """Each parcel with its nearest substation and fibre point, and the water within five miles."""
+    """Each parcel with its nearest substation and fibre point, and the water within five miles. infra_id is the key of ``infra``.
+
+    Water is summed by place, and parcels at one place share its sums, so pairs are of places and not of rows.
+    """
     at = lambda kind: infra.filter(F.col("kind") == kind).select("infra_id", "kv", "capacity", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
     points = parcels.select("parcel_id", "lat", "lng")
-    sub = nearest(points, at("substation"), "parcel_id", "infra_id", 5.0, 80.0).select("parcel_id", F.col("infra_id").alias("substation_id"), F.col("miles").alias("substation_miles"), "kv")
-    fibre = nearest(points, at("fibre"), "parcel_id", "infra_id", 5.0, 80.0).select("parcel_id", F.col("miles").alias("fibre_miles"))
-    water = radius_join(points, at("water"), 5.0).groupBy("parcel_id").agg(F.sum("capacity").alias("water_5mi"), F.count_distinct("infra_id").alias("works_5mi"))
-    return points.select("parcel_id").join(sub, "parcel_id", "left").join(fibre, "parcel_id", "left").join(water, "parcel_id", "left")
+    places = settled(points.select("lat", "lng").filter("lat IS NOT NULL AND lng IS NOT NULL").distinct().withColumn("place", F.monotonically_increasing_id()))
+    sub = nearest(places, at("substation"), "place", "infra_id", 5.0, 80.0).select("lat", "lng", F.col("infra_id").alias("substation_id"), F.col("miles").alias("substation_miles"), "kv")
+    fibre = nearest(places, at("fibre"), "place", "infra_id", 5.0, 80.0).select("lat", "lng", F.col("miles").alias("fibre_miles"))
+    works = at("water").groupBy("lat2", "lng2").agg(F.sum("capacity").alias("capacity"), F.count_distinct("infra_id").alias("works"))
+    water = radius_join(places, works, 5.0).groupBy("lat", "lng").agg(F.sum("capacity").alias("water_5mi"), F.sum("works").alias("works_5mi"))
+    near = sub.join(fibre, ["lat", "lng"], "left").join(water, ["lat", "lng"], "left")
+    return points.join(near, ["lat", "lng"], "left").drop("lat", "lng")
 
 
 def proximity(miles: Column, full: float, zero: float) -> Column:
@@ -33,20 +40,19 @@ def proximity(miles: Column, full: float, zero: float) -> Column:
 
 def site_scores(parcels: DataFrame, infra: DataFrame) -> DataFrame:
     """Suitability of each parcel under each preset, with the hard filters it fails."""
-    rows = parcels.select("parcel_id", "acres", text.owner_class(F.col("owner1")).alias("owner_class")).join(near_infrastructure(parcels, infra), "parcel_id")
+    rows = with_owner_keys(parcels.select("parcel_id", "acres", "owner1")).join(near_infrastructure(parcels, infra), "parcel_id")
     volt = F.lit(0.4)
     for kv, share in reversed(VOLTAGE):
         volt = F.when(F.col("kv") >= kv, share).otherwise(volt)
     water = F.coalesce("water_5mi", F.lit(0.0))
-    out = None
+    each = []
     for name, (acres, most) in PRESETS.items():
         power = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("substation_miles") / most), F.lit(0.0)) * volt * 40
         land = F.when(F.col("acres") < acres, 0.0).when(F.col("acres") >= 4 * acres, 1.0).otherwise((F.col("acres") - acres) / (3 * acres)) * 20
         wet = F.when(water >= 10, 1.0).when(water >= 3, 0.7).when(water >= 1, 0.4).when(water > 0, 0.1).otherwise(0.0) * 20
         fails = F.array_compact(F.array(F.when(F.coalesce("acres", F.lit(0.0)) < acres, "acres"), F.when(F.col("owner_class") == "govt_or_institution", "owner"), F.when(F.coalesce("substation_miles", F.lit(1e9)) > most, "substation")))
-        here = rows.select("parcel_id", F.lit(name).alias("preset"), (power + land + wet + proximity(F.col("fibre_miles"), 1.0, 5.0) * 20).alias("score"), F.array_join(fails, ";").alias("fails"))
-        out = here if out is None else out.unionByName(here)
-    return out
+        each.append(F.struct(F.lit(name).alias("preset"), (power + land + wet + proximity(F.col("fibre_miles"), 1.0, 5.0) * 20).alias("score"), F.array_join(fails, ";").alias("fails")))
+    return rows.select("parcel_id", F.inline(F.array(*each)))
 
 
 def hub_distances(parcels: DataFrame) -> DataFrame:
@@ -60,10 +66,13 @@ def hub_distances(parcels: DataFrame) -> DataFrame:
 
 def assemblages(parcels: DataFrame, least_acres: float = 25.0, miles: float = 1.0, least_total: float = 200.0) -> DataFrame:
     """Clusters of large parcels within a mile of each other that two owners or more hold, with ``least_total`` acres together."""
-    big = parcels.filter(F.col("acres") >= least_acres).select("parcel_id", "lat", "lng", "acres", text.owner_key(text.owner_name(F.col("owner1"))).alias("owner"))
-    left = big.select(F.col("parcel_id").alias("a"), "lat", "lng")
-    right = big.select(F.col("parcel_id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+    big = parcels.filter(F.col("acres") >= least_acres).select("parcel_id", "lat", "lng", "acres", "owner1")
+    big = with_owner_keys(big).withColumnRenamed("canonical_owner_id", "owner")
+    # Parcels at one place are linked with each other: the place stands for them, by its smallest id. Those without a place are linked with none, and one parcel is no cluster.
+    places = settled(big.filter("lat IS NOT NULL AND lng IS NOT NULL").groupBy("lat", "lng").agg(F.min("parcel_id").alias("id")))
+    left = places.select(F.col("id").alias("a"), "lat", "lng")
+    right = places.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
     links = radius_join(left, right, miles).filter("a < b").select("a", "b")
-    labels = components(big.select(F.col("parcel_id").alias("id")), links).withColumnRenamed("id", "parcel_id")
-    per = big.join(labels, "parcel_id").groupBy("component").agg(F.count("*").alias("n_parcels"), F.count_distinct("owner").alias("n_owners"), F.sum("acres").alias("total_acres"), F.avg("lat").alias("centroid_lat"), F.avg("lng").alias("centroid_lng"))
+    labels = components(places.select("id"), links).join(places, "id").select("lat", "lng", "component")
+    per = big.join(labels, ["lat", "lng"]).groupBy("component").agg(F.count("*").alias("n_parcels"), F.count_distinct("owner").alias("n_owners"), F.sum("acres").alias("total_acres"), F.avg("lat").alias("centroid_lat"), F.avg("lng").alias("centroid_lng"))
     return per.filter((F.col("n_parcels") >= 2) & (F.col("n_owners") >= 2) & (F.col("total_acres") >= least_total))
