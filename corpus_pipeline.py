@@ -19,8 +19,8 @@ from parcelspark.llm.queries import CAPACITY, END_ID, pii_key
 
 # Of the winning family's own probability; checked on a fold of the training rows and junk (README).
 LEAST_FAMILY_SCORE = 0.72
-# Chunks that a worker remembers between packing tasks: few, as workers go on to other stages.
-KEPT_CHUNKS = 50_000
+# Chunks that a worker remembers between packing tasks: none, as workers go on to other stages and would hold the tokenizer there.
+KEPT_CHUNKS = 0
 
 # Scores of trained models and tokenizer ids are beyond SQL; tests hold the stages against the operators, brute force and junk.
 ORACLE_SQL = None

@@ -53,8 +53,9 @@ class ChunkEncoder:
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def shrink(self, keep: int = KEPT) -> None:
-        """Forget all but the first ``keep`` chunks."""
+    def shrink(self, keep: int | None = None) -> None:
+        """Forget all but the first ``keep`` chunks (KEPT)."""
+        keep = KEPT if keep is None else keep
         if len(self.known) > keep:
             self.known = dict(islice(self.known.items(), keep))
             self.starts, self.lengths = self.starts[:keep].copy(), self.lengths[:keep].copy()
@@ -118,7 +119,8 @@ def encoder(path: str) -> ChunkEncoder:
 def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: int = KEPT) -> DataFrame:
     """Each document's ids, then ``end_id``, cut into pieces of ``capacity``: doc_id, piece, start, length, ids_crc32[, ids].
 
-    Null text counts as empty: one piece of length 1. Between tasks a worker remembers ``keep`` chunks: fewer take less of what later stages have, more save encoding.
+    Null text counts as empty: one piece of length 1. Between tasks a worker remembers ``keep`` chunks: fewer take less of what later stages have, more save encoding; with 0 it
+    gives the tokenizer up too.
     """
     import zlib
 
@@ -137,6 +139,9 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids:
                         rows.append((doc, k, start, len(raw) // 4, zlib.crc32(raw), *([raw] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         enc.shrink(keep)  # the worker lives on for later tasks
+        if not keep:
+            del enc
+            encoder.cache_clear()
         trim()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
