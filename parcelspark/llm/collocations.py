@@ -109,17 +109,29 @@ def part_bits(items: int) -> int:
     return int(np.clip(int(np.ceil(np.log2(max(1, items / (1 << 22))))), 4, 16))
 
 
-def build_parts(keys: DataFrame, words: bool) -> DataFrame:
-    """(part, data: concatenated distinct keys) -> (part, size, table: the pickled Mph)."""
+def build_parts(keys: DataFrame, combine, words: bool) -> DataFrame:
+    """(part, data: keys), of which ``combine`` makes the distinct keys of a part -> (part, size, table: the pickled Mph)."""
+
+    def last(part: int, data: bytes) -> pa.RecordBatch:
+        k = np.frombuffer(data, "<u8")
+        table = mph.build(k.reshape(-1, 4) if words else k)
+        out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(table)], pa.int64()), pa.array([pickle.dumps(table)], pa.binary())], ["part", "size", "table"])
+        del data, k, table
+        trim()
+        return out
+
+    return merge_parts(keys.select("part", "data"), combine, last=last, schema="part int, size long, table binary")
 
-    def run(batches):
-        for b in batches:
-            for part, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-                k = np.frombuffer(data, "<u8")
-                table = mph.build(k.reshape(-1, 4) if words else k)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(table)], pa.int64()), pa.array([pickle.dumps(table)], pa.binary())], ["part", "size", "table"])
 
-    return keys.select("part", "data").mapInArrow(run, "part int, size long, table binary")
+def distinct_keys(parts) -> bytes:
+    """The distinct ones of arrays that are each distinct, folded in so that no more than some SOME and those so far are held."""
+    found, some, held = np.zeros(0, "<u8"), [], 0
+    for data in parts:
+        some.append(np.frombuffer(data, "<u8"))
+        held += len(some[-1])
+        if held >= max(SOME, len(found)):
+            found, some, held = np.unique(np.concatenate([found, *some])), [], 0
+    return np.unique(np.concatenate([found, *some])).tobytes()
 
 
 def sent(built: DataFrame, bits: int) -> Slots:
@@ -314,16 +326,12 @@ def heavy_buckets(ids: DataFrame, frequent: Broadcast | None, bits: int, least:
         n = len(data) // 3
         return np.frombuffer(data, "<u2", n)[np.frombuffer(data, np.uint8, n, 2 * n) >= least]
 
-    def bitmap(batches):
-        for b in batches:
-            maps = []
-            for data in b.column("data").to_pylist():
-                flags = np.zeros(1 << SEGMENT, bool)
-                flags[full(data)] = True
-                maps.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(maps, pa.binary())], ["part", "data"])
+    def bitmap(part: int, data: bytes) -> pa.RecordBatch:
+        flags = np.zeros(1 << SEGMENT, bool)
+        flags[full(data)] = True
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["part", "data"])
 
-    merged = merge_parts(_rows(ids, frequent, each, "part int, data binary"), combine).mapInArrow(bitmap, "part int, data binary")
+    merged = merge_parts(_rows(ids, frequent, each, "part int, data binary"), combine, last=bitmap)
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in merged.toLocalIterator() if bits > 26 else merged.collect():
         out[r.part << SEGMENT - 3 : (r.part + 1) << SEGMENT - 3] = np.frombuffer(r.data, np.uint8)
@@ -331,7 +339,7 @@ def heavy_buckets(ids: DataFrame, frequent: Broadcast | None, bits: int, least:
 
 
 def candidates(ids: DataFrame, frequent: Broadcast | None, buckets: Broadcast, bucket_bits: int, bits: int) -> DataFrame:
-    """(part, data): the distinct keys whose bucket is heavy, by part."""
+    """(part, data): the keys whose bucket is heavy, by part, some of them in several rows."""
 
     def each(stream):
         heavy, some, held = buckets.value, [], 0
@@ -358,10 +366,7 @@ def candidates(ids: DataFrame, frequent: Broadcast | None, buckets: Broadcast, b
         if held:
             yield rows()
 
-    def combine(parts):
-        return np.unique(np.frombuffer(b"".join(parts), "<u8")).tobytes()
-
-    return merge_parts(_rows(ids, frequent, each, "part int, data binary"), combine)
+    return _rows(ids, frequent, each, "part int, data binary")
 
 
 def lengthened(ids: DataFrame, frequent: Broadcast | None, slots: Slots) -> DataFrame:
@@ -498,7 +503,7 @@ def levels(spark: SparkSession, documents: DataFrame, least: int, longest: int,
     if not found.distinct:
         return []
     bits = part_bits(found.distinct)
-    built = scratch_table(stack, build_parts(merge_parts(keyed_words(words, bits), b"".join), words=True), "word-slots")
+    built = scratch_table(stack, build_parts(keyed_words(words, bits), b"".join, words=True), "word-slots")
     slots = sent(built, bits)
     out = [materialise(phrases_of_words(words, slots), "phrases")]
     ids, frequent, places = scratch_table(stack, encoded(documents, slots), "slots"), None, found["all"]
@@ -506,7 +511,7 @@ def levels(spark: SparkSession, documents: DataFrame, least: int, longest: int,
         bucket_bits = int(np.clip(np.ceil(np.log2(places / 4)), SEGMENT, 28))
         heavy = spark.sparkContext.broadcast(heavy_buckets(ids, frequent, bucket_bits, least))
         bits = part_bits(places / least)
-        built = scratch_table(stack, build_parts(candidates(ids, frequent, heavy, bucket_bits, bits), words=False), "candidates")
+        built = scratch_table(stack, build_parts(candidates(ids, frequent, heavy, bucket_bits, bits), distinct_keys, words=False), "candidates")
         slots = sent(built, bits)
         if not slots.end:
             break
