@@ -71,3 +71,18 @@ def test_batches_for_python_are_bounded(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_written_tables_leave_no_garbage_on_the_driver(spark):
+    jvm = spark.sparkContext._jvm
+    rows = spark.range(3)
+    held = jvm.java.util.ArrayList()
+    for _ in range(3):
+        jvm.System.gc()  # among the old ones, which small collections pass over
+    seen = jvm.java.lang.ref.WeakReference(held)
+    del held
+    common.trim()  # py4j lets go of it
+    out = common.materialise(rows, "few")
+    assert seen.get() is None
+    assert out.count() == 3
+    common.discard(out)
