@@ -1,7 +1,8 @@
 """Subjects of a valuation found among listings and parcels, from a parcel number or an address as it is typed; places from the same street.
 
 Each step of the cascade sees only the subjects that the steps before left: listings by parcel number, listings by the typed address, parcels by number, parcels by address. Texts are found
-inside others by a join on three letters in a row: of each text asked the triple that the fewest rows hold, so a common street or number is no hot key.
+inside others by a join on three letters in a row: of each text asked the triple that the fewest rows hold, so a common street or number is no hot key. Distinct texts meet distinct addresses:
+an address sends its first row (for places its first STREET_ROWS), so pairs don't grow with the rows of one address.
 """
 
 from __future__ import annotations
@@ -67,29 +68,35 @@ def forms(address: Column, tail: bool) -> Column:
     return F.array_compact(F.array(*(F.when(F.length(f) > 0, F.struct(F.lit(i).alias("order"), f.alias("form"))) for i, f in enumerate(out))))
 
 
-def _first(pairs: DataFrame, order: list[Column]) -> DataFrame:
-    return pairs.withColumn("_n", F.row_number().over(Window.partitionBy("subject_id").orderBy(*order))).filter("_n = 1").drop("_n")
+def _first(pairs: DataFrame, order: list[Column], keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:
+    return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
 def by_address_of_listings(asked: DataFrame, listings: DataFrame) -> DataFrame:
     """subject_id, found (listing_id): the first form that some listing's address holds; of its listings an active one first, then the latest, then the smaller number."""
-    each = asked.select("subject_id", F.explode(forms(F.col("asked_address"), tail=False)).alias("f")).select("subject_id", "f.*")
-    pairs = containing(each, "form", listings.select("listing_id", F.upper("address").alias("_where"), "status", "list_date"), "_where")
-    return _first(pairs, [F.col("order"), (F.col("status") == "Active").desc_nulls_last(), F.col("list_date").desc_nulls_last(), F.col("listing_id")]).select("subject_id", F.col("listing_id").alias("found"))
+    order = [(F.col("status") == "Active").desc_nulls_last(), F.col("list_date").desc_nulls_last(), F.col("listing_id")]
+    each = settled(asked.select("subject_id", F.explode(forms(F.col("asked_address"), tail=False)).alias("f")).select("subject_id", "f.*"))
+    places = settled(_first(listings.select("listing_id", F.upper("address").alias("_where"), "status", "list_date").filter("_where IS NOT NULL"), order, ("_where",)))
+    found = _first(containing(each.select("form").distinct(), "form", places, "_where"), order, ("form",))
+    return _first(each.join(found, "form"), [F.col("order"), *order]).select("subject_id", F.col("listing_id").alias("found"))
 
 
 def by_address_of_parcels(asked: DataFrame, parcels: DataFrame) -> DataFrame:
     """subject_id, found (parcel_id): every word of the form is in the parcel's address and county, a house number at the front of the address; ties to the latest sale, then the smaller number."""
-    each = asked.select("subject_id", F.explode(forms(F.col("asked_address"), tail=True)).alias("f")).select("subject_id", "f.*")
+    each = settled(asked.select("subject_id", F.explode(forms(F.col("asked_address"), tail=True)).alias("f")).select("subject_id", "f.*"))
     words = F.split("form", " ")
     house = F.when(F.element_at(words, 1).rlike(r"^\d+$"), F.element_at(words, 1))
     rest = F.when(house.isNotNull(), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
     longest = F.element_at(F.array_sort(F.transform(rest, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]  # one word finds the rows, all are compared
-    each = each.withColumns({"house": house, "rest": rest}).filter(F.size("rest") > 0).withColumn("longest", longest)
+    texts = each.select("form").distinct().withColumns({"house": house, "rest": rest}).filter(F.size("rest") > 0).withColumn("longest", longest)
     rows = parcels.filter(F.length("site_address") > 0).select("parcel_id", "last_sale_date", F.upper("site_address").alias("_site"), F.upper(F.concat_ws(" ", "site_address", "county")).alias("_where"))
-    pairs = containing(each, "longest", rows, "_where").filter(F.forall("rest", lambda w: F.contains(F.col("_where"), w)))
+    latest = [F.col("last_sale_date").desc_nulls_last(), F.col("parcel_id")]
+    places = settled(_first(rows, latest, ("_site", "_where")))
+    pairs = containing(texts, "longest", places, "_where").filter(F.forall("rest", lambda w: F.contains(F.col("_where"), w)))
     pairs = pairs.filter(F.col("house").isNull() | (F.col("_site").startswith(F.col("house")) & ~F.substring(F.col("_site"), F.length("house") + 1, F.lit(1)).rlike("[0-9]")))
-    return _first(pairs, [F.col("order"), F.col("_site").startswith(F.element_at(F.split("form", " "), 1)).desc(), F.col("last_sale_date").desc_nulls_last(), F.col("parcel_id")]).select("subject_id", F.col("parcel_id").alias("found"))
+    order = [F.col("_site").startswith(F.element_at(F.split("form", " "), 1)).desc(), *latest]
+    found = _first(pairs, order, ("form",))
+    return _first(each.join(found, "form"), [F.col("order"), *order]).select("subject_id", F.col("parcel_id").alias("found"))
 
 
 def by_number(asked: DataFrame, rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -101,9 +108,11 @@ def by_number(asked: DataFrame, rows: DataFrame, key: str, order: list[Column])
 def street_places(listings: DataFrame, asked: DataFrame) -> DataFrame:
     """street, city, lat, lng for each street and city of ``asked``: the upper middle of latitude and of longitude of the first STREET_ROWS listings whose address holds the street."""
     want = asked.select("street", "place_city").distinct()
-    rows = listings.filter("lat IS NOT NULL AND lng IS NOT NULL").select("listing_id", F.upper("address").alias("_where"), F.upper("city").alias("_city"), "lat", "lng")
-    pairs = containing(want, "street", rows, "_where").filter("_city = place_city")
-    first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("street", "place_city").orderBy("listing_id"))).filter(F.col("_n") <= STREET_ROWS)
+    rows = listings.filter("lat IS NOT NULL AND lng IS NOT NULL").select("listing_id", F.upper("address").alias("_where"), F.upper("city").alias("_city"), "lat", "lng").filter("_where IS NOT NULL AND _city IS NOT NULL")
+    some = lambda df, *keys: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("listing_id"))).filter(F.col("_n") <= STREET_ROWS).drop("_n")
+    rows = settled(some(rows, "_where", "_city"))
+    near = containing(want, "street", rows.select("_where", "_city").distinct(), "_where").filter("_city = place_city")
+    first = some(near.join(rows, ["_where", "_city"]), "street", "place_city")
     middle = lambda c: F.element_at(F.array_sort(F.collect_list(c)), F.floor(F.count("*") / 2).cast("int") + 1).alias(c)
     return first.groupBy("street", "place_city").agg(middle("lat"), middle("lng"))
 

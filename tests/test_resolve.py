@@ -37,3 +37,18 @@ def test_the_cascade(spark):
     }
     nothing = resolve.resolve(subjects, listings.filter("false"), parcels.filter("false"))
     assert {r.step for r in nothing.collect()} == {"none"} and nothing.count() == 9
+
+
+def test_rows_of_one_address_make_no_pairs_of_their_own(spark, monkeypatch):
+    found, whole = [], resolve.containing
+    monkeypatch.setattr(resolve, "containing", lambda *a: found.append(whole(*a)) or found[-1])
+    day = F.lit("2001-01-01").cast("date")
+    listings = spark.range(1, 201).select(F.col("id").alias("listing_id"), F.col("id").alias("parcel_id"), F.lit("12 Oak St").alias("address"), F.lit("Boone").alias("city"), F.when(F.col("id") == 150, "Active").otherwise("Closed").alias("status"), F.date_add(day, F.col("id").cast("int")).alias("list_date"), *(F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias(c) for c in ("lat", "lng")))
+    parcels = spark.range(1, 201).select(F.col("id").alias("parcel_id"), F.lit("30 Elm St").alias("site_address"), F.lit("Boone").alias("city"), F.lit("X").alias("county"), F.lit(1.0).alias("assessed"), F.date_add(day, (F.col("id") % 190).cast("int")).alias("last_sale_date"), *(F.lit(None).cast("double").alias(c) for c in ("lat", "lng")))
+    subjects = spark.range(100).select(F.col("id").alias("subject_id"), F.when(F.col("id") < 50, "12 oak st").otherwise("30 elm st").alias("asked_address"), F.lit(None).cast("string").alias("asked_parcel"))
+    got = resolve.resolve(subjects, listings, parcels).collect()
+    assert {(r.step, r.listing_id, r.parcel_id, r.lat, r.place) for r in got if r.subject_id < 50} == {("listing_address", 150, 150, 150.0, "own")}
+    assert {(r.step, r.listing_id, r.parcel_id, r.lat, r.place) for r in got if r.subject_id >= 50} == {("parcel_address", None, 189, None, "none")}
+    streets = resolve.street_places(listings, spark.createDataFrame([("OAK ST", "BOONE")], "street string, place_city string")).collect()
+    assert [tuple(r) for r in streets] == [("OAK ST", "BOONE", 22.0, 22.0)]
+    assert len(found) == 4 and all(f.count() <= 12 for f in found)
