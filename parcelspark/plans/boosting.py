@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.operators.stages import settled
 from parcelspark.operators.treesum import tree_sum
 
 BINS = 64
@@ -49,6 +50,17 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """(features, rows) bins as one binary value a row."""
+    ends = np.arange(x.shape[1] + 1, dtype=np.int32) * x.shape[0]
+    return pa.Array.from_buffers(pa.binary(), x.shape[1], [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x.T))])
+
+
+def _unpacked(bins: pa.Array, features: int) -> np.ndarray:
+    ends = np.frombuffer(bins.buffers()[1], np.int32)[bins.offset : bins.offset + len(bins) + 1]
+    return np.ascontiguousarray(np.frombuffer(bins.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(bins), features).T)
+
+
 def nodes_of(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
     """The heap number of each row's node ``levels`` below the root."""
     node = np.zeros(x.shape[1], np.int64)
@@ -87,7 +99,7 @@ def histogram_quantile(counts: np.ndarray, low: float, step: float, quantile: fl
 
 
 def fit(rows: DataFrame, features: list[str], target: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), rounds: int = 12, depth: int = 3, rate: float = 0.2, least: int = 60) -> Trees:
-    """Trees for ``quantiles`` of ``target``. Rows without a target are left out; features may be null. ``rows`` is read once a pass: give a written or checkpointed table."""
+    """Trees for ``quantiles`` of ``target``. Rows without a target are left out; features may be null. ``rows`` is read to be put in bins, which a pass reads: give a written or checkpointed table."""
     rows = rows.filter(F.col(target).isNotNull()).select(*(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias(target))
     span = rows.agg(F.min(target).alias("lo"), F.max(target).alias("hi")).first()
     if span.lo is None:
@@ -98,6 +110,14 @@ def fit(rows: DataFrame, features: list[str], target: str, quantiles: tuple[floa
     model = Trees(features, quantiles, edges, start, depth)
     wide = max(1e-9, span.hi - span.lo)
     spark, nq, nf = rows.sparkSession, len(quantiles), len(features)
+    bare = spark.sparkContext.broadcast(model)
+
+    def in_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield pa.RecordBatch.from_arrays([_packed(bare.value.binned(b)), pa.array(_numbers(b, target))], ["bins", "y"])
+
+    rows = settled(rows.mapInArrow(in_bins, "bins binary, y double"))
 
     for _ in range(rounds):
         feature, cut = np.zeros((nq, (1 << depth) - 1), np.int64), np.full((nq, (1 << depth) - 1), BINS, np.int64)
@@ -109,8 +129,8 @@ def fit(rows: DataFrame, features: list[str], target: str, quantiles: tuple[floa
             def counted(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
                 model, feature, cut = shared.value  # noqa: B023
                 out = np.zeros(size, np.int64)  # noqa: B023
-                for b in batches:
-                    x, y = model.binned(b), _numbers(b, target)
+                for b in filter(len, batches):
+                    x, y = _unpacked(b.column(0), nf), _numbers(b, "y")
                     for k, f in enumerate(model.predict(x)):
                         node = nodes_of(x, feature[k], cut[k], level) - width + 1 + k * width  # noqa: B023
                         below = (y < f).astype(np.int64)
@@ -130,8 +150,8 @@ def fit(rows: DataFrame, features: list[str], target: str, quantiles: tuple[floa
         def residuals(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             model, feature, cut = shared.value  # noqa: B023
             out = np.zeros(nq * leaves * GRID, np.int64)  # noqa: B023
-            for b in batches:
-                x, y = model.binned(b), _numbers(b, target)
+            for b in filter(len, batches):
+                x, y = _unpacked(b.column(0), nf), _numbers(b, "y")
                 for k, f in enumerate(model.predict(x)):
                     leaf = nodes_of(x, feature[k], cut[k], depth) - leaves + 1 + k * leaves  # noqa: B023
                     step = np.clip((y - f + wide) / (2 * wide) * GRID, 0, GRID - 1).astype(np.int64)
@@ -158,3 +178,31 @@ def predicted(model: Trees, rows: DataFrame, keep: list[str]) -> DataFrame:
 
     some = rows.select(*keep, *(F.col(f).cast("double").alias(f) for f in model.features if f not in keep))
     return some.mapInArrow(run, ", ".join([*(f"{c} {some.schema[c].dataType.simpleString()}" for c in keep), *(f"{n} double" for n in names)]))
+
+
+def best_offers(model: Trees, rows: DataFrame, key: str, price: str, wanted: str, most: float) -> DataFrame:
+    """``key``, hit (the highest ``price`` at which ``wanted``, p50 say, is ``most`` or less) and near (the price of the least ``wanted``, the lowest of equal ones), each with its ``wanted``.
+
+    Rows of one key that stand together are reduced to one before they are shuffled.
+    """
+    names = [f"p{round(100 * q):02d}" for q in model.quantiles]
+    shared, at = rows.sparkSession.sparkContext.broadcast(model), names.index(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in filter(len, batches):
+            p, x = np.sort(model.predict(model.binned(b)), 0)[at], _numbers(b, price)
+            keys = b.column(b.schema.get_field_index(key))
+            k = keys.to_numpy(zero_copy_only=False)
+            run_of = np.cumsum(np.r_[False, k[1:] != k[:-1]])
+            last = np.r_[np.flatnonzero(np.diff(run_of)), len(k) - 1]
+            hit = np.lexsort((x, p <= most, run_of))[last]  # the last of each run: the highest price of those that will do
+            near = np.lexsort((-x, -p, run_of))[last]
+            none = p[hit] > most
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(last)), *(pa.array(v, mask=m) for v, m in ((x[hit], none), (p[hit], none), (x[near], None), (p[near], None)))], [key, "hit", "hit_p", "near", "near_p"])
+
+    some = rows.select(key, *(F.col(f).cast("double").alias(f) for f in dict.fromkeys([price, *model.features])))
+    runs = some.mapInArrow(run, f"{key} {some.schema[key].dataType.simpleString()}, hit double, hit_p double, near double, near_p double")
+    pair = lambda a, b: F.struct(F.col(a).alias(a), F.col(b).alias(b))
+    best = runs.groupBy(key).agg(F.max(F.when(F.col("hit").isNotNull(), pair("hit", "hit_p"))).alias("h"), F.min(pair("near_p", "near")).alias("n"))
+    return best.select(key, "h.hit", "h.hit_p", "n.near", "n.near_p")

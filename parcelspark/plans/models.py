@@ -97,14 +97,21 @@ MOST_DAYS, LEAST_ROWS = 180, 200
 
 def day_features(rows: DataFrame, learnt: DataFrame, own: bool = False) -> DataFrame:
     """``rows`` with DAY_NUMBERS and the means; what can't be worked out is null. ``own`` as in :func:`features`."""
+    return _day_numbers(_day_means(rows, learnt, own))
+
+
+def _day_numbers(rows: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when((F.col(b) > 0) & (F.col(a) > 0), F.col(a) / F.col(b))
-    out = rows.withColumns({
+    return rows.withColumns({
         "price_per_sqft": ratio("list_price", "sqft"), "age_at_list": F.when(F.col("year_built") > 1700, F.year("list_date") - F.col("year_built")), "list_month": F.month("list_date"),
         "price_to_assessed": F.when(F.col("assessed") > 0, F.col("list_price") / F.col("assessed")), "list_to_original": F.when(F.col("original_list_price") > 0, F.col("list_price") / F.col("original_list_price")),
     })
+
+
+def _day_means(rows: DataFrame, learnt: DataFrame, own: bool = False) -> DataFrame:
     for key, name in DAY_MEANS.items():
-        out = target_means(out, learnt, key, "dom", "listing_id", own, name)
-    return out
+        rows = target_means(rows, learnt, key, "dom", "listing_id", own, name)
+    return rows
 
 
 def day_sales(listings: DataFrame, most: int = MOST_DAYS) -> DataFrame:
@@ -144,9 +151,10 @@ def price_for_days(model: boosting.Trees, early: DataFrame, subjects: DataFrame,
     low, high = F.greatest(F.floor(anchor * (1 - span)), F.lit(25_000)), F.floor(anchor * (1 + span))
     last = (high + step - 1).cast("long")
     grid = F.when(low <= last, F.sequence(low.cast("long"), F.greatest(low.cast("long"), last), F.lit(step).cast("long")))
-    rows = subjects.withColumn("_price", F.explode(grid)).withColumn("list_price", F.col("_price").cast("double")).drop("_price")
-    days = boosting.predicted(model, day_features(rows, early), ["listing_id", "list_price"])
-    soon = F.col("p50") <= target
-    best = days.groupBy("listing_id").agg(F.max(F.when(soon, F.struct("list_price", "p50"))).alias("hit"), F.min(F.struct("p50", "list_price")).alias("near"))
-    pick = lambda c: F.coalesce(F.col(f"hit.{c}"), F.col(f"near.{c}"))
-    return best.select("listing_id", F.col("hit").isNotNull().alias("feasible"), pick("list_price").alias("price"), pick("p50").alias("days"))
+    # Means don't hang on the price: worked out once a listing, and rows are dealt by number, as they are few in bytes before the grid and long in time.
+    kept = ["listing_id", "list_price", "original_list_price", "sqft", "bedrooms", "full_baths", "acres", "year_built", "assessed", "list_date", *DAY_MEANS.values()]
+    wide = int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _day_means(subjects, early).select(*kept).repartition(wide, "listing_id")
+    rows = rows.withColumn("_price", F.explode(grid)).withColumn("list_price", F.col("_price").cast("double")).drop("_price")
+    best = boosting.best_offers(model, _day_numbers(rows), "listing_id", "list_price", "p50", target)
+    return best.select("listing_id", F.col("hit").isNotNull().alias("feasible"), F.coalesce("hit", "near").alias("price"), F.coalesce("hit_p", "near_p").alias("days"))

@@ -98,6 +98,27 @@ def test_price_for_days_takes_the_highest_price_that_will_do(spark, rows):
             assert r.feasible is feasible and r.price in grid and (r.price == grid[-1] or not feasible)
 
 
+def test_price_for_days_works_means_out_before_the_grid(spark, rows):
+    model, early = models.day_model(rows, "2000-06-01", 2)
+    out = models.price_for_days(model, early, rows.filter("status = 'Active'"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Join" not in plan[: plan.index("Generate explode")]
+
+
+def test_best_offers_against_a_loop(spark):
+    edges = np.arange(1.0, 10.0)
+    model = boosting.Trees(["price"], (0.25, 0.5), [edges], np.array([50.0, 60.0]), 1, [[(np.zeros(1, np.int64), np.array([4]), np.array([0.0, 20.0])), (np.zeros(1, np.int64), np.array([c]), np.array([-5.0, 7.0]))] for c in (2, 6)])
+    some = [(k, float(x)) for k in range(6) for x in range(k, 10)] + [(3, 0.5), (1, 0.25)]  # keys 1 and 3 come in two pieces
+    got = {r.key: tuple(r)[1:] for r in boosting.best_offers(model, spark.createDataFrame(some, "key long, price double").coalesce(1), "key", "price", "p50", 62.0).collect()}
+    for k in range(6):
+        prices = np.array([x for key, x in some if key == k])
+        days = np.sort(model.predict(np.stack([np.searchsorted(edges, prices, "right")]).astype(np.uint8)), 0)[1]
+        hit = max(((x, d) for x, d in zip(prices, days, strict=True) if d <= 62), default=(None, None))
+        near = min((d, x) for x, d in zip(prices, days, strict=True))
+        assert got.pop(k) == (*hit, near[1], near[0])
+    assert not got
+
+
 def test_value_model_on_prices_that_follow_the_size(rows):
     priced = rows.withColumn("sold_price", F.when(F.col("sold_price").isNotNull(), F.col("sqft") * (150 + F.pmod(F.xxhash64("listing_id"), F.lit(20)))))
     _, got = models.value_model(priced, UNTIL, trees=10)
