@@ -21,6 +21,8 @@ from parcelspark.llm.queries import CAPACITY, END_ID, pii_key
 LEAST_FAMILY_SCORE = 0.72
 # Chunks that a worker remembers between packing tasks: none, as workers go on to other stages and would hold the tokenizer there.
 KEPT_CHUNKS = 0
+# Rows that go to Python at once: executors run one stage after the other, so buffers of all stages add up in them.
+ROWS = 250
 
 # Scores of trained models and tokenizer ids are beyond SQL; tests hold the stages against the operators, brute force and junk.
 ORACLE_SQL = None
@@ -28,21 +30,21 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows predicted toxic go, each by its own score; labels of the held-out fold take no part."""
-    prepare(spark)
+    prepare(spark, ROWS)
     scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_row=True)
     return scored.filter("predicted = 0").select("row.*")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a language go: null texts, texts without a letter, or a family probability below LEAST_FAMILY_SCORE."""
-    prepare(spark)
+    prepare(spark, ROWS)
     found = langid.detect_language(docs, with_row=True)
     return found.filter((F.col("lang_pred") != "und") & (F.col("family_score") >= LEAST_FAMILY_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the row of smallest doc_id stays; rows with null or repeated ids go by a key of their own."""
-    prepare(spark)
+    prepare(spark, ROWS)
     key = f"key_{uuid.uuid4().hex}"
     if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
         keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
@@ -54,7 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows the new text. No row goes."""
-    prepare(spark)
+    prepare(spark, ROWS)
     findings = f"found_{uuid.uuid4().hex}"
     out = pii.pseudonymise(docs, pii_key(spark), found_col=findings).drop(findings)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*(f"`{c}`" for c in docs.columns))
@@ -62,7 +64,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a training sequence."""
-    prepare(spark)
+    prepare(spark, ROWS)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, END_ID, keep=KEPT_CHUNKS)
 
 

@@ -61,24 +61,27 @@ class BlockMaxIndex:
         self.blocks = -(-len(order) // BLOCK)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int32)
         at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
-        by = np.argsort(term, kind="stable")
-        self.at, self.value = at[by], (np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0))[by]
-        # Runs: the postings of one term in one block.
+        value = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         del vectors
-        key = term[by].astype(np.int64) * max(1, self.blocks) + self.at // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.run_start, self.run_size = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
-        self.run_block = (self.at[first] // BLOCK).astype(np.int32)
-        self.run_most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
-        self.runs_of = np.searchsorted(term[by][first], np.arange(len(terms) + 1))
-        # Terms of a sixteenth of the examples or more have dense rows.
+        # Terms of a sixteenth of the examples or more have dense rows, and no runs: workers hold each weight once.
         self.block_of = np.arange(len(order)) // BLOCK
         often = np.flatnonzero(np.bincount(term, minlength=len(terms)) * 16 >= max(1, len(order))) if len(order) else np.zeros(0, np.int64)
-        self.dense_row = np.full(len(terms), -1, np.int64)
+        self.dense_row = np.full(len(terms), -1, np.int32)
         self.dense_row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), len(order)))
-        held = self.dense_row[term[by]]
-        self.dense[held[held >= 0], self.at[held >= 0]] = self.value[held >= 0]
+        held = self.dense_row[term]
+        self.dense[held[held >= 0], at[held >= 0]] = value[held >= 0]
+        rare = np.flatnonzero(held < 0)
+        by = rare[np.argsort(term[rare], kind="stable")]
+        term, self.at, self.value = term[by], at[by], value[by]
+        del at, value, held, rare, by
+        # Runs: the postings of one term in one block.
+        key = term.astype(np.int64) * max(1, self.blocks) + self.at // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.run_start, self.run_size = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
+        self.run_block = (self.at[first] // BLOCK).astype(np.int32)
+        self.run_most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.runs_of = np.searchsorted(term[first], np.arange(len(terms) + 1)).astype(np.int32)
 
     def weigh(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight[t]
@@ -195,8 +198,9 @@ def without_copies(seen: DataFrame) -> list[int]:
 
 
 def documents_of(rows: DataFrame, ids: list[int]) -> DataFrame:
-    """Those of ``rows`` with one of a bounded number of ids."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
+    """Those of ``rows`` with one of a bounded number of ids. They go as an Arrow table: a list of rows would start Python workers of its own on every executor."""
+    some = rows.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())}))
+    return rows.join(F.broadcast(some), "doc_id")
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 2, k: int = NEIGHBOURS, by_label: bool = True):
@@ -208,6 +212,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
         for b in batches:
             rows = [term_counts(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32())), pa.array([bands(r) for r in rows], pa.list_(pa.int64())), pa.array([x.astype("<u8").tobytes() for x in shingle_sets(texts_of(b.column(1)), SHINGLE)], pa.binary())], ["doc_id", "label", "content", "words", "counts", "bands", "shingles"])
+        trim()  # the worker goes on to score
 
     seen = labelled_texts(documents, some).withColumn("content", F.xxhash64("text")).mapInArrow(run, "doc_id long, label int, content long, words array<string>, counts array<int>, bands array<bigint>, shingles binary")
     seen = table = materialise(seen, "examples")

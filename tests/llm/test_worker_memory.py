@@ -5,7 +5,8 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from parcelspark.llm import collocations, common, mph, tokens
+import corpus_pipeline
+from parcelspark.llm import collocations, common, mph, tokens, toxicity
 
 
 def test_one_table_of_powers_for_all_sizes():
@@ -86,3 +87,42 @@ def test_written_tables_leave_no_garbage_on_the_driver(spark):
     assert seen.get() is None
     assert out.count() == 3
     common.discard(out)
+
+
+def test_chosen_ids_start_no_python_workers(spark):
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    some = toxicity.documents_of(rows, [3, 7, 99])
+    assert "ExistingRDD" not in some._jdf.queryExecution().sparkPlan().toString()  # a list of rows is pickled by workers of its own
+    assert sorted(r.doc_id for r in some.collect()) == [3, 7]
+    assert toxicity.documents_of(rows, []).collect() == []
+
+
+def test_index_holds_each_weight_once():
+    rnd = np.random.default_rng(5)
+    rows = [(np.flatnonzero(rnd.random(300) < np.where(np.arange(300) < 20, 0.5, 0.02)), None) for _ in range(200)]
+    rows = [(t.astype(np.int32), rnd.integers(1, 4, len(t))) for t, _ in rows]
+    weight = rnd.random(300) + 0.1
+    index = toxicity.BlockMaxIndex(list(range(200)), list(range(200)), rows, [0, 1] * 100, {str(i): i for i in range(300)}, weight)
+    postings = sum(len(t) for t, _ in rows)
+    assert len(index.dense) >= 20 and np.count_nonzero(index.dense) + len(index.value) == postings
+    full = np.zeros((200, 300))
+    for i, (t, n) in enumerate(rows):
+        full[i, t] = index.weigh(t, n)[1]
+    for own, r in enumerate(rows[:40]):
+        near = index.nearest(*index.weigh(*r), 5, own)
+        want = full @ full[own]
+        want[own] = 0
+        assert np.allclose([s for s, _ in near], np.sort(want)[::-1][:5]) and all(np.isclose(want[index.ids[at]], s) for s, at in near)
+
+
+def test_pipeline_sends_few_rows_to_python_at_once(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            common.prepare(spark)
+            docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+            stage(spark, docs, "")
+            assert int(spark.conf.get(size)) <= 250
+    finally:
+        spark.conf.set(size, before)
